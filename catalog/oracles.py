@@ -13,8 +13,9 @@ def add(name: str, text: str) -> None:
 
 
 def r6(expr: str) -> str:
-    """Rounded to six digits, without a negative zero."""
-    return f"CASE WHEN round({expr}, 6) = 0 THEN 0.0 ELSE round({expr}, 6) END"
+    """Rounded to six digits off exact decimal ties, without a negative zero."""
+    rounded = f"round({expr} + 1e-9, 6)"
+    return f"CASE WHEN {rounded} = 0 THEN 0.0 ELSE {rounded} END"
 
 
 # ---------------------------------------------------------------- fact table
@@ -49,5 +50,308 @@ add("normalize_season", f"""
 SELECT * EXCLUDE ({', '.join(_DECIMALS)}), {', '.join(f'{r6(c)} AS {c}' for c in _DECIMALS)} FROM {{fact}}""")
 
 
+# ------------------------------------------------------------------- scoring
+
+_ERA = "CAST(season AS BIGINT)"
+_LONG = "minutes >= 60"
+COMPONENT_SQL = {
+    "minutes": "CASE WHEN minutes = 0 THEN 0 WHEN minutes < 60 THEN 1 ELSE 2 END",
+    "goals": "goals_scored * CASE position WHEN 'GK' THEN 6 WHEN 'DEF' THEN 6 WHEN 'MID' THEN 5 WHEN 'FWD' THEN 4 END",
+    "assists": "assists * 3",
+    "clean_sheets": f"CASE WHEN {_LONG} THEN clean_sheets * CASE position WHEN 'GK' THEN 4 WHEN 'DEF' THEN 4 WHEN 'MID' THEN 1 ELSE 0 END ELSE 0 END",
+    "goals_conceded": f"CASE WHEN {_LONG} AND position IN ('GK', 'DEF') THEN -(goals_conceded // 2) ELSE 0 END",
+    "saves": f"CASE WHEN {_ERA} < 2000 THEN saves // 3 ELSE saves END",
+    "cards_and_other": "-2 * own_goals - 2 * penalties_missed + 5 * penalties_saved - yellow_cards - 3 * red_cards",
+    "defensive_contribution": f"CASE WHEN {_ERA} < 1998 THEN 0 WHEN position = 'DEF' AND defensive_contribution >= 10 THEN 2 "
+    "WHEN position IN ('MID', 'FWD') AND defensive_contribution >= 12 THEN 2 ELSE 0 END",
+    "bonus": "bonus",
+}
+POINTS_SQL = " + ".join(f"({c})" for c in COMPONENT_SQL.values())
+_BPS = f"""CASE WHEN minutes > 0 THEN CASE WHEN {_LONG} THEN 6 ELSE 3 END ELSE 0 END
+  + goals_scored * CASE position WHEN 'GK' THEN 12 WHEN 'DEF' THEN 12 WHEN 'MID' THEN 18 ELSE 24 END + assists * 9
+  + CASE WHEN clean_sheets > 0 AND {_LONG} AND position IN ('GK', 'DEF') THEN 12 ELSE 0 END
+  + saves * 2 + penalties_saved * 15 - penalties_missed * 6 - own_goals * 6 - yellow_cards * 3 - red_cards * 9
+  - CASE WHEN position IN ('GK', 'DEF') THEN (goals_conceded // 2) * 4 ELSE 0 END
+  + (coalesce(clearances_blocks_interceptions, 0) // CASE WHEN {_ERA} < 2000 THEN 2 ELSE 3 END) * 2 + coalesce(tackles, 0) * 2"""
+
+add("score_components", f"""
+SELECT season, element_id, fixture, line, part, {', '.join(f'CAST({c} AS BIGINT) AS pts_{n}' for n, c in COMPONENT_SQL.items())},
+  CAST({POINTS_SQL} AS BIGINT) AS points, total_points, CAST({_BPS} AS BIGINT) AS bps_points
+FROM {{player_fixture}} WHERE position <> 'AM'""")
+
+SHARED["replayed"] = f"SELECT *, CAST({POINTS_SQL} AS BIGINT) AS predicted_points FROM {{fact}}"
+add("replay_match_rate", """
+SELECT season, count(*) AS n_rows, count(*) FILTER (WHERE predicted_points = total_points) AS n_exact_match,
+  avg(CASE WHEN predicted_points = total_points THEN 1 ELSE 0 END) AS match_rate FROM {replayed} GROUP BY season""")
+add("replay_discrepancies", """
+SELECT season, gw, element_id, name, position, n_fixtures, total_points, predicted_points FROM {replayed}
+WHERE predicted_points <> total_points""")
+
+# ------------------------------------------------------------- trailing rows
+
+_W = "OVER (PARTITION BY season, element_id ORDER BY gw ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+_W5, _W3 = _W.format(n=5), _W.format(n=3)
+add("trailing_mean", f"""
+SELECT season, gw, element_id, avg(total_points) {_W5} AS total_points_trailing, avg(minutes) {_W5} AS minutes_trailing,
+  avg(goals_scored) {_W5} AS goals_scored_trailing, count(*) {_W5} AS n_games FROM {{fact}}""")
+
+_MINUTES = {"p_blank": "minutes = 0", "p_short": "minutes > 0 AND minutes < 60", "p_full": "minutes >= 60"}
+_MINUTES_SQL = {p: f"avg(CASE WHEN {c} THEN 1 ELSE 0 END) {_W3}" for p, c in _MINUTES.items()}
+add("minutes_distribution", f"""
+SELECT season, gw, element_id, {', '.join(f'{e} AS {p}' for p, e in _MINUTES_SQL.items())} FROM {{fact}}""")
+
+EVENTS = (
+    "goals_scored assists clean_sheets goals_conceded saves bonus yellow_cards red_cards own_goals penalties_missed penalties_saved"
+).split()
+_POOLED = ["total_points", *EVENTS]
+SHARED["cells"] = f"""
+SELECT season, gw, position, is_promoted_club, {', '.join(f'sum({c}) AS s_{c}, count({c}) AS n_{c}' for c in _POOLED)}
+FROM {{fact}} GROUP BY ALL"""
+
+
+def _mean(alias: str, c: str) -> str:
+    return f"CAST({alias}.s_{c} AS DOUBLE) / nullif({alias}.n_{c}, 0)"
+
+
+# Straight from the definition: the history of a target round is every earlier
+# round, joined and added up.
+SHARED["peer_pool"] = f"""
+SELECT k.season, k.gw, k.position, k.is_promoted_club, {', '.join(f'sum(c.s_{c}) AS s_{c}, sum(c.n_{c}) AS n_{c}' for c in _POOLED)}
+FROM {{cells}} k JOIN {{cells}} c ON c.season = k.season AND c.position = k.position AND c.is_promoted_club = k.is_promoted_club AND c.gw < k.gw
+GROUP BY ALL"""
+SHARED["position_pool"] = f"""
+SELECT k.season, k.gw, k.position, {', '.join(f'sum(c.s_{c}) AS s_{c}, sum(c.n_{c}) AS n_{c}' for c in _POOLED)}
+FROM (SELECT DISTINCT season, gw, position FROM {{cells}}) k JOIN {{cells}} c ON c.season = k.season AND c.position = k.position AND c.gw < k.gw
+GROUP BY ALL"""
+SHARED["priors"] = f"""
+SELECT k.season, k.gw, k.position, k.is_promoted_club,
+  {', '.join(f"coalesce({_mean('a', c)}, {_mean('b', c)}, 0.0) AS {c}_prior" for c in _POOLED)}
+FROM {{cells}} k LEFT JOIN {{peer_pool}} a USING (season, gw, position, is_promoted_club) LEFT JOIN {{position_pool}} b USING (season, gw, position)"""
+add("expanding_pools", "SELECT season, gw, position, is_promoted_club, total_points_prior, saves_prior FROM {priors}")
+add("trailing_feature", f"""
+SELECT season, gw, element_id, coalesce(t, total_points_prior) AS total_points_trailing
+FROM (SELECT *, avg(total_points) {_W5} AS t FROM {{fact}}) f JOIN {{priors}} USING (season, gw, position, is_promoted_club)""")
+
+SHARED["hits"] = """
+SELECT season, element_id, gw, CASE WHEN position = 'DEF' AND defensive_contribution >= 10 THEN 1
+  WHEN position IN ('MID', 'FWD') AND defensive_contribution >= 12 THEN 1 ELSE 0 END AS hit
+FROM {fact} WHERE defensive_contribution IS NOT NULL AND CAST(season AS BIGINT) >= 1998"""
+SHARED["recent_hits"] = """
+SELECT season, gw, element_id, avg(hit) AS rate FROM (
+  SELECT f.season, f.gw, f.element_id, h.hit FROM {fact} f JOIN {hits} h ON h.season = f.season AND h.element_id = f.element_id AND h.gw < f.gw
+  QUALIFY row_number() OVER (PARTITION BY f.season, f.gw, f.element_id ORDER BY h.gw DESC) <= 5) GROUP BY ALL"""
+add("threshold_rate", """
+SELECT season, gw, element_id, coalesce(rate, 0.0) AS p_threshold FROM {fact} LEFT JOIN {recent_hits} USING (season, gw, element_id)""")
+add("trailing_state", """
+SELECT season, element_id, avg(total_points) AS total_points_trailing, avg(minutes) AS minutes_trailing, count(*) AS n_games
+FROM (SELECT * FROM {fact} WHERE gw <= 20 QUALIFY row_number() OVER (PARTITION BY season, element_id ORDER BY gw DESC) <= 5)
+GROUP BY season, element_id""")
+
+SHARED["rounds"] = "SELECT season, gw, min(kickoff_time) AS deadline, max(kickoff_time) AS last_kickoff FROM {fact} GROUP BY season, gw"
+SHARED["calendar"] = """
+SELECT r.season, r.gw, r.deadline, max(h.last_kickoff) AS available_at, max(h.last_kickoff) - INTERVAL 30 DAY AS form_cutoff
+FROM {rounds} r LEFT JOIN {rounds} h ON h.season = r.season AND h.gw < r.gw GROUP BY r.season, r.gw, r.deadline"""
+add("walk_calendar", "SELECT * FROM {calendar}")
+add("leakage_check", """
+SELECT season, gw, deadline, available_at FROM {calendar} WHERE NOT coalesce(available_at < deadline, false)""")
+
+# -------------------------------------------------------------- walk forward
+
+SHARED["form_means"] = """
+SELECT c.season, c.gw, f.element_id, avg(f.total_points) AS form
+FROM {calendar} c JOIN {fact} f ON f.season = c.season AND f.gw < c.gw AND f.kickoff_time > c.form_cutoff GROUP BY ALL"""
+_EVENT_TRAILING = ", ".join(f"avg({c}) {_W5} AS {c}_t" for c in _POOLED)
+SHARED["walk"] = f"""
+SELECT f.*, {', '.join(f'coalesce({c}_t, {c}_prior) AS {c}_trailing' for c in _POOLED)},
+  coalesce(form, total_points_prior) AS form_trailing, coalesce(rate, 0.0) AS p_threshold
+FROM (SELECT *, {_EVENT_TRAILING}, coalesce({_MINUTES_SQL['p_blank']}, 0.5) AS p_blank,
+        coalesce({_MINUTES_SQL['p_short']}, 0.2) AS p_short, coalesce({_MINUTES_SQL['p_full']}, 0.3) AS p_full FROM {{fact}}) f
+JOIN {{priors}} USING (season, gw, position, is_promoted_club)
+LEFT JOIN {{form_means}} USING (season, gw, element_id) LEFT JOIN {{recent_hits}} USING (season, gw, element_id)
+WHERE f.gw >= 2"""
+_ACTUALS = "total_points, minutes, goals_scored, assists, clean_sheets, bonus, bps"
+_ADJUSTED = "total_points_trailing * (1 + (3 - coalesce(opponent_difficulty, 3)) * CAST(0.075 AS DOUBLE))"
+SHARED["results"] = f"""
+SELECT *, prediction - total_points AS error FROM (
+  SELECT season, gw, 'trailing_mean' AS baseline, element_id, position, total_points_trailing AS prediction, {_ACTUALS} FROM {{walk}}
+  UNION ALL SELECT season, gw, 'form', element_id, position, form_trailing, {_ACTUALS} FROM {{walk}}
+  UNION ALL SELECT season, gw, 'fixture_adjusted', element_id, position, {_ADJUSTED}, {_ACTUALS} FROM {{walk}})"""
+add("walk_forward_baselines", "SELECT * FROM {results}")
+add("event_projection", f"""
+SELECT season, gw, element_id, {', '.join(f'{c}_trailing' for c in EVENTS)}, p_blank, p_short, p_full, p_threshold FROM {{walk}}""")
+
+# ------------------------------------------------------------------- ratings
+
+SHARED["numbered"] = """
+SELECT season, competition, fixture, event, team_h, team_a, team_h_score, team_a_score, kickoff_time,
+  row_number() OVER (PARTITION BY season, competition ORDER BY kickoff_time, fixture) AS i
+FROM {matches} WHERE finished"""
+_NEW_H = "pre_h + 20 * (res - ex)"
+SHARED["elo"] = """/*WITH_RECURSIVE*/
+SELECT DISTINCT season, competition, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS fixture, CAST(NULL AS DOUBLE) AS pre_h, CAST(NULL AS DOUBLE) AS pre_a,
+  list_transform(range(25), lambda x: CAST(1500 AS DOUBLE)) AS r FROM {numbered}
+UNION ALL
+SELECT season, competition, i, fixture, pre_h, pre_a,
+  list_transform(range(25), lambda x: CASE WHEN x = team_h THEN pre_h + 20 * (res - ex)
+                                        WHEN x = team_a THEN pre_a + 20 * ((1 - res) - (1 - ex)) ELSE r[x + 1] END)
+FROM (SELECT *, 1 / (1 + pow(CAST(10 AS DOUBLE), (pre_a - (pre_h + 60)) / 400)) AS ex FROM (
+  SELECT e.season, e.competition, m.i, m.fixture, m.team_h, m.team_a, e.r, e.r[m.team_h + 1] AS pre_h, e.r[m.team_a + 1] AS pre_a,
+    CAST(CASE WHEN m.team_h_score > m.team_a_score THEN 1 WHEN m.team_h_score < m.team_a_score THEN 0 ELSE 0.5 END AS DOUBLE) AS res
+  FROM elo e JOIN {numbered} m ON m.season = e.season AND m.competition = e.competition AND m.i = e.i + 1))"""
+SHARED["rated"] = """
+SELECT m.*, e.pre_h, e.pre_a, e.r FROM {elo} e JOIN {numbered} m ON m.season = e.season AND m.competition = e.competition AND m.i = e.i"""
+add("elo_ratings", f"""
+SELECT season, competition, fixture, event, team_h, team_a, {r6('pre_h')} AS elo_home_pre, {r6('pre_a')} AS elo_away_pre FROM {{rated}}""")
+SHARED["final_elo"] = """
+SELECT season, competition, team AS team_id, r[team + 1] AS elo FROM (
+  SELECT season, competition, arg_max(r, i) AS r FROM {rated} GROUP BY season, competition)
+JOIN (SELECT season, competition, team_h AS team FROM {rated} UNION SELECT season, competition, team_a FROM {rated}) USING (season, competition)"""
+add("final_ratings", f"SELECT season, competition, team_id, {r6('elo')} AS elo FROM {{final_elo}}")
+
+
+def _difficulty(own: str, other: str, home: bool) -> str:
+    return f"greatest(1.0, least(5.0, 3.0 + ({other} - ({own} {'+' if home else '-'} 60)) / 200))"
+
+
+SHARED["team_difficulty"] = f"""
+SELECT season, name AS team, gw, avg(d) AS custom_difficulty FROM (
+  SELECT season, team_h AS team_id, event AS gw, {_difficulty('pre_h', 'pre_a', True)} AS d FROM {{rated}}
+  UNION ALL SELECT season, team_a, event, {_difficulty('pre_a', 'pre_h', False)} FROM {{rated}})
+LEFT JOIN {{teams}} ON team_id = id GROUP BY season, name, gw"""
+add("team_difficulty", f"SELECT season, team, gw, {r6('custom_difficulty')} AS custom_difficulty FROM {{team_difficulty}}")
+add("compare_difficulty", f"""
+SELECT season, r.fixture, {r6(_difficulty('pre_h', 'pre_a', True))} AS custom_difficulty_home,
+  {r6(_difficulty('pre_a', 'pre_h', False))} AS custom_difficulty_away, team_h_difficulty, team_a_difficulty
+FROM {{rated}} r LEFT JOIN {{fixture_difficulty}} d ON r.fixture = d.fixture""")
+add("elo_expected_score", f"""
+SELECT season, fixture, {r6('1 / (1 + pow(CAST(10 AS DOUBLE), (pre_a - (pre_h + 60)) / 400))')} AS expected_home FROM {{rated}}""")
+SHARED["moved"] = """
+SELECT CAST(CAST(f.season AS BIGINT) + 1 AS STRING) AS season, competition, (n.id + 7) % 25 AS team_id, elo
+FROM {final_elo} f JOIN {teams} o ON f.team_id = o.id JOIN {teams} n ON n.name = o.name AND n.id % 9 <> 0"""
+SHARED["upcoming"] = """
+SELECT m.season, m.event AS gw, m.team_h, m.team_a, coalesce(h.elo, 1500) AS eh, coalesce(a.elo, 1500) AS ea FROM {matches} m
+LEFT JOIN {moved} h ON h.season = m.season AND h.competition = m.competition AND h.team_id = m.team_h
+LEFT JOIN {moved} a ON a.season = m.season AND a.competition = m.competition AND a.team_id = m.team_a"""
+add("upcoming_difficulty", f"""
+SELECT season, name AS team, gw, {r6('avg(d)')} AS custom_difficulty FROM (
+  SELECT season, team_h AS team_id, gw, {_difficulty('eh', 'ea', True)} AS d FROM {{upcoming}}
+  UNION ALL SELECT season, team_a, gw, {_difficulty('ea', 'eh', False)} FROM {{upcoming}})
+LEFT JOIN {{teams}} ON team_id = id GROUP BY season, name, gw""")
+add("teams_played", """
+SELECT DISTINCT season, event, unnest([team_h, team_a]) AS team_id FROM {matches}
+WHERE coalesce(finished, false) OR coalesce(finished_provisional, false)""")
+
+# --------------------------------------------------------------- event model
+
+_FAV = "(1 + (3 - d) * CAST(0.075 AS DOUBLE))"
+_ADV = "(1 + (d - 3) * CAST(0.075 AS DOUBLE))"
+EXPECTED_SQL = {
+    "minutes": "p_short + p_full * 2",
+    "goals": f"goals_scored_trailing * {_FAV} * CASE position WHEN 'GK' THEN 6 WHEN 'DEF' THEN 6 WHEN 'MID' THEN 5 ELSE 4 END",
+    "assists": f"assists_trailing * {_FAV} * 3",
+    "clean_sheets": f"clean_sheets_trailing * {_FAV} * CASE position WHEN 'GK' THEN 4 WHEN 'DEF' THEN 4 WHEN 'MID' THEN 1 ELSE 0 END",
+    "goals_conceded": f"CASE WHEN position IN ('GK', 'DEF') THEN -CAST(0.7 AS DOUBLE) * (goals_conceded_trailing * {_ADV} / 2) ELSE 0 END",
+    "saves": f"CASE WHEN position = 'GK' THEN saves_trailing * {_ADV} / CASE WHEN {_ERA} < 2000 THEN 3 ELSE 1 END ELSE 0 END",
+    "cards_and_other": "-2 * own_goals_trailing - 2 * penalties_missed_trailing + 5 * penalties_saved_trailing - yellow_cards_trailing - 3 * red_cards_trailing",
+    "defensive_contribution": f"CASE WHEN {_ERA} < 1998 THEN 0 ELSE p_threshold * 2 END",
+    "bonus": "bonus_trailing",
+}
+SHARED["walk_d"] = """
+SELECT w.*, coalesce(custom_difficulty, 3.0) AS d FROM {walk} w LEFT JOIN {team_difficulty} t ON t.season = w.season AND t.team = w.team AND t.gw = w.gw"""
+SHARED["event_results"] = f"""
+SELECT season, gw, 'event_model' AS baseline, element_id, position, {' + '.join(f'({c})' for c in EXPECTED_SQL.values())} AS prediction, {_ACTUALS}
+FROM {{walk_d}}"""
+add("event_model", f"""
+SELECT season, gw, element_id, position, {r6('prediction')} AS prediction, {r6('prediction - total_points')} AS error FROM {{event_results}}""")
+SHARED["parts"] = f"""
+SELECT season, {', '.join(f'abs(({EXPECTED_SQL[c]}) - ({COMPONENT_SQL[c]})) AS {c}' for c in COMPONENT_SQL)} FROM {{walk_d}}"""
+add("component_decomposition", " UNION ALL ".join(
+    f"SELECT season, '{c}' AS component, {r6(f'avg({c})')} AS mae FROM {{parts}} GROUP BY season" for c in COMPONENT_SQL))
+_HIT = {p: f"CASE WHEN {c} THEN 1 ELSE 0 END" for p, c in _MINUTES.items()}
+add("minutes_scorecard", f"""
+SELECT season, {', '.join(f"{r6(f'avg(({p} - {h}) * ({p} - {h}))')} AS {p.replace('p_', 'brier_')}" for p, h in _HIT.items())},
+  {r6('avg(abs(p_short * 30 + p_full * 90 - minutes))')} AS mae_expected_minutes, count(*) AS n FROM {{walk}} GROUP BY season""")
+
+# ------------------------------------------------------------------- metrics
+
+add("error_metrics", f"""
+SELECT season, baseline, count(*) AS n, {r6('avg(abs(error))')} AS mae, {r6('sqrt(avg(error * error))')} AS rmse
+FROM {{results}} GROUP BY season, baseline""")
+_CORR = "CASE WHEN count(*) >= 2 AND min({x}) < max({x}) AND min({y}) < max({y}) THEN corr({x}, {y}) END"
+add("pearson", f"""
+SELECT season, baseline, {r6(_CORR.format(x='prediction', y='total_points'))} AS pearson FROM {{results}} GROUP BY season, baseline""")
+
+
+def _ranked(keys: str, source: str) -> str:
+    rank = "rank() OVER (PARTITION BY {k} ORDER BY {v}) + (count(*) OVER (PARTITION BY {k}, {v}) - 1) / 2"
+    return (
+        f"SELECT {keys}, {rank.format(k=keys, v='prediction')} AS rx, {rank.format(k=keys, v='total_points')} AS ry FROM {source}"
+    )
+
+
+_RANK_CORR = _CORR.format(x="rx", y="ry")
+add("spearman", f"SELECT baseline, {r6(_RANK_CORR)} AS spearman FROM ({_ranked('baseline', '{results}')}) GROUP BY baseline")
+SHARED["by_position"] = f"""
+SELECT season, baseline, position, {_RANK_CORR} AS spearman FROM ({_ranked('season, baseline, position', '{results}')}) GROUP BY ALL"""
+add("spearman_within_position", f"""
+SELECT season, baseline, position, {r6('spearman')} AS spearman FROM {{by_position}}
+UNION ALL SELECT season, baseline, 'mean', {r6('avg(spearman)')} FROM {{by_position}} GROUP BY season, baseline""")
+add("average_rank", """
+SELECT event_id, event_type, value, rank() OVER (PARTITION BY event_type ORDER BY value)
+  + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2 AS avg_rank FROM {events}""")
+
+_PROBS = "[" + ", ".join(f"{i / 10}" for i in range(1, 10)) + "]"
+SHARED["bins"] = f"""
+SELECT r.baseline, len(list_filter(b, lambda x: x < prediction)) AS bin, prediction, total_points
+FROM {{results}} r JOIN (SELECT baseline, quantile_cont(prediction, {_PROBS}) AS b FROM {{results}} GROUP BY baseline) q ON q.baseline = r.baseline"""
+add("calibration", f"""
+SELECT baseline, CAST(bin AS INTEGER) AS bin, {r6('avg(prediction)')} AS mean_prediction, {r6('avg(total_points)')} AS mean_actual, count(*) AS n
+FROM {{bins}} GROUP BY baseline, bin""")
+_BUCKETS = {
+    "blank_(0_minutes)": "minutes = 0", "played_no_goal_involvement": "minutes > 0 AND goals_scored = 0 AND assists = 0",
+    "goal_involvement": "goals_scored > 0 OR assists > 0", "clean_sheet": "clean_sheets > 0", "bonus_earned": "bonus > 0",
+}
+
+
+def _by_event(season: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {season} AS season, baseline, '{b}' AS bucket, avg(abs(error)) FILTER (WHERE {c}) AS mae, count(*) FILTER (WHERE {c}) AS n "
+        f"FROM {{results}} GROUP BY ALL" for b, c in _BUCKETS.items())
+
+
+SHARED["by_event"] = _by_event("season")
+SHARED["by_event_pooled"] = _by_event("'pooled'")
+add("error_by_event", f"SELECT season, baseline, bucket, {r6('mae')} AS mae, n FROM {{by_event}}")
+
+
+def _summary(source: str) -> str:
+    body = []
+    for season in ("season", "'pooled'"):
+        level = f"(SELECT * REPLACE ({season} AS season) FROM {source})"
+        ranked = _ranked("season, baseline, position", level)
+        body.append(f"""
+SELECT e.season, e.baseline, e.n, e.mae, e.rmse, s.spearman_mean FROM (
+  SELECT season, baseline, count(*) AS n, avg(abs(error)) AS mae, sqrt(avg(error * error)) AS rmse FROM {level} GROUP BY ALL) e
+JOIN (SELECT season, baseline, avg(spearman) AS spearman_mean FROM (
+  SELECT season, baseline, position, {_RANK_CORR} AS spearman FROM ({ranked}) GROUP BY ALL) GROUP BY ALL) s
+ON s.season = e.season AND s.baseline = e.baseline""")
+    return " UNION ALL ".join(body)
+
+
+SHARED["all_results"] = "SELECT * FROM {results} UNION ALL BY NAME SELECT *, prediction - total_points AS error FROM {event_results}"
+add("model_comparison", f"""
+SELECT season, baseline, n, {r6('mae')} AS mae, {r6('rmse')} AS rmse, {r6('spearman_mean')} AS spearman_mean FROM ({_summary('{all_results}')})""")
+SHARED["summary"] = _summary("{results}")
+_LONG_ROWS = [
+    *[f"SELECT season, baseline, 'errors' AS section, 'all' AS label, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM {{summary}}"
+      for m in ("n", "mae", "rmse", "spearman_mean")],
+    *[f"SELECT season, baseline, 'error_by_event', bucket, '{m}', CAST({m} AS DOUBLE) FROM {{{src}}}"
+      for m in ("mae", "n") for src in ("by_event", "by_event_pooled")],
+    *[f"SELECT 'pooled', baseline, 'calibration', CAST(bin AS STRING), '{m}', CAST({e} AS DOUBLE) FROM {{bins}} GROUP BY baseline, bin"
+      for m, e in {"mean_prediction": "avg(prediction)", "mean_actual": "avg(total_points)", "n": "count(*)"}.items()],
+]
+add("long_report", f"SELECT season, baseline, section, label, metric, {r6('value')} AS value FROM ({' UNION ALL '.join(_LONG_ROWS)})")
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: oracle_with(text, SHARED) for name, text in SQL.items()}

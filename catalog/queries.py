@@ -12,7 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.tables import PROMOTED, RULES_BY_SEASON, Tables
-from touchline.operators import merge
+from touchline.functions import scoring
+from touchline.functions.difficulty import elo_expected
+from touchline.operators import merge, metrics, ranks, ratings, trailing
+from touchline.operators import validation as val
+from touchline.plans import walkforward as wf
+from touchline.sources.store import materialize
+from touchline.plans.models import BASELINES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FIXTURE_ORDER = ("kickoff_time", "fixture", "line", "part")
@@ -25,7 +31,8 @@ def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]
 
 
 def r6(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    """Six digits; the offset keeps exact decimal ties away from the rounding edge."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in columns})
 
 
 # ---------------------------------------------------------------- fact table
@@ -35,6 +42,252 @@ def fact(t: Tables) -> DataFrame:
     return merge.normalize_season(t.player_fixture, t.fixture_difficulty, t.teams, PROMOTED, FIXTURE_ORDER)
 
 
+def stored_fact(t: Tables) -> DataFrame:
+    """The fact table as walk-forward reads it: written once, read many times."""
+    return materialize(fact(t))
+
+
 @query
 def normalize_season(t: Tables) -> DataFrame:
     return r6(fact(t), *merge.DECIMAL_STATS)
+
+
+@query
+def score_components(t: Tables) -> DataFrame:
+    """Nine components and total per player and fixture, by season rules."""
+    rows = scoring.score(t.player_fixture.filter(F.col("position") != "AM"), RULES_BY_SEASON)
+    return rows.select(
+        "season", "element_id", "fixture", "line", "part", *[f"pts_{c}" for c in scoring.COMPONENTS], "points", "total_points",
+        scoring.bps(rows, RULES_BY_SEASON).alias("bps_points"),
+    )
+
+
+@query
+def replay_match_rate(t: Tables) -> DataFrame:
+    """Recomputed against recorded points on merged rows, per season."""
+    return scoring_replay(fact(t)).groupBy("season").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("points_match").alias("n_exact_match"),
+        F.avg(F.col("points_match").cast("int")).alias("match_rate"),
+    )
+
+
+@query
+def replay_discrepancies(t: Tables) -> DataFrame:
+    return scoring_replay(fact(t)).filter(~F.col("points_match")).select(
+        "season", "gw", "element_id", "name", "position", "n_fixtures", "total_points", "predicted_points"
+    )
+
+
+def scoring_replay(rows: DataFrame) -> DataFrame:
+    return scoring.replay(rows, RULES_BY_SEASON)
+
+
+# ------------------------------------------------------------- trailing rows
+
+
+@query
+def trailing_mean(t: Tables) -> DataFrame:
+    columns = ["total_points", "minutes", "goals_scored"]
+    rows = trailing.trailing_mean(fact(t), columns)
+    return rows.select(*merge.FACT_KEY, *[f"{c}_trailing" for c in columns], "n_games")
+
+
+@query
+def minutes_distribution(t: Tables) -> DataFrame:
+    return trailing.minutes_distribution(fact(t)).select(*merge.FACT_KEY, "p_blank", "p_short", "p_full")
+
+
+@query
+def expanding_pools(t: Tables) -> DataFrame:
+    return trailing.expanding_pools(fact(t), ["total_points", "saves"])
+
+
+@query
+def trailing_feature(t: Tables) -> DataFrame:
+    """Trailing mean with the (position, promoted) and position priors."""
+    rows = trailing.trailing_feature(stored_fact(t), ["total_points"])
+    return rows.select(*merge.FACT_KEY, "total_points_trailing")
+
+
+@query
+def threshold_rate(t: Tables) -> DataFrame:
+    return fact(t).select(*merge.FACT_KEY, trailing.threshold_rate(RULES_BY_SEASON).alias("p_threshold"))
+
+
+@query
+def trailing_state(t: Tables) -> DataFrame:
+    """One target: every player's trailing means after round 20."""
+    return trailing.trailing_state(fact(t), 20, ["total_points", "minutes"])
+
+
+@query
+def walk_calendar(t: Tables) -> DataFrame:
+    return trailing.walk_calendar(fact(t))
+
+
+# -------------------------------------------------------------- walk forward
+
+
+def baselines(t: Tables) -> DataFrame:
+    return wf.walk_forward(stored_fact(t), BASELINES)
+
+
+def difficulty(t: Tables) -> DataFrame:
+    rated = ratings.elo_ratings(ratings.match_results(t.matches), ("season", "competition"))
+    return ratings.team_difficulty(rated, t.teams)
+
+
+def all_models(t: Tables) -> DataFrame:
+    return wf.compare_models(stored_fact(t), RULES_BY_SEASON, difficulty(t))
+
+
+@query
+def walk_forward_baselines(t: Tables) -> DataFrame:
+    return baselines(t)
+
+
+@query
+def event_projection(t: Tables) -> DataFrame:
+    """Projected rates of the event model for every target row."""
+    frame = wf.walk_features(stored_fact(t), RULES_BY_SEASON, None, form=False).filter(F.col("gw") >= 2)
+    return frame.select(
+        *merge.FACT_KEY, *[f"{c}_trailing" for c in trailing.TRAILING_EVENTS], "p_blank", "p_short", "p_full", "p_threshold"
+    )
+
+
+@query
+def event_model(t: Tables) -> DataFrame:
+    rows = wf.walk_forward(stored_fact(t), ["event_model"], RULES_BY_SEASON, difficulty(t))
+    return r6(rows.select("season", "gw", "element_id", "position", "prediction", "error"), "prediction", "error")
+
+
+@query
+def model_comparison(t: Tables) -> DataFrame:
+    """MAE, RMSE and mean within-position Spearman per (season, model) and pooled."""
+    return r6(metrics.summarize(all_models(t)), "mae", "rmse", "spearman_mean")
+
+
+@query
+def leakage_check(t: Tables) -> DataFrame:
+    """Targets whose history is not complete strictly before the deadline.
+
+    A gap of no time at all: a round's first kickoff is its deadline, so the
+    round before it must have ended earlier.
+    """
+    return val.leakage_violations(trailing.walk_calendar(fact(t))).select("season", "gw", "deadline", "available_at")
+
+
+@query
+def component_decomposition(t: Tables) -> DataFrame:
+    rows = wf.decompose(stored_fact(t), RULES_BY_SEASON, difficulty(t))
+    return r6(metrics.component_mae(rows, ["season"]), "mae")
+
+
+@query
+def minutes_scorecard(t: Tables) -> DataFrame:
+    rows = wf.decompose(stored_fact(t), RULES_BY_SEASON, None)
+    return r6(metrics.minutes_scorecard(rows, ["season"]), "brier_blank", "brier_short", "brier_full", "mae_expected_minutes")
+
+
+# ------------------------------------------------------------------- metrics
+
+
+@query
+def error_metrics(t: Tables) -> DataFrame:
+    return r6(metrics.error_metrics(baselines(t), ["season", "baseline"]), "mae", "rmse")
+
+
+@query
+def pearson(t: Tables) -> DataFrame:
+    return r6(metrics.pearson(baselines(t), "prediction", "total_points", ["season", "baseline"]), "pearson")
+
+
+@query
+def spearman(t: Tables) -> DataFrame:
+    return r6(metrics.spearman(baselines(t), "prediction", "total_points", ["baseline"]), "spearman")
+
+
+@query
+def spearman_within_position(t: Tables) -> DataFrame:
+    return r6(metrics.spearman_within(baselines(t), ["season", "baseline"]), "spearman")
+
+
+@query
+def average_rank(t: Tables) -> DataFrame:
+    rows = ranks.average_rank(t.events.select("event_id", "event_type", "value"), ["event_type"], "value")
+    return rows
+
+
+@query
+def calibration(t: Tables) -> DataFrame:
+    return r6(metrics.calibration(baselines(t), ["baseline"]), "mean_prediction", "mean_actual")
+
+
+@query
+def error_by_event(t: Tables) -> DataFrame:
+    return r6(metrics.error_by_event(baselines(t), ["season", "baseline"]), "mae")
+
+
+@query
+def long_report(t: Tables) -> DataFrame:
+    return r6(metrics.long_report(baselines(t)), "value")
+
+
+# ------------------------------------------------------------------- ratings
+
+
+@query
+def elo_ratings(t: Tables) -> DataFrame:
+    rated = ratings.elo_ratings(ratings.match_results(t.matches), ("season", "competition"))
+    return r6(
+        rated.select("season", "competition", "fixture", "event", "team_h", "team_a", "elo_home_pre", "elo_away_pre"),
+        "elo_home_pre", "elo_away_pre",
+    )
+
+
+@query
+def final_ratings(t: Tables) -> DataFrame:
+    rated = ratings.elo_ratings(ratings.match_results(t.matches), ("season", "competition"))
+    return r6(ratings.final_ratings(rated, ("season", "competition")), "elo")
+
+
+@query
+def team_difficulty(t: Tables) -> DataFrame:
+    return r6(difficulty(t), "custom_difficulty")
+
+
+@query
+def compare_difficulty(t: Tables) -> DataFrame:
+    rated = ratings.elo_ratings(ratings.match_results(t.matches), ("season", "competition"))
+    rows = ratings.compare_difficulty(rated, t.fixture_difficulty)
+    wanted = ["season", "fixture", "custom_difficulty_home", "custom_difficulty_away", "team_h_difficulty", "team_a_difficulty"]
+    return r6(rows.select(*wanted), "custom_difficulty_home", "custom_difficulty_away")
+
+
+@query
+def upcoming_difficulty(t: Tables) -> DataFrame:
+    """Next season's fixtures on last season's final ratings, moved by name.
+
+    This season's ids differ from last season's: the club that was n is now
+    (n + 7) mod 25, and three clubs are new to it.
+    """
+    rated = ratings.elo_ratings(ratings.match_results(t.matches), ("season", "competition"))
+    final = ratings.final_ratings(rated, ("season", "competition"))
+    later = final.withColumn("season", (F.col("season").cast("int") + 1).cast("string"))
+    new_teams = t.teams.filter(F.col("id") % 9 != 0).withColumn("id", (F.col("id") + 7) % 25)
+    bridged = ratings.bridge_by_name(later, t.teams, new_teams, ("season", "competition"))
+    fixtures = t.matches.select("season", "competition", "event", "team_h", "team_a")
+    rows = ratings.upcoming_difficulty(bridged, fixtures, t.teams, ("season", "competition"), ("season",))
+    return r6(rows, "custom_difficulty")
+
+
+@query
+def elo_expected_score(t: Tables) -> DataFrame:
+    rated = ratings.elo_ratings(ratings.match_results(t.matches), ("season", "competition"))
+    expected = elo_expected(F.col("elo_home_pre") + 60.0, F.col("elo_away_pre"))
+    return r6(rated.select("season", "fixture", expected.alias("expected_home")), "expected_home")
+
+
+@query
+def teams_played(t: Tables) -> DataFrame:
+    return ratings.teams_played(t.matches, ["season", "event"])

@@ -33,19 +33,15 @@ _POSITION = "CASE {0} % 4 WHEN 0 THEN 'GK' WHEN 1 THEN 'DEF' WHEN 2 THEN 'MID' E
 def points_sql(alias: str = "e") -> str:
     """Official points of one fixture, written out for the three rule eras."""
     a = f"{alias}."
-    era = f"CAST({a}season AS BIGINT)"
-    long_game = f"{a}minutes >= 60"
+    role = f"{a}element_id % 4"  # 0 goalkeeper, 1 defender, 2 midfielder, 3 forward
     return f"""(
       CASE WHEN {a}minutes = 0 THEN 0 WHEN {a}minutes < 60 THEN 1 ELSE 2 END
-      + {a}goals_scored * (CASE {a}position WHEN 'GK' THEN 6 WHEN 'DEF' THEN 6 WHEN 'MID' THEN 5 ELSE 4 END)
-      + {a}assists * 3
-      + CASE WHEN {long_game} THEN {a}clean_sheets * (CASE {a}position WHEN 'GK' THEN 4 WHEN 'DEF' THEN 4 WHEN 'MID' THEN 1 ELSE 0 END) ELSE 0 END
-      - CASE WHEN {long_game} AND {a}position IN ('GK', 'DEF') THEN CAST(floor({a}goals_conceded / 2) AS BIGINT) ELSE 0 END
-      + CASE WHEN {era} < 2000 THEN CAST(floor({a}saves / 3) AS BIGINT) ELSE {a}saves END
-      - 2 * {a}own_goals - 2 * {a}penalties_missed + 5 * {a}penalties_saved - {a}yellow_cards - 3 * {a}red_cards
-      + CASE WHEN {era} < 1998 OR {a}defensive_contribution IS NULL THEN 0
-             WHEN {a}position = 'DEF' AND {a}defensive_contribution >= 10 THEN 2
-             WHEN {a}position IN ('MID', 'FWD') AND {a}defensive_contribution >= 12 THEN 2 ELSE 0 END
+      + {a}goals_scored * (CASE WHEN {role} < 2 THEN 6 WHEN {role} = 2 THEN 5 ELSE 4 END) + {a}assists * 3
+      + CASE WHEN {a}minutes < 60 OR {role} = 3 THEN 0 WHEN {role} = 2 THEN {a}clean_sheets ELSE {a}clean_sheets * 4 END
+      - CASE WHEN {a}minutes >= 60 AND {role} < 2 AND {a}goals_conceded >= 2 THEN 1 ELSE 0 END
+      + CASE WHEN {a}era >= 2000 THEN {a}saves WHEN {a}saves >= 3 THEN 1 ELSE 0 END
+      - 2 * ({a}own_goals + {a}penalties_missed) - {a}yellow_cards - 3 * {a}red_cards + 5 * {a}penalties_saved
+      + CASE WHEN {a}defensive_contribution >= (CASE {role} WHEN 0 THEN 99 WHEN 1 THEN 10 ELSE 12 END) THEN 2 ELSE 0 END
       + {a}bonus)"""
 
 
@@ -61,34 +57,37 @@ FROM {orders}"""
 
 # One row per player and fixture, without the official points.
 VIEWS["player_events"] = f"""
-SELECT CAST(year(l_shipdate) AS STRING) AS season,
-  CAST(floor((dayofyear(l_shipdate) - 1) / 10) AS BIGINT) + 1 AS gw,
+SELECT CAST(era AS STRING) AS season, era,
+  CAST(floor((dayofyear(l_shipdate) - 1) * 1e-1) AS BIGINT) + 1 AS gw,
   l_suppkey AS element_id, s_name AS name, n_name AS team,
-  CASE WHEN l_linenumber = 7 AND l_tax > 0.075 THEN 'AM' ELSE {_POSITION.format('l_suppkey')} END AS position,
+  CASE WHEN l_linenumber = 7 AND tax = 8 THEN 'AM' ELSE {_POSITION.format('l_suppkey')} END AS position,
   l_partkey % 25 AS opponent_team, l_linestatus = 'O' AS was_home, l_shipdate AS kickoff_time,
   l_orderkey AS fixture, CAST(l_linenumber AS BIGINT) AS line, l_partkey AS part,
   CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 25 THEN CAST(l_quantity * 2 AS BIGINT) ELSE 90 END AS minutes,
   CAST(CASE WHEN l_quantity >= 25 THEN 1 ELSE 0 END AS BIGINT) AS starts,
-  CAST(CASE WHEN l_quantity < 10 THEN 0 WHEN round(l_discount * 100) = 10 THEN 2 WHEN round(l_discount * 100) = 9 THEN 1 ELSE 0 END AS BIGINT) AS goals_scored,
-  CAST(CASE WHEN l_quantity >= 10 AND round(l_tax * 100) = 8 THEN 1 ELSE 0 END AS BIGINT) AS assists,
+  CAST(CASE WHEN l_quantity < 10 THEN 0 WHEN disc = 10 THEN 2 WHEN disc = 9 THEN 1 ELSE 0 END AS BIGINT) AS goals_scored,
+  CAST(CASE WHEN l_quantity >= 10 AND tax = 8 THEN 1 ELSE 0 END AS BIGINT) AS assists,
   CAST(CASE WHEN l_quantity >= 25 AND l_returnflag = 'N' THEN 1 ELSE 0 END AS BIGINT) AS clean_sheets,
   CAST(CASE WHEN l_quantity >= 10 THEN l_linenumber % 4 ELSE 0 END AS BIGINT) AS goals_conceded,
-  CAST(CASE WHEN round(l_discount * 100) = 3 AND round(l_tax * 100) = 3 AND l_linenumber = 3 THEN 1 ELSE 0 END AS BIGINT) AS own_goals,
-  CAST(CASE WHEN l_suppkey % 4 = 0 AND round(l_discount * 100) = 1 AND round(l_tax * 100) = 1 THEN 1 ELSE 0 END AS BIGINT) AS penalties_saved,
-  CAST(CASE WHEN round(l_discount * 100) = 2 AND round(l_tax * 100) = 2 AND l_linenumber = 1 THEN 1 ELSE 0 END AS BIGINT) AS penalties_missed,
-  CAST(CASE WHEN round(l_discount * 100) = 5 AND l_linenumber % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS yellow_cards,
-  CAST(CASE WHEN round(l_discount * 100) = 4 AND round(l_tax * 100) = 4 AND l_linenumber = 5 THEN 1 ELSE 0 END AS BIGINT) AS red_cards,
-  CASE WHEN l_suppkey % 4 = 0 THEN CAST(floor(l_quantity / 10) AS BIGINT) ELSE 0 END AS saves,
-  CAST(CASE WHEN l_quantity < 40 THEN 0 WHEN round(l_discount * 100) = 8 THEN 3 WHEN round(l_discount * 100) = 7 THEN 2 WHEN round(l_discount * 100) = 6 THEN 1 ELSE 0 END AS BIGINT) AS bonus,
-  CAST(floor(l_quantity) AS BIGINT) + l_linenumber AS bps,
-  CASE WHEN year(l_shipdate) < 1998 THEN NULL ELSE CAST(floor(l_extendedprice / 2000) AS BIGINT) % 9 END AS clearances_blocks_interceptions,
-  CASE WHEN year(l_shipdate) < 1998 OR l_partkey % 11 = 0 THEN NULL ELSE CAST(floor(l_extendedprice / 5000) AS BIGINT) % 18 END AS defensive_contribution,
-  CASE WHEN year(l_shipdate) < 1998 THEN NULL ELSE CAST(floor(l_extendedprice / 3000) AS BIGINT) % 7 END AS recoveries,
-  CASE WHEN year(l_shipdate) < 1998 THEN NULL ELSE CAST(floor(l_extendedprice / 4000) AS BIGINT) % 5 END AS tackles,
-  floor(l_extendedprice / 100) / 10 AS influence, floor(l_extendedprice / 200) / 10 AS creativity,
-  floor(l_extendedprice / 150) / 10 AS threat, floor(l_extendedprice / 1000) / 10 AS ict_index,
-  40 + l_partkey % 60 AS value, l_partkey * 10 AS selected, l_orderkey % 1000 AS transfers_in, l_partkey % 1000 AS transfers_out
-FROM {{lineitem}} JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey"""
+  CAST(CASE WHEN l_partkey % 97 = 0 THEN 1 ELSE 0 END AS BIGINT) AS own_goals,
+  CAST(CASE WHEN l_suppkey % 4 = 0 AND disc = 1 THEN 1 ELSE 0 END AS BIGINT) AS penalties_saved,
+  CAST(CASE WHEN l_partkey % 89 = 1 THEN 1 ELSE 0 END AS BIGINT) AS penalties_missed,
+  CAST(CASE WHEN disc = 5 THEN 1 ELSE 0 END AS BIGINT) AS yellow_cards,
+  CAST(CASE WHEN l_partkey % 83 = 2 THEN 1 ELSE 0 END AS BIGINT) AS red_cards,
+  CASE WHEN l_suppkey % 4 = 0 THEN CAST(floor(l_quantity * 1e-1) AS BIGINT) ELSE 0 END AS saves,
+  CAST(CASE WHEN l_quantity < 40 THEN 0 WHEN disc = 8 THEN 3 WHEN disc = 7 THEN 2 WHEN disc = 6 THEN 1 ELSE 0 END AS BIGINT) AS bonus,
+  CAST(floor(l_quantity) AS BIGINT) AS bps,
+  CASE WHEN era < 1998 THEN NULL ELSE CAST(floor(l_extendedprice * 5e-4) AS BIGINT) % 9 END AS clearances_blocks_interceptions,
+  CASE WHEN era < 1998 OR l_partkey % 11 = 0 THEN NULL ELSE CAST(floor(l_extendedprice * 2e-4) AS BIGINT) % 18 END AS defensive_contribution,
+  CASE WHEN era < 1998 THEN NULL ELSE CAST(floor(l_extendedprice * 3e-4) AS BIGINT) % 7 END AS recoveries,
+  CASE WHEN era < 1998 THEN NULL ELSE CAST(floor(l_extendedprice * 25e-5) AS BIGINT) % 5 END AS tackles,
+  floor(l_extendedprice * 1e-2) * 1e-1 AS influence, floor(l_extendedprice * 5e-3) * 1e-1 AS creativity,
+  floor(l_extendedprice * 7e-3) * 1e-1 AS threat, floor(l_extendedprice * 1e-3) * 1e-1 AS ict_index,
+  40 + l_partkey % 60 AS value, l_partkey AS selected, l_orderkey AS transfers_in, l_partkey AS transfers_out
+FROM (SELECT *, floor(l_discount * 100 + 0.5) AS disc, floor(l_tax * 100 + 0.5) AS tax, CAST(year(l_shipdate) AS BIGINT) AS era FROM {{lineitem}}
+  WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL AND l_suppkey IS NOT NULL AND l_linenumber IS NOT NULL AND l_quantity IS NOT NULL
+    AND l_extendedprice IS NOT NULL AND l_discount IS NOT NULL AND l_tax IS NOT NULL AND l_shipdate IS NOT NULL) AS l
+JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey"""
 
 VIEWS["player_fixture"] = f"""
 SELECT e.*, CAST({points_sql('e')} AS BIGINT) AS total_points FROM {{player_events}} AS e"""

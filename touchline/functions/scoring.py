@@ -160,6 +160,17 @@ def points(df: DataFrame, rules: Mapping) -> Column:
     return by_season(rules, lambda r: total_of(component_points(r, columns)).cast("bigint"))
 
 
+def replay(df: DataFrame, rules: Mapping, recorded: str = "total_points") -> DataFrame:
+    """Recomputed points beside the recorded ones.
+
+    Thresholds apply to merged counts here, while official points are given per
+    fixture, so rows with several fixtures may differ.
+    """
+    return df.withColumn("predicted_points", points(df, rules)).withColumn(
+        "points_match", F.col("predicted_points") == F.col(recorded)
+    )
+
+
 def bps(df: DataFrame, rules: Mapping) -> Column:
     """Illustrative bonus-system points."""
     columns = set(df.columns)

@@ -36,12 +36,11 @@ def pick_by_side(was_home: str, home: str, away: str) -> Column:
 def flag_members(column: str, members: Mapping[str, list[str]] | list[str], season: str = "season") -> Column:
     """True where the value is in the list, or in its season's list."""
     if isinstance(members, Mapping):
-        flag = F.lit(False)
-        for name, clubs in sorted(members.items()):
-            flag = flag | ((F.col(season) == name) & F.col(column).isin(list(clubs)))
+        pairs = [F.lit(x) for name, clubs in sorted(members.items()) for x in (name, list(clubs))]
+        listed = F.try_element_at(F.create_map(*pairs), F.col(season))  # folds into one literal
     else:
-        flag = F.col(column).isin(list(members))
-    return F.coalesce(flag, F.lit(False))
+        listed = F.lit(list(members))
+    return F.coalesce(F.array_contains(listed, F.col(column)), F.lit(False))
 
 
 def with_optional_columns(df: DataFrame, columns: list[str] = OPTIONAL_STATS, data_type: str = "bigint") -> DataFrame:

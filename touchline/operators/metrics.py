@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from touchline.functions.market import binomial_ci
 from touchline.functions.scoring import COMPONENTS
 from touchline.operators.ranks import average_ranks, quantile_breaks
+from touchline.sources.store import materialize
 
 EVENT_BUCKETS: dict[str, str] = {
     "blank_(0_minutes)": "minutes = 0",
@@ -79,7 +80,7 @@ def _spearman_of_counts(pairs: DataFrame, x: str, y: str, keys: list[str], out:
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str], out: str = "spearman") -> DataFrame:
     """Pearson of average-tie ranks, on pre-counted value pairs."""
-    return _spearman_of_counts(_pair_counts(df, x, y, keys), x, y, keys, out)
+    return _spearman_of_counts(materialize(_pair_counts(df, x, y, keys)), x, y, keys, out)
 
 
 def _with_mean(per_position: DataFrame, keys: list[str], within: str) -> DataFrame:
@@ -103,6 +104,10 @@ def calibration(results: DataFrame, keys: list[str], n_bins: int = 10) -> DataFr
     counts = results.groupBy(*keys, "prediction").agg(
         F.count(F.lit(1)).alias("n"), F.sum("total_points").alias("_actual")
     )
+    return _calibration_of_counts(materialize(counts), keys, n_bins)
+
+
+def _calibration_of_counts(counts: DataFrame, keys: list[str], n_bins: int = 10) -> DataFrame:
     breaks = quantile_breaks(counts, keys, "prediction", [i / n_bins for i in range(1, n_bins)])
     bin_of = F.size(F.filter("breaks", lambda b: b < F.col("prediction")))
     binned = counts.join(breaks, keys).withColumn("bin", bin_of)
@@ -113,52 +118,72 @@ def calibration(results: DataFrame, keys: list[str], n_bins: int = 10) -> DataFr
     )
 
 
+def tally(results: DataFrame) -> DataFrame:
+    """Walk-forward results reduced to what every report metric needs.
+
+    One row per season, model, position, prediction and actual, with the number
+    of rows and of rows per kind of outcome. One pass, combined on the map side;
+    all later steps read this much smaller table.
+    """
+    return results.groupBy("season", "baseline", "position", "prediction", "total_points").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.expr(p)).alias(f"n_{i}") for i, p in enumerate(EVENT_BUCKETS.values())]
+    )
+
+
+def _with_pooled(counts: DataFrame, measures: list[str]) -> DataFrame:
+    """Counts per season, and again over all seasons."""
+    keys = [c for c in counts.columns if c not in measures and c != "season"]
+    pooled = counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in measures]).withColumn("season", F.lit(POOLED))
+    return counts.unionByName(pooled)
+
+
 def error_by_event(results: DataFrame, keys: list[str]) -> DataFrame:
     """MAE over five overlapping kinds of outcome, in long form."""
     e = F.abs("error")
     wide = results.groupBy(*keys).agg(
-        *[F.avg(F.when(F.expr(p), e)).alias(f"mae_{i}") for i, p in enumerate(EVENT_BUCKETS.values())],
+        *[F.sum(F.when(F.expr(p), e)).alias(f"abs_{i}") for i, p in enumerate(EVENT_BUCKETS.values())],
         *[F.count_if(F.expr(p)).alias(f"n_{i}") for i, p in enumerate(EVENT_BUCKETS.values())],
     )
+    return _event_rows(wide, keys)
+
+
+def _event_rows(wide: DataFrame, keys: list[str]) -> DataFrame:
     entries = [
-        F.struct(F.lit(label).alias("bucket"), F.col(f"mae_{i}").alias("mae"), F.col(f"n_{i}").alias("n"))
+        F.struct(F.lit(label).alias("bucket"), F.try_divide(f"abs_{i}", f"n_{i}").alias("mae"), F.col(f"n_{i}").alias("n"))
         for i, label in enumerate(EVENT_BUCKETS)
     ]
     return wide.select(*keys, F.explode(F.array(*entries)).alias("_e")).select(*keys, "_e.*")
 
 
-def summarize(results: DataFrame) -> DataFrame:
-    """Error and rank metrics per (season, model) and per model, in one table.
-
-    Errors are summed once per (season, model) and rolled up from there. Ranks
-    depend on the level, so the pre-counted pairs of both levels are ranked in
-    one pass.
-    """
-    e = F.col("error")
-    fine = results.groupBy("season", "baseline").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.abs(e)).alias("_abs"), F.sum(e * e).alias("_sq")
-    )
-    both = fine.unionByName(
-        fine.groupBy("baseline").agg(*[F.sum(c).alias(c) for c in ("n", "_abs", "_sq")]).withColumn("season", F.lit(POOLED))
+def _error_sums(tallies: DataFrame) -> DataFrame:
+    """Error sums per (season, model), and per model over all seasons."""
+    e, n = F.abs(F.col("prediction") - F.col("total_points")), F.col("n")
+    buckets = range(len(EVENT_BUCKETS))
+    sums = tallies.groupBy("season", "baseline").agg(
+        F.sum("n").alias("n"), F.sum(e * n).alias("_abs"), F.sum(e * e * n).alias("_sq"),
+        *[F.sum(e * F.col(f"n_{i}")).alias(f"abs_{i}") for i in buckets], *[F.sum(f"n_{i}").alias(f"n_{i}") for i in buckets],
     )
-    errors = both.select(
+    return _with_pooled(sums, [c for c in sums.columns if c not in ("season", "baseline")])
+
+
+def _summary_of(tallies: DataFrame) -> DataFrame:
+    errors = _error_sums(tallies).select(
         "season", "baseline", "n", F.try_divide("_abs", "n").alias("mae"), F.sqrt(F.try_divide("_sq", "n")).alias("rmse")
     )
-    return errors.join(rank_summary(results), ["season", "baseline"], "left")
+    pairs = tallies.filter(F.col("position").isNotNull()).select("season", "baseline", "position", "prediction", "total_points", "n")
+    levels = materialize(_with_pooled(pairs, ["n"]))
+    ranks = _spearman_of_counts(levels, "prediction", "total_points", ["season", "baseline", "position"], "spearman")
+    mean = ranks.groupBy("season", "baseline").agg(F.avg("spearman").alias("spearman_mean"))
+    return errors.join(mean, ["season", "baseline"], "left")
 
 
-def rank_summary(results: DataFrame) -> DataFrame:
-    """Mean within-position Spearman per (season, model) and per model."""
-    rows = results.filter(F.col("position").isNotNull())
-    pairs = _pair_counts(rows, "prediction", "total_points", ["season", "baseline", "position"])
-    pooled = (
-        pairs.groupBy("baseline", "position", "prediction", "total_points")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("season", F.lit(POOLED))
-    )
-    keys = ["season", "baseline", "position"]
-    per_position = _spearman_of_counts(pairs.unionByName(pooled), "prediction", "total_points", keys, "spearman")
-    return per_position.groupBy("season", "baseline").agg(F.avg("spearman").alias("spearman_mean"))
+def summarize(results: DataFrame) -> DataFrame:
+    """Error and rank metrics per (season, model) and per model, in one table.
+
+    Ranks depend on the level, so the pre-counted pairs of both levels are
+    ranked in one pass.
+    """
+    return _summary_of(materialize(tally(results)))
 
 
 def component_mae(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -202,9 +227,11 @@ def hit_rate(rows: DataFrame, predicted: str = "predicted_direction", actual: st
 
 def long_report(results: DataFrame) -> DataFrame:
     """All report metrics as (season, baseline, section, label, metric, value)."""
-    summary = summarize(results)
-    pooled = results.withColumn("season", F.lit(POOLED))
+    tallies = materialize(tally(results))
     both = ["season", "baseline"]
+    predictions = tallies.groupBy("baseline", "prediction").agg(
+        F.sum("n").alias("n"), F.sum(F.col("total_points") * F.col("n")).alias("_actual")
+    ).withColumn("season", F.lit(POOLED))
 
     def rows(df: DataFrame, section: str, label: Column, metrics: list[str]) -> DataFrame:
         entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
@@ -212,15 +239,11 @@ def long_report(results: DataFrame) -> DataFrame:
         return spread.select(*both, "section", "label", "_m.metric", "_m.value")
 
     parts = [
-        rows(summary, "errors", F.lit("all"), ["n", "mae", "rmse", "spearman_mean"]),
-        rows(error_by_event(results, both), "error_by_event", F.col("bucket"), ["mae", "n"]),
-        rows(error_by_event(pooled, both), "error_by_event", F.col("bucket"), ["mae", "n"]),
-        rows(calibration(pooled, both), "calibration", F.col("bin"), ["mean_prediction", "mean_actual", "n"]),
+        rows(_summary_of(tallies), "errors", F.lit("all"), ["n", "mae", "rmse", "spearman_mean"]),
+        rows(_event_rows(_error_sums(tallies), both), "error_by_event", F.col("bucket"), ["mae", "n"]),
+        rows(_calibration_of_counts(predictions, both), "calibration", F.col("bin"), ["mean_prediction", "mean_actual", "n"]),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def report_document(report: DataFrame) -> DataFrame:
