@@ -7,16 +7,18 @@ fixed order are rounded to six digits, as in the checking SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.tables import PROMOTED, RULES_BY_SEASON, Tables
-from touchline.functions import scoring
+from touchline.functions import market, parsing, scoring
 from touchline.functions.difficulty import elo_expected
-from touchline.operators import merge, metrics, ranks, ratings, trailing
+from touchline.operators import forward, merge, metrics, ranks, ratings, segments, snapshots, squad, swaps, trailing
 from touchline.operators import validation as val
 from touchline.plans import walkforward as wf
+from touchline.sources import payloads, store
 from touchline.sources.store import materialize
 from touchline.plans.models import BASELINES
 
@@ -291,3 +293,438 @@ def elo_expected_score(t: Tables) -> DataFrame:
 @query
 def teams_played(t: Tables) -> DataFrame:
     return ratings.teams_played(t.matches, ["season", "event"])
+
+
+# ----------------------------------------------------------------- snapshots
+
+AS_OF = datetime(2024, 1, 20, 12)
+DEADLINE = datetime(2024, 1, 15)
+STEP = ("snapshot_ts", "event_id")
+
+
+@query
+def latest_state(t: Tables) -> DataFrame:
+    return snapshots.latest_state(t.snapshots, order=STEP)
+
+
+@query
+def latest_state_per_gw(t: Tables) -> DataFrame:
+    return snapshots.latest_state(t.snapshots, ["gw", "element_id"], STEP).select("gw", "element_id", "event_id", "now_cost", "status")
+
+
+@query
+def state_as_of(t: Tables) -> DataFrame:
+    return snapshots.state_as_of(t.snapshots, AS_OF, order=STEP)
+
+
+@query
+def changed_rows(t: Tables) -> DataFrame:
+    """Change-only series over the coarse columns, re-based every round."""
+    rows = snapshots.changed_rows(t.snapshots, ["now_cost", "status"], order=STEP)
+    return rows.select("gw", "element_id", "event_id", "snapshot_ts", "now_cost", "status")
+
+
+@query
+def compare_state(t: Tables) -> DataFrame:
+    """The states at one instant that differ from those three days earlier."""
+    new, old = snapshots.state_as_of(t.snapshots, AS_OF, order=STEP), snapshots.state_as_of(t.snapshots, DEADLINE, order=STEP)
+    return snapshots.compare_state(new, old, ["now_cost", "status"]).select("element_id", "now_cost", "status")
+
+
+def deltas(t: Tables) -> DataFrame:
+    return snapshots.compute_deltas(t.snapshots, AS_OF, snapshots.reference_times(AS_OF, DEADLINE), order=STEP)
+
+
+@query
+def compute_deltas(t: Tables) -> DataFrame:
+    rows = deltas(t)
+    return r6(rows, *[c for c, kind in rows.dtypes if kind == "double"])
+
+
+@query
+def state_pair(t: Tables) -> DataFrame:
+    return snapshots.state_pair(t.snapshots, DEADLINE, AS_OF, ["now_cost", "status"], order=STEP)
+
+
+@query
+def as_of_join(t: Tables) -> DataFrame:
+    """For each purchase the user's latest non-purchase snapshot before it."""
+    bought = t.snapshots.filter(F.col("status") == "purchase").select("element_id", "snapshot_ts", "event_id", "ep_next")
+    other = t.snapshots.filter(F.col("status") != "purchase").select("element_id", "snapshot_ts", "event_id", "now_cost")
+    rows = segments.as_of_join(bought, other, ["element_id"], "snapshot_ts", "snapshot_ts", ["event_id", "now_cost"], ["event_id"], segment="day")
+    return rows.select(
+        "element_id", "event_id", "ep_next", F.col("matched.event_id").alias("seen_event_id"), F.col("matched.now_cost").alias("seen_cost")
+    )
+
+
+@query
+def retention_filter(t: Tables) -> DataFrame:
+    """Rows by news time, 10 days kept; rows without news stay."""
+    return snapshots.retention_filter(t.snapshots, "news_added", 10, AS_OF).select("event_id", "news_added")
+
+
+@query
+def flatten_snapshots(t: Tables) -> DataFrame:
+    """Snapshots packed into JSON payloads and parsed back to typed rows."""
+    text = lambda c: F.when(F.col("event_id") % 10 == 0, F.lit("")).otherwise(F.col(c).cast("string"))
+    element = F.struct(
+        F.col("element_id").alias("id"), "now_cost", text("selected_by_percent").alias("selected_by_percent"),
+        "transfers_in_event", "transfers_out_event", F.col("form").cast("string").alias("form"), "status",
+        "chance_of_playing_next_round", text("ep_next").alias("ep_next"), F.lit("x").alias("unmodelled"),
+    )
+    raw = t.snapshots.select("event_id", F.to_json(F.struct(F.array(element).alias("elements"))).alias("payload"))
+    return payloads.flatten_snapshots(raw, ("event_id",)).drop("news_added")
+
+
+@query
+def extra_fields(t: Tables) -> DataFrame:
+    """Unknown field names of event properties and how often they occur."""
+    raw = t.events.select(F.col("props").alias("payload"))
+    return payloads.extra_fields(raw, payloads.ELEMENT_SUMMARY)
+
+
+@query
+def contract_report(t: Tables) -> DataFrame:
+    from touchline.schemas import fields
+
+    wanted = fields("element_id now_cost chance_of_playing_next_round news_added:timestamp")
+    return payloads.contract_report(t.snapshots, wanted)
+
+
+# -------------------------------------------------------------------- market
+
+
+@query
+def ownership_acceleration(t: Tables) -> DataFrame:
+    return r6(market.ownership_acceleration(deltas(t)), "ownership_delta_short", "ownership_delta_long", "ownership_acceleration")
+
+
+@query
+def transfer_velocity(t: Tables) -> DataFrame:
+    return r6(market.transfer_velocity(deltas(t), "24h", 24.0), "transfer_velocity")
+
+
+@query
+def price_pressure(t: Tables) -> DataFrame:
+    return r6(market.price_pressure(deltas(t), "24h"), "price_change_pressure")
+
+
+@query
+def price_directions(t: Tables) -> DataFrame:
+    from touchline.plans.prices import price_outcomes
+
+    return r6(price_outcomes(t.snapshots, DEADLINE, AS_OF, "72h", order=STEP), "price_change_pressure")
+
+
+@query
+def price_model(t: Tables) -> DataFrame:
+    from touchline.plans.prices import price_model as evaluate
+
+    return r6(evaluate(t.snapshots, DEADLINE, AS_OF, "72h", order=STEP), "hit_rate", "ci_low", "ci_high")
+
+
+# -------------------------------------------------------------------- squads
+
+START, MID_LOG, END_LOG = datetime(1990, 1, 1), datetime(1997, 1, 1), datetime(2000, 6, 30)
+LAST_EVENT = 80
+
+
+@query
+def activity_per_gw(t: Tables) -> DataFrame:
+    return squad.activity_per_gw(t.transfers, t.chips)
+
+
+@query
+def free_transfers(t: Tables) -> DataFrame:
+    states = squad.free_transfers(t.banks, squad.activity_per_gw(t.transfers, t.chips), LAST_EVENT)
+    return states.withColumn("hit_points", market.hit_points(F.col("hit_count")))
+
+
+def state(t: Tables) -> DataFrame:
+    return squad.squad_state(t.picks, t.transfers, F.lit(START), F.lit(END_LOG), t.pool.select("element_id", "now_cost"))
+
+
+@query
+def squad_state(t: Tables) -> DataFrame:
+    return state(t)
+
+
+@query
+def bank_after(t: Tables) -> DataFrame:
+    return squad.bank_after(t.banks, t.transfers, F.lit(START), F.lit(END_LOG))
+
+
+@query
+def validate_log(t: Tables) -> DataFrame:
+    """Sales that do not fit the first picks when two years of the log are lost."""
+    late = t.transfers.filter(F.col("transfer_time") > F.lit(MID_LOG))
+    return squad.validate_log(t.picks, late, segment="year").select("entry", "seq", "element_id")
+
+
+def squads(t: Tables) -> DataFrame:
+    """Initial squads with prices, positions and clubs."""
+    priced = squad.refresh_prices(t.picks, t.pool.select("element_id", "now_cost"))
+    return priced.join(t.pool.select("element_id", "position", "club"), "element_id")
+
+
+@query
+def legality(t: Tables) -> DataFrame:
+    return squad.legality(squads(t), t.banks)
+
+
+@query
+def best_lineup(t: Tables) -> DataFrame:
+    rows = squad.best_lineup(squads(t), t.projections, [1, 2, 3])
+    return rows.select("entry", "gw", "element_id", "in_xi", "is_captain", "is_vice_captain", "bench_order")
+
+
+@query
+def lineup_points(t: Tables) -> DataFrame:
+    """Points of every squad in each of three rounds."""
+    rounds = t.picks.withColumn("gw", F.explode(F.array(*[F.lit(g).cast("bigint") for g in (1, 2, 3)])))
+    return squad.lineup_points(rounds, t.pool_actuals)
+
+
+def entry_banks(t: Tables) -> DataFrame:
+    return t.banks.withColumn("free_transfers", F.col("entry") % 3)
+
+
+def swap(t: Tables) -> DataFrame:
+    return swaps.best_single_swap(squads(t), entry_banks(t), t.pool, t.projections, [1, 2, 3])
+
+
+@query
+def best_single_swap(t: Tables) -> DataFrame:
+    return swap(t)
+
+
+@query
+def apply_moves(t: Tables) -> DataFrame:
+    return squad.apply_moves(squads(t), materialize(swap(t)), t.pool, t.projections, 1)
+
+
+@query
+def squad_diff(t: Tables) -> DataFrame:
+    return squad.squad_diff(t.picks, state(t))
+
+
+@query
+def pair_by_position(t: Tables) -> DataFrame:
+    changes = materialize(squad.squad_diff(t.picks, state(t))).join(t.pool.select("element_id", "position"), "element_id")
+    return squad.pair_by_position(changes.filter("direction = 'out'"), changes.filter("direction = 'in'"))
+
+
+@query
+def template_risk(t: Tables) -> DataFrame:
+    """Last sold players that many others own."""
+    sales = t.transfers.select("entry", "seq", F.col("element_out").alias("element_id"))
+    return squad.template_risk(sales, t.pool)
+
+
+@query
+def resale_prices(t: Tables) -> DataFrame:
+    rows = t.transfers.select(
+        "seq", market.resale_price(F.col("element_in_cost"), F.col("element_out_cost")).cast("bigint").alias("resale_price")
+    )
+    return rows
+
+
+@query
+def candidate_frontier(t: Tables) -> DataFrame:
+    """Pool players no cheaper or equal, earlier and at least as good others crowd out."""
+    points = swaps.horizon_points(t.projections, [1, 2, 3])
+    pool = t.pool.join(points, "element_id").select("position", "element_id", "now_cost", "x")
+    return swaps.candidate_frontier(pool, ("position",)).select("position", "element_id", "now_cost")
+
+
+# ------------------------------------------------------------------- forward
+
+
+def recorded(t: Tables) -> DataFrame:
+    """Actuals store: rounds before 20; in odd seasons round 7 was not recorded."""
+    missed = (F.col("season").cast("int") % 2 == 1) & (F.col("gw") == 7)
+    return fact(t).filter((F.col("gw") < 20) & ~missed)
+
+
+def season_totals(t: Tables) -> DataFrame:
+    """Season-to-date totals after round 20, one in seven revised downwards."""
+    upto = fact(t).filter(F.col("gw") <= 20).groupBy("season", "element_id").agg(
+        *[F.max_by(c, "gw").alias(c) for c in ("position", "team", "is_promoted_club")],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in forward.STAT_COLUMNS],
+    )
+    return upto.withColumn("minutes", F.when(F.col("element_id") % 7 == 0, F.col("minutes") - 500).otherwise(F.col("minutes")))
+
+
+def played_teams(t: Tables) -> DataFrame:
+    played = ratings.teams_played(t.matches, ["season", "event"]).filter(F.col("event") == 20)
+    return played.join(t.teams.select(F.col("id").alias("team_id"), F.col("name").alias("team")), "team_id").select("season", "team")
+
+
+@query
+def build_train(t: Tables) -> DataFrame:
+    return forward.build_train(recorded(t), season_totals(t), played_teams(t), 20)
+
+
+@query
+def totals_before(t: Tables) -> DataFrame:
+    return forward.totals_before(recorded(t), 15, ["season", "element_id"], ["minutes", "total_points"])
+
+
+@query
+def coverage(t: Tables) -> DataFrame:
+    return forward.coverage(recorded(t), t.matches, 20)
+
+
+@query
+def missing_periods(t: Tables) -> DataFrame:
+    return forward.missing_periods(t.events_calendar, recorded(t), ["season"])
+
+
+@query
+def in_live_window(t: Tables) -> DataFrame:
+    """Rounds with a match in the last three days that is not over."""
+    return forward.in_live_window(t.matches, F.lit(datetime(1998, 5, 20)).cast("timestamp_ntz"), 72, ["season"])
+
+
+@query
+def next_deadline(t: Tables) -> DataFrame:
+    return forward.next_deadline(t.events_calendar, ["season"])
+
+
+@query
+def resolve_event(t: Tables) -> DataFrame:
+    """The current round: flagged in even seasons, the payload's integer in others."""
+    calendar = t.events_calendar.withColumn("current_event", F.lit(9).cast("bigint"))
+    return forward.resolve_event(calendar, "is_current", "current_event", ["season"])
+
+
+def frozen(t: Tables) -> DataFrame:
+    rows = wf.walk_forward(stored_fact(t), ["trailing_mean"])
+    return materialize(rows.select("season", "gw", "element_id", "prediction"))
+
+
+@query
+def evaluate_players(t: Tables) -> DataFrame:
+    rows = forward.evaluate_players(frozen(t), fact(t), ["season", "gw"])
+    return r6(rows, "mae", "spearman_mean")
+
+
+@query
+def calibrate_players(t: Tables) -> DataFrame:
+    rows = forward.calibrate_players(frozen(t), fact(t), ["season", "gw"], ["season"])
+    return r6(rows, "mean_prediction", "mean_actual")
+
+
+def squad_eval(t: Tables) -> DataFrame:
+    rounds = t.picks.withColumn("gw", F.explode(F.array(*[F.lit(g).cast("bigint") for g in (1, 2, 3)])))
+    shadow = squad.lineup_points(rounds, t.pool_actuals)
+    real = t.orders.groupBy(F.col("o_custkey").alias("entry"), (1 + F.col("o_orderkey") % 3).alias("gw")).agg(
+        F.sum(F.col("o_orderkey") % 50).alias("points")
+    )
+    return forward.cumulative_compare(real, shadow)
+
+
+@query
+def evaluate_squads(t: Tables) -> DataFrame:
+    return squad_eval(t)
+
+
+@query
+def gate_status(t: Tables) -> DataFrame:
+    from touchline.plans.prices import price_model as evaluate
+
+    prices = evaluate(t.snapshots, DEADLINE, AS_OF, "72h", order=STEP)
+    return forward.gate_status(fact(t), squad_eval(t), prices)
+
+
+@query
+def latest_frozen(t: Tables) -> DataFrame:
+    return store.latest_period(t.write_log)
+
+
+@query
+def project_horizon(t: Tables) -> DataFrame:
+    """Rounds 21-23 of every season from the history up to 20."""
+    stored = stored_fact(t)
+    roster = stored.filter(F.col("gw") <= 20).groupBy("season", "element_id").agg(
+        *[F.max_by(c, "gw").alias(c) for c in ("team", "position", "is_promoted_club")]
+    )
+    rows = wf.project_horizon(stored, roster, RULES_BY_SEASON, difficulty(t), [21, 22, 23])
+    return r6(rows, "prediction")
+
+
+# ---------------------------------------------------------------- validation
+
+
+@query
+def freeze_window_status(t: Tables) -> DataFrame:
+    return val.freeze_window_status(t.write_log, 240).select("write_id", "freeze_status")
+
+
+@query
+def immutability_audit(t: Tables) -> DataFrame:
+    return val.immutability_audit(t.write_log, ["entry", "gw"])
+
+
+@query
+def sample_violations(t: Tables) -> DataFrame:
+    """The first five late writes, and how many more there are."""
+    late = val.leakage_violations(t.write_log, "written_at", "deadline").select("write_id", "written_at")
+    return val.sample_violations(late, ["written_at", "write_id"])
+
+
+@query
+def duplicate_keys(t: Tables) -> DataFrame:
+    return val.duplicate_keys(t.write_log, ["entry", "gw"])
+
+
+@query
+def target_roster(t: Tables) -> DataFrame:
+    """Element type codes to positions, team ids to names, promoted flag."""
+    players = t.pool.select(F.col("element_id").alias("id"), (F.col("element_id") % 25).alias("team"), (1 + F.col("element_id") % 4).alias("element_type"))
+    return payloads.target_roster(players, t.teams, ("T3", "T7", "T11"))
+
+
+@query
+def candidate_pool(t: Tables) -> DataFrame:
+    players = t.pool.select(
+        F.col("element_id").alias("id"), (F.col("element_id") % 25).alias("team"), (1 + F.col("element_id") % 4).alias("element_type"), "now_cost"
+    )
+    return payloads.candidate_pool(players, t.teams)
+
+
+@query
+def flatten_live(t: Tables) -> DataFrame:
+    """Per-fixture stats packed as live payloads and joined to the roster."""
+    stats = F.struct(*forward.STAT_COLUMNS, "bps")
+    live = t.player_fixture.select(
+        "gw", "fixture", "line", "part",
+        F.to_json(F.struct(F.array(F.struct(F.col("element_id").alias("id"), stats.alias("stats"))).alias("elements"))).alias("payload"),
+    )
+    roster = t.supplier.select(
+        F.col("s_suppkey").alias("element_id"), F.lit("MID").alias("position"), F.col("s_name").alias("team"), F.lit(False).alias("is_promoted_club")
+    ).filter(F.col("s_acctbal") >= 0)
+    rows = payloads.flatten_live(live, roster, ("gw", "fixture", "line", "part"))
+    return rows.select("gw", "fixture", "line", "part", "element_id", "team", "minutes", "total_points", "defensive_contribution")
+
+
+@query
+def explode_entity_batch(t: Tables) -> DataFrame:
+    """One document per order, keyed by entity, with its lines as history."""
+    row = F.struct(
+        F.col("element_id").alias("element"), "fixture", F.col("gw").alias("round"), "minutes", "total_points"
+    )
+    docs = t.player_fixture.select(
+        "fixture", "line", "part",
+        F.to_json(F.create_map(F.col("element_id").cast("string"), F.struct(F.array(row).alias("history")))).alias("payload"),
+    )
+    rows = payloads.explode_entity_batch(docs.withColumnRenamed("fixture", "doc_fixture"), ("doc_fixture", "line", "part"))
+    return rows.drop("fixture")
+
+
+@query
+def parse_times(t: Tables) -> DataFrame:
+    """Compact time texts written and parsed back; broken texts are null."""
+    text = F.when(F.col("event_id") % 13 == 0, F.lit("not a time")).otherwise(parsing.compact_ts(F.col("ts")))
+    parsed = parsing.parse_ts(text, parsing.COMPACT_TS)
+    return t.events.select("event_id", parsed.cast("timestamp_ntz").alias("parsed"))

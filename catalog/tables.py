@@ -114,7 +114,8 @@ SELECT CAST(year(o_orderdate) AS STRING) AS season, CAST(floor(o_custkey / 100)
   o_orderkey AS fixture, CAST(floor((dayofyear(o_orderdate) - 1) / 10) AS BIGINT) + 1 AS event,
   CAST(c_nationkey AS BIGINT) AS team_h, o_orderkey % 25 AS team_a,
   CAST(floor(o_totalprice) AS BIGINT) % 5 AS team_h_score, CAST(floor(o_totalprice / 10) AS BIGINT) % 5 AS team_a_score,
-  o_orderdate AS kickoff_time, o_orderstatus <> 'P' AS finished, o_orderstatus <> 'O' AS finished_provisional
+  o_orderdate AS kickoff_time, o_orderstatus <> 'P' AS finished,
+  CASE WHEN o_orderstatus = 'P' THEN o_orderkey % 3 = 0 END AS finished_provisional
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey
 WHERE CAST(c_nationkey AS BIGINT) <> o_orderkey % 25"""
 
