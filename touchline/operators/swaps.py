@@ -52,22 +52,38 @@ def undominated(frame: pd.DataFrame, keep: int = KEPT_PER_RANK) -> pd.DataFrame:
     return frame.iloc[sorted(kept)]
 
 
+def _reduce_groups(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """`undominated` per group; groups too small to lose a row pass as they are."""
+    large = frame.groupby(keys, sort=False)["element_id"].transform("size") > KEPT_PER_RANK
+    parts = [undominated(part) for _, part in frame[large].groupby(keys, sort=False)]
+    return pd.concat([frame[~large], *parts])
+
+
 def candidate_frontier(pool: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Candidates that can be part of a best swap, per group of `keys`.
 
-    Each partition first reduces its own batches without a shuffle; only what
-    is left meets in the final step.
+    Each partition first reduces its own batches without a shuffle. What is
+    left is sorted by group and reduced as a stream: a task holds one batch and
+    the surviving rows of one group.
     """
     k = list(keys)
 
-    def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [undominated(part) for _, part in batch.groupby(k, sort=False)]
-            if parts:
-                yield pd.concat(parts)
+            yield _reduce_groups(batch, k)
 
-    reduced = pool.mapInPandas(reduce_batches, pool.schema)
-    return reduced.groupBy(*k).applyInPandas(lambda frame: undominated(frame), pool.schema)
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch])
+            open_group = (rows[k] == rows[k].iloc[-1]).all(axis=1)
+            yield _reduce_groups(rows[~open_group], k)
+            held = undominated(rows[open_group])
+        if held is not None:
+            yield held
+
+    reduced = pool.mapInPandas(local, pool.schema)
+    return reduced.repartition(*k).sortWithinPartitions(*k).mapInPandas(merged, pool.schema)
 
 
 def best_eleven(codes: np.ndarray, points: np.ndarray, need: np.ndarray, total: int, out: int | None = None) -> tuple[np.ndarray, np.ndarray]:
