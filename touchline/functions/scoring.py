@@ -20,20 +20,34 @@ COMPONENTS = (
     "cards_and_other", "defensive_contribution", "bonus",
 )
 CONCEDED_SHRINKAGE = 0.7
+_LINEAR = ("own_goals", "penalties_missed", "penalties_saved", "yellow_cards", "red_cards")
+# The rules each component reads.
+_READS = {
+    "minutes": ("minutes",), "goals": ("goals_scored",), "assists": ("assists",), "clean_sheets": ("clean_sheets", "minutes"),
+    "goals_conceded": ("goals_conceded", "minutes"), "saves": ("saves",), "cards_and_other": _LINEAR,
+    "defensive_contribution": ("defensive_contribution",), "bonus": (),
+}
 
 
 def is_single(rules: Mapping) -> bool:
     return "minutes" in rules
 
 
-def by_season(rules: Mapping, build: Callable[[Rules], Column], season: str = "season") -> Column:
-    """`build(rule set)` for the row's season; one branch per distinct rule set."""
+def by_season(
+    rules: Mapping, build: Callable[[Rules], Column], season: str = "season", parts: Collection[str] | None = None
+) -> Column:
+    """`build(rule set)` for the row's season; one branch per distinct rule set.
+
+    `parts` names the rules `build` reads. Seasons that agree on these share a
+    branch, which keeps the expression small enough to be compiled.
+    """
     if is_single(rules):
         return build(rules)
     groups: list[tuple[Rules, list[str]]] = []
     for name, rule_set in sorted(rules.items()):
         for known, names in groups:
-            if known == rule_set:
+            same = known == rule_set if parts is None else all(known.get(k) == rule_set.get(k) for k in parts)
+            if same:
                 names.append(name)
                 break
         else:
@@ -100,9 +114,6 @@ def saves_points(rules: Rules, columns: Collection[str]) -> Column:
     raise ValueError(f"unknown saves mode: {s['mode']!r}")
 
 
-_LINEAR = ("own_goals", "penalties_missed", "penalties_saved", "yellow_cards", "red_cards")
-
-
 def cards_points(rules: Rules, columns: Collection[str]) -> Column:
     total = F.lit(0)
     for name in _LINEAR:
@@ -144,20 +155,21 @@ def total_of(parts: Mapping[str, Column]) -> Column:
     return total
 
 
+def realised_component(rules: Mapping, name: str, columns: Collection[str]) -> Column:
+    return by_season(rules, lambda r: component_points(r, columns)[name].cast("bigint"), parts=_READS[name])
+
+
 def score(df: DataFrame, rules: Mapping, prefix: str = "pts_", total: str = "points") -> DataFrame:
     """`df` plus one column per component and their total."""
     columns = set(df.columns)
-    parts = {
-        f"{prefix}{name}": by_season(rules, lambda r, n=name: component_points(r, columns)[n].cast("bigint"))
-        for name in COMPONENTS
-    }
+    parts = {f"{prefix}{name}": realised_component(rules, name, columns) for name in COMPONENTS}
     return df.withColumns(parts).withColumn(total, total_of({name: F.col(name) for name in parts}))
 
 
 def points(df: DataFrame, rules: Mapping) -> Column:
     """The total alone, as one column of `df`."""
     columns = set(df.columns)
-    return by_season(rules, lambda r: total_of(component_points(r, columns)).cast("bigint"))
+    return total_of({name: realised_component(rules, name, columns) for name in COMPONENTS}).cast("bigint")
 
 
 def replay(df: DataFrame, rules: Mapping, recorded: str = "total_points") -> DataFrame:
@@ -198,7 +210,8 @@ def bps(df: DataFrame, rules: Mapping) -> Column:
         )
         return total.cast("bigint")
 
-    return by_season(rules, build)
+    reads = ("minutes", "bps_clearances_blocks_interceptions_per", "bps_tackled_penalty")
+    return by_season(rules, build, parts=reads)
 
 
 def expected_components(rules: Rules, difficulty: str = "custom_difficulty") -> dict[str, Column]:
@@ -236,8 +249,8 @@ def expected_components(rules: Rules, difficulty: str = "custom_difficulty") ->
 
 
 def expected_component(rules: Mapping, name: str) -> Column:
-    return by_season(rules, lambda r: expected_components(r)[name])
+    return by_season(rules, lambda r: expected_components(r)[name], parts=_READS[name])
 
 
 def expected_points(rules: Mapping) -> Column:
-    return by_season(rules, lambda r: total_of(expected_components(r)))
+    return total_of({name: expected_component(rules, name) for name in COMPONENTS})

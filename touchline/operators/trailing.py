@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.functions.scoring import by_season, is_single, threshold_met
+from touchline.functions.scoring import by_season, threshold_met
 
 PLAYER_KEY = ["season", "element_id"]
 TRAILING_EVENTS = [
@@ -58,7 +58,7 @@ def threshold_rate(rules: Mapping, window: int = DEFAULT_WINDOW) -> Column:
             return F.lit(None).cast("double")
         return F.when(F.col("defensive_contribution").isNotNull(), threshold_met(rule_set).cast("double"))
 
-    hit = hit_for(rules) if is_single(rules) else by_season(rules, hit_for)
+    hit = by_season(rules, hit_for, parts=("defensive_contribution",))
     known = F.collect_list(hit).over(_history())  # skips nulls; one entry per round at most
     recent = F.slice(known, F.greatest(F.size(known) - (window - 1), F.lit(1)), window)
     total = F.aggregate(recent, F.lit(0.0), lambda a, x: a + x)

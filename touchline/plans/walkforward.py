@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.scoring import COMPONENTS, by_season, component_points, expected_component, expected_points
+from touchline.functions.scoring import COMPONENTS, expected_component, expected_points, realised_component
 from touchline.operators import trailing as tr
 from touchline.operators.validation import leak_checked
 from touchline.plans.models import BASELINES, COLUMN_MODELS, TABLE_MODELS
@@ -125,7 +125,7 @@ def decompose(fact: DataFrame, rules: Mapping, difficulty: DataFrame | None) ->
         "season", "gw", "element_id", "position", "minutes", "p_blank", "p_short", "p_full",
         *[expected_component(rules, c).cast("double").alias(f"predicted_{c}") for c in COMPONENTS],
         *[
-            by_season(rules, lambda r, n=c: component_points(r, columns)[n].cast("bigint")).alias(f"actual_{c}")
+            realised_component(rules, c, columns).alias(f"actual_{c}")
             for c in COMPONENTS
         ],
     )
