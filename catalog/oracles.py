@@ -76,8 +76,10 @@ _BPS = f"""CASE WHEN minutes > 0 THEN CASE WHEN {_LONG} THEN 6 ELSE 3 END ELSE 0
 
 add("score_components", f"""
 SELECT season, element_id, fixture, line, part, {', '.join(f'CAST({c} AS BIGINT) AS pts_{n}' for n, c in COMPONENT_SQL.items())},
-  CAST({POINTS_SQL} AS BIGINT) AS points, total_points, CAST({_BPS} AS BIGINT) AS bps_points
+  CAST({POINTS_SQL} AS BIGINT) AS points, total_points
 FROM {{player_fixture}} WHERE position <> 'AM'""")
+add("bonus_system_points", f"""
+SELECT season, element_id, fixture, line, part, CAST({_BPS} AS BIGINT) AS bps_points FROM {{player_fixture}} WHERE position <> 'AM'""")
 
 SHARED["replayed"] = f"SELECT *, CAST({POINTS_SQL} AS BIGINT) AS predicted_points FROM {{fact}}"
 add("replay_match_rate", """

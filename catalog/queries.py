@@ -54,16 +54,26 @@ def normalize_season(t: Tables) -> DataFrame:
     return r6(fact(t), *merge.DECIMAL_STATS)
 
 
+def stored_fixtures(t: Tables) -> DataFrame:
+    """Per-fixture rows as ingest leaves them: a table."""
+    return materialize(t.player_fixture.filter(F.col("position") != "AM"))
+
+
 @query
 def score_components(t: Tables) -> DataFrame:
     """Nine components and total per player and fixture, by season rules."""
-    rows = scoring.score(t.player_fixture.filter(F.col("position") != "AM"), RULES_BY_SEASON)
+    rows = scoring.score(stored_fixtures(t), RULES_BY_SEASON)
     return rows.select(
-        "season", "element_id", "fixture", "line", "part", *[f"pts_{c}" for c in scoring.COMPONENTS], "points", "total_points",
-        scoring.bps(rows, RULES_BY_SEASON).alias("bps_points"),
+        "season", "element_id", "fixture", "line", "part", *[f"pts_{c}" for c in scoring.COMPONENTS], "points", "total_points"
     )
 
 
+@query
+def bonus_system_points(t: Tables) -> DataFrame:
+    rows = t.player_fixture.filter(F.col("position") != "AM")
+    return rows.select("season", "element_id", "fixture", "line", "part", scoring.bps(rows, RULES_BY_SEASON).alias("bps_points"))
+
+
 @query
 def replay_match_rate(t: Tables) -> DataFrame:
     """Recomputed against recorded points on merged rows, per season."""
@@ -181,7 +191,7 @@ def leakage_check(t: Tables) -> DataFrame:
 
 @query
 def component_decomposition(t: Tables) -> DataFrame:
-    rows = wf.decompose(stored_fact(t), RULES_BY_SEASON, difficulty(t))
+    rows = materialize(wf.decompose(stored_fact(t), RULES_BY_SEASON, difficulty(t)))
     return r6(metrics.component_mae(rows, ["season"]), "mae")
 
 

@@ -67,12 +67,14 @@ def count_of(name: str, columns: Collection[str]) -> Column:
 
 
 def by_position(rates: Mapping[str, int | None], position: str = "position") -> Column:
+    """The position's rate; positions with one rate share a branch. Unknown: null."""
     chain = None
-    for name in POSITIONS:
-        if rates.get(name) is None:
+    for rate in dict.fromkeys(rates.get(p) for p in POSITIONS):
+        if rate is None:
             continue
-        hit = F.col(position) == name
-        chain = F.when(hit, F.lit(rates[name])) if chain is None else chain.when(hit, F.lit(rates[name]))
+        names = [p for p in POSITIONS if rates.get(p) == rate]
+        hit = F.col(position) == names[0] if len(names) == 1 else F.col(position).isin(names)
+        chain = F.when(hit, F.lit(rate)) if chain is None else chain.when(hit, F.lit(rate))
     return F.lit(None).cast("int") if chain is None else chain
 
 
