@@ -8,7 +8,6 @@ source tables, so it grows with them.
 from __future__ import annotations
 
 import re
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -176,7 +175,7 @@ FROM {lineitem} GROUP BY CAST(1 + l_linenumber % 3 AS BIGINT), l_partkey"""
 # Writes of frozen predictions: one key per customer and month.
 VIEWS["write_log"] = """
 SELECT o_custkey AS entry, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS BIGINT) AS gw, o_orderkey AS write_id,
-  o_orderdate AS written_at, date_trunc('month', o_orderdate) + INTERVAL '14' DAY AS deadline
+  o_orderdate AS written_at, {month_start} + INTERVAL '14' DAY AS deadline
 FROM {orders}"""
 
 # Rounds of each season with their flags; a few are flagged as current or next.
@@ -187,18 +186,11 @@ SELECT season, event AS id, min(kickoff_time) AS deadline_time, CAST(event % 5 A
 FROM {matches} GROUP BY season, event"""
 
 _REF = re.compile(r"\{(\w+)\}")
-
-
-@cache
-def needs(name: str) -> tuple[str, ...]:
-    """The views a view reads, in an order in which each comes after its own."""
-    seen: list[str] = []
-    for ref in _REF.findall(VIEWS[name]):
-        if ref in VIEWS:
-            for inner in (*needs(ref), ref):
-                if inner not in seen:
-                    seen.append(inner)
-    return tuple(seen)
+# The few expressions the two engines spell differently: (Spark, checking engine).
+DIALECT = {
+    "slots": ("explode(sequence(1, 15))", "unnest(range(1, 16))"),
+    "month_start": ("CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ)", "date_trunc('month', o_orderdate)"),
+}
 
 
 def oracle_with(text: str, extra: dict[str, str] | None = None) -> str:
@@ -214,7 +206,7 @@ def oracle_with(text: str, extra: dict[str, str] | None = None) -> str:
                 order.append(ref)
 
     visit(text)
-    plain = lambda body: _REF.sub(lambda m: "unnest(range(1, 16))" if m[1] == "slots" else m[1], body)
+    plain = lambda body: _REF.sub(lambda m: DIALECT[m[1]][1] if m[1] in DIALECT else m[1], body)
     ctes = [f"{name} AS ({plain(extra.get(name) or VIEWS[name])})" for name in order]
     recursive = "RECURSIVE " if "WITH_RECURSIVE" in text or any("WITH_RECURSIVE" in extra.get(n, "") for n in order) else ""
     body = ("WITH " + recursive + ",\n".join(ctes) + "\n" if ctes else "") + plain(text)
@@ -238,5 +230,7 @@ class Tables:
     def _build(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        text = VIEWS[name].replace("{slots}", "explode(sequence(1, 15))")
+        text = VIEWS[name]
+        for word, (spelled, _) in DIALECT.items():
+            text = text.replace("{" + word + "}", spelled)
         return self.spark.sql(text, **{ref: getattr(self, ref) for ref in set(_REF.findall(text))})

@@ -56,10 +56,15 @@ def latest_state(snapshots: DataFrame, keys: list[str] | str = "element_id", ord
     return latest.select(*keys, "_row.*").select(*snapshots.columns)
 
 
+def _moment(df: DataFrame, column: str, when: datetime) -> Column:
+    """A literal of the column's own type, so the comparison reaches the scan."""
+    return F.lit(when).cast(df.schema[column].dataType)
+
+
 def state_as_of(
     snapshots: DataFrame, as_of: datetime, keys: list[str] | str = "element_id", order: tuple[str, ...] = ("snapshot_ts",)
 ) -> DataFrame:
-    return latest_state(snapshots.filter(F.col(order[0]) <= F.lit(as_of)), keys, order)
+    return latest_state(snapshots.filter(F.col(order[0]) <= _moment(snapshots, order[0], as_of)), keys, order)
 
 
 def reference_times(as_of: datetime, deadline: datetime | None = None) -> dict[str, datetime]:
@@ -69,9 +74,9 @@ def reference_times(as_of: datetime, deadline: datetime | None = None) -> dict[s
     return times
 
 
-def _at(columns: list[str], limit: datetime, order: tuple[str, ...]) -> Column:
+def _at(columns: list[str], limit: Column, order: tuple[str, ...]) -> Column:
     """Aggregate: the columns of the latest row at or before `limit`."""
-    reached = F.when(F.col(order[0]) <= F.lit(limit), F.struct(*order))
+    reached = F.when(F.col(order[0]) <= limit, F.struct(*order))
     return F.max_by(F.struct(*columns), reached)
 
 
@@ -89,10 +94,11 @@ def compute_deltas(
     """
     columns = columns or NUMERIC_COLUMNS
     context = [c for c in CONTEXT_COLUMNS if c in snapshots.columns]
-    seen = snapshots.filter(F.col(order[0]) <= F.lit(as_of))
+    at = lambda when: _moment(snapshots, order[0], when)
+    seen = snapshots.filter(F.col(order[0]) <= at(as_of))
     states = seen.groupBy(key).agg(
         F.max_by(F.struct(*columns, *context), F.struct(*order)).alias("_now"),
-        *[_at(columns, when, order).alias(f"_at_{label}") for label, when in references.items()],
+        *[_at(columns, at(when), order).alias(f"_at_{label}") for label, when in references.items()],
     )
     deltas = [
         (F.col(f"_now.{c}") - F.col(f"_at_{label}.{c}")).alias(f"{c}_delta_{label}")
@@ -111,8 +117,9 @@ def state_pair(
     order: tuple[str, ...] = ("snapshot_ts",),
 ) -> DataFrame:
     """States at two instants, for keys known at both, in one scan."""
-    seen = snapshots.filter(F.col(order[0]) <= F.lit(max(before, after)))
-    pair = seen.groupBy(key).agg(_at(columns, before, order).alias("_b"), _at(columns, after, order).alias("_a"))
+    at = lambda when: _moment(snapshots, order[0], when)
+    seen = snapshots.filter(F.col(order[0]) <= at(max(before, after)))
+    pair = seen.groupBy(key).agg(_at(columns, at(before), order).alias("_b"), _at(columns, at(after), order).alias("_a"))
     return pair.filter(F.col("_b").isNotNull() & F.col("_a").isNotNull()).select(
         key,
         *[F.col(f"_b.{c}").alias(f"{c}_before") for c in columns],
@@ -122,5 +129,5 @@ def state_pair(
 
 def retention_filter(df: DataFrame, ts: str, days: int, now: datetime) -> DataFrame:
     """Keep rows not older than `days`; an unknown time is kept."""
-    cutoff = F.lit(now - timedelta(days=days))
+    cutoff = _moment(df, ts, now - timedelta(days=days))
     return df.filter(F.col(ts).isNull() | (F.col(ts) >= cutoff))
