@@ -188,7 +188,6 @@ SHARED["numbered"] = """
 SELECT season, competition, fixture, event, team_h, team_a, team_h_score, team_a_score, kickoff_time,
   row_number() OVER (PARTITION BY season, competition ORDER BY kickoff_time, fixture) AS i
 FROM {matches} WHERE finished"""
-_NEW_H = "pre_h + 20 * (res - ex)"
 SHARED["elo"] = """/*WITH_RECURSIVE*/
 SELECT DISTINCT season, competition, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS fixture, CAST(NULL AS DOUBLE) AS pre_h, CAST(NULL AS DOUBLE) AS pre_a,
   list_transform(range(25), lambda x: CAST(1500 AS DOUBLE)) AS r FROM {numbered}
