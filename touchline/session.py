@@ -1,9 +1,17 @@
-"""Session defaults for local runs, and the shared checkpoint folder."""
+"""Session defaults for local runs, and the package's way to the workers."""
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
+from pathlib import Path
+
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
+from touchline.sources.store import shared_folder
+
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session; on a cluster use the session the cluster gives you."""
@@ -20,3 +28,31 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Python workers import the functions that a plan names; they need not be
+    installed there, nor need the driver run in the package's folder.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_touchline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, path.relative_to(package.parent))
+    uri = f"{shared_folder(spark)}/touchline/package-{uuid.uuid4().hex}.zip"
+    write_shared(uri, packed.getvalue())
+    context.addPyFile(uri)
+    context._touchline_shipped = True
+
+
+def write_shared(uri: str, content: bytes) -> None:
+    """One small file into the shared folder, whatever store that is."""
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(path) as out:
+        out.write(content)
