@@ -69,14 +69,19 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return sums
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a byte array."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~space_table()[data]
+def run_bounds(member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True."""
+    inside = np.zeros(len(member) + 2, np.int8)
+    inside[1:-1] = member
     change = np.diff(inside)
     return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
 
 
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans from the running sums; equal spans hash alike wherever they lie."""
+    return mix((sums[ends] - sums[starts]) * powers(INVERSE, len(sums))[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
     """64-bit hashes of the words of one text, in order.
 
@@ -89,9 +94,8 @@ def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
         while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
             end += 1
         data = np.frombuffer(text, np.uint8, end - at, at)
-        starts, ends = word_bounds(data)
-        sums = prefix_sums(lower_table()[data] if lower else data)
-        found.append(mix((sums[ends] - sums[starts]) * powers(INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64)))
+        starts, ends = run_bounds(~space_table()[data])
+        found.append(span_hashes(prefix_sums(lower_table()[data] if lower else data), starts, ends))
         at = end
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 

@@ -8,8 +8,9 @@ and a signature is the minimum over rows of that table.
 Equal shingle sets collapse into one node first. Banding proposes links only
 from each bucket's members to one centre, drawn anew in every bucket, so a
 bucket of m nodes gives m - 1 pairs. Every proposed link is confirmed on the
-full sets. Buckets that then still hold several components are finished
-exactly: all their pairs between different components are compared.
+full sets. Buckets that then still hold several components get new centres for
+a few turns, and are then finished exactly: all their pairs between components
+are compared.
 """
 
 from __future__ import annotations
@@ -110,9 +111,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.filter(F.col("both") * (100 + percent) >= F.col("sizes") * percent).select("u", "v").distinct()
 
 
+def split_buckets(hot: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members (key, node, n, component) of buckets with more than one component."""
+    placed = hot.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
+    return placed.join(split, "key")
+
+
+def pairs_with_centres(rest: DataFrame, salt: int) -> DataFrame:
+    """Each member with the centre that `salt` draws in its bucket, where their components differ."""
+    drawn = rest.groupBy("key").agg((F.min(F.expr(f"node ^ key ^ {salt}L"))).alias("m"))
+    drawn = drawn.select("key", F.expr(f"m ^ key ^ {salt}L").alias("node"))
+    centres = rest.join(drawn, ["key", "node"]).select("key", F.col("node").alias("centre"), F.col("component").alias("other")).distinct()
+    met = rest.join(centres, "key").filter("component != other")
+    return met.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
+
+
+def pairs_across(rest: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a bucket in different components whose sizes allow a link."""
+    one = rest.select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
+    two = rest.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
+    fits = f"u < v AND cu != cv AND 100 * least(nu, nv) >= {percent} * greatest(nu, nv)"
+    return one.join(two, "key").filter(fits).select("u", "v").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text",
-    bands: int = BANDS, rows: int = ROWS,
+    bands: int = BANDS, rows: int = ROWS, turns: int = 4,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of `docs`.
 
@@ -140,20 +165,24 @@ def near_duplicates(
     wanted = hot.select(F.col("node").alias("doc_id")).distinct()
     sets = materialize(full_sets(docs.join(wanted, "doc_id", "left_semi"), size).distinct())
     stars = hot.filter("node != centre").select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
-    links = materialize(confirmed(stars, sets, percent))
+    tried = materialize(stars)
+    links = materialize(confirmed(tried, sets, percent))
     groups = materialize(connected_components(links))
 
-    # buckets that the stars did not join into one component: all pairs across components
-    placed = hot.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-    rest = materialize(placed.join(split, "key").distinct())
-    one = rest.select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-    two = rest.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-    fits = f"u < v AND cu != cv AND 100 * least(nu, nv) >= {percent} * greatest(nu, nv)"
-    across = one.join(two, "key").filter(fits).select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
-    more = materialize(confirmed(across, sets, percent))
-    if not more.isEmpty():
-        groups = materialize(connected_components(links.unionAll(more)))
+    # buckets that still hold several components: new centres, linked to other components only
+    for turn in range(1, turns + 1):
+        rest = materialize(split_buckets(hot, groups))
+        if rest.isEmpty():
+            break
+        salt = int(mix(np.array([turn], np.uint64)).view(np.int64)[0])
+        last = turn == turns  # what no centre could join: every pair across components
+        pairs = (pairs_across(rest, percent) if last else pairs_with_centres(rest, salt)).join(tried, ["u", "v"], "left_anti")
+        pairs = materialize(pairs)
+        more = materialize(confirmed(pairs, sets, percent))
+        tried = tried.unionAll(pairs)
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            groups = materialize(connected_components(links))
 
     roots = classes.join(groups, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     roots = materialize(roots)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import minhash
+from touchline.llm import minhash, mixing, pii, toxicity
 from touchline.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op4_near_duplicates(spark, sf_dir):
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+@query
+def op5_personal_data(spark, sf_dir):
+    return pii.digests(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
+@query
+def op6_mix(spark, sf_dir):
+    rows = mixing.mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, toxicity.training_rows(table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    scored = toxicity.scores(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
