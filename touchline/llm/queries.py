@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import minhash, mixing, pii, toxicity
+from touchline.llm import bpe, minhash, mixing, pii, toxicity
 from touchline.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path() -> str:
+    """The byte-level vocabulary that the queries encode with; its folder is installed on every machine."""
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op3_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return bpe.digests(docs, vocabulary_path(), bpe.build_lexicon(docs, vocabulary_path()))
+
+
 @query
 def op4_near_duplicates(spark, sf_dir):
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
