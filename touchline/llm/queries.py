@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe, minhash, mixing, pii, toxicity
+from touchline.llm import bpe, html_text, minhash, mixing, pii, quality, toxicity
 from touchline.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,15 @@ def op9_toxicity(spark, sf_dir):
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     scored = toxicity.scores(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op1_quality(spark, sf_dir):
+    found = quality.quality(table(spark, sf_dir, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", *counts, "base_failed", "words_left", "kept")
+
+
+@query
+def op8_main_text(spark, sf_dir):
+    return html_text.main_text(table(spark, sf_dir, "pages"))
