@@ -26,6 +26,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from touchline.llm.lexicon import LONGEST_WORD, Lexicon, compile_lexicon
 from touchline.session import write_shared
@@ -293,3 +294,25 @@ def digests(docs: DataFrame, vocabulary_path: str, lexicon_name: str) -> DataFra
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenized(docs: DataFrame, vocabulary_path: str, lexicon_name: str, text_column: str = "text") -> DataFrame:
+    """`docs` without its text, plus ids, n_tokens and round_trip (whether the ids decode to the text); rows and other columns stay."""
+    at = docs.columns.index(text_column)
+    others = [c for c in docs.schema if c.name != text_column]
+
+    def work(batches):
+        encoder = open_encoder(vocabulary_path, lexicon_name)
+        for batch in batches:
+            start = 0
+            for texts in chunks(batch.column(at)):
+                part = batch.slice(start, len(texts))
+                start += len(texts)
+                ids = encoder.encode(texts)
+                same = [encoder.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+                columns = [c for i, c in enumerate(part.columns) if i != at]
+                new = [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*columns, *new], [*(c.name for c in others), "ids", "n_tokens", "round_trip"])
+
+    schema = StructType([*others, *StructType.fromDDL("ids array<int>, n_tokens long, round_trip boolean")])
+    return docs.mapInArrow(work, schema)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe, html_text, minhash, mixing, pii, quality, toxicity
+import corpus_pipeline
+from touchline.llm import ann, bpe, html_text, minhash, mixing, pii, quality, toxicity, warc
+from touchline.llm.vocabulary import vocabulary_path
 from touchline.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,11 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary_path() -> str:
-    """The byte-level vocabulary that the queries encode with; its folder is installed on every machine."""
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 @query
 def op3_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -77,3 +73,24 @@ def op1_quality(spark, sf_dir):
 @query
 def op8_main_text(spark, sf_dir):
     return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_warc(spark, sf_dir):
+    index, folder = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return warc.read_back(index, folder)
+
+
+@query
+def op10_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
