@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from touchline.sources.store import materialize
 
 SAMPLE = 20_000
-LIST_ROWS = 1024
+LISTS_SHARE = 8  # lists: the square root of the rows over this
 BLOCK_ROWS, BLOCK_QUERIES, CHUNK = 4096, 1024, 256
 COLUMNS = 16
 EPSILON = 2.1
@@ -110,8 +110,8 @@ def nearest_neighbours(
     """query_id, rank, vec_id, score: the k nearest found of each query, nearest first, ties to the smaller vec_id.
 
     `vectors` and `queries` have vec_id and embedding; a query's own id is no
-    candidate. Lists hold about LIST_ROWS vectors, at most one list per 16
-    sampled vectors; a query probes `probe_share` of them. Queries whose vectors
+    candidate. The number of lists grows with the square root of the rows, up to
+    one per 16 sampled vectors; a query probes `probe_share` of them. Queries whose vectors
     take no part (see `usable`) give no rows, like an empty table. Rows repeated
     with one id and vector are one candidate.
     """
@@ -124,7 +124,7 @@ def nearest_neighbours(
         return vectors.sparkSession.createDataFrame([], schema)
     drawn = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
     points = matrix(drawn["embedding"])
-    lists = int(max(1, min(-(-n // LIST_ROWS), len(points) // 16 or 1)))
+    lists = int(max(1, min(np.ceil(np.sqrt(n) / LISTS_SHARE), len(points) // 16)))
     index = Index(points, float(np.sqrt(longest)) * (1 + 1e-9), lists, seed)
     probes = int(np.ceil(probe_share * len(index.centroids)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from touchline.llm import ann, bpe, html_text, minhash, mixing, pii, quality, toxicity, warc
+from touchline.llm import ann, bpe, html_text, minhash, mixing, pii, quality, suffix, toxicity, warc
 from touchline.llm.vocabulary import vocabulary_path
 from touchline.session import ship_package
 
@@ -70,6 +70,11 @@ def op1_quality(spark, sf_dir):
     return found.select("doc_id", *counts, "base_failed", "words_left", "kept")
 
 
+@query
+def op7_repeats(spark, sf_dir):
+    return suffix.digests(suffix.without_repeats(table(spark, sf_dir, "documents")))
+
+
 @query
 def op8_main_text(spark, sf_dir):
     return html_text.main_text(table(spark, sf_dir, "pages"))
