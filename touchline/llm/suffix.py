@@ -34,27 +34,37 @@ STREAM = 1 << 20
 LAST = (1 << 63) - 1
 
 
-def segments(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window and number of windows of each segment of one text."""
+def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
+    """Minimum or maximum (`best`) of every `width` successive values, in doubling steps."""
+    span = 1
+    while span * 2 <= width:
+        values, span = best(values[:-span], values[span:]), span * 2
+    return best(values[: len(values) - (width - span)], values[width - span :]) if span < width else values
+
+
+def segments(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first window and number of windows of each segment of one text, and whether its anchor may recur inside it."""
     n = len(data) - length + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     sums = prefix_sums(data)
-    least = mix((sums[seed:] - sums[:-seed]) * powers(INVERSE, len(data) + 1)[: len(data) - seed + 1])
-    width, span = length - seed + 1, 1
-    while span * 2 <= width:
-        least, span = np.minimum(least[:-span], least[span:]), span * 2
-    if span < width:
-        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+    hashes = mix((sums[seed:] - sums[:-seed]) * powers(INVERSE, len(data) + 1)[: len(data) - seed + 1])
+    width = length - seed + 1
+    least = sliding(hashes, width, np.minimum)
     starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     counts = np.diff(np.append(starts, n))
+    # places that are the least of some window; an anchor that recurs in a segment has two of them in succession
+    margin = np.zeros(width - 1, np.uint64)
+    chosen = hashes[hashes == sliding(np.concatenate([margin, least, margin]), width, np.maximum)]
+    twins = chosen[1:][chosen[1:] == chosen[:-1]]
+    again = np.isin(least[starts], twins) if len(twins) else np.zeros(len(starts), bool)
     if counts.max() > LONGEST_RUN:
         pieces = -(-counts // LONGEST_RUN)
         inner = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         whole = np.repeat(counts, pieces)
-        starts = np.repeat(starts, pieces) + inner * LONGEST_RUN
+        starts, again = np.repeat(starts, pieces) + inner * LONGEST_RUN, np.repeat(again, pieces)
         counts = np.minimum(whole - inner * LONGEST_RUN, LONGEST_RUN)
-    return least[starts], starts, counts
+    return least[starts], starts, counts, again
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -74,7 +84,7 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             cls = np.concatenate([np.full(len(h[0]), h[2], np.int64) for h in held])
             place = np.concatenate([h[1] for h in held])
             _, first, inverse, counts = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
-            known = counts[inverse] > 1
+            known = (counts[inverse] > 1) | np.concatenate([h[3] for h in held])
             key = np.where(np.arange(len(anchor)) == first[inverse], anchor, mix(anchor + place.astype(np.uint64) * np.uint64(3) + cls.view(np.uint64)))
             columns = [key.view(np.int64), anchor.view(np.int64), cls, place, known]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
@@ -84,8 +94,8 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 if cls in met or len(text) < length:
                     continue
                 met.add(cls)
-                anchor, starts, counts = segments(np.frombuffer(text, np.uint8), length)
-                held.append((anchor, starts << 13 | counts, cls))
+                anchor, starts, counts, again = segments(np.frombuffer(text, np.uint8), length)
+                held.append((anchor, starts << 13 | counts, cls, again))
                 size += len(text)
                 if size >= FLUSH_BYTES:
                     yield flush()
@@ -251,7 +261,7 @@ class RunLengthIndex:
         return members[members != first[up]]
 
 
-def staying_segments(rows: DataFrame, length: int, seed: int = SEED) -> DataFrame:
+def staying_segments(rows: DataFrame, length: int) -> DataFrame:
     """cls, start, gone: the first place of each distinct segment, with the runs of its windows that start earlier elsewhere.
 
     gone is a flat list of run starts and ends, counted from the segment's first
@@ -266,15 +276,12 @@ def staying_segments(rows: DataFrame, length: int, seed: int = SEED) -> DataFram
         size, group, anchor = 0, {}, None
 
         def take():
-            """Hand the finished anchor's segments to the block; alone, a short one cannot repeat anything."""
+            """Hand the finished anchor's segments to the block."""
             nonlocal size
-            if len(group) > 1 or any(len(s) > 2 * length - seed for s in group):
-                for segment, owner in group.items():
-                    parts.append(segment)
-                    owners.append(owner)
-                    size += len(segment) + 1
-                return []
-            return [(cls, start, []) for cls, start in group.values()]
+            for segment, owner in group.items():
+                parts.append(segment)
+                owners.append(owner)
+                size += len(segment) + 1
 
         def index():
             gone = [[] for _ in parts]
@@ -300,15 +307,15 @@ def staying_segments(rows: DataFrame, length: int, seed: int = SEED) -> DataFram
             columns = (batch.column(c).to_pylist() for c in ("anchor", "cls", "start", "segment"))
             for name, cls, start, segment in zip(*columns, strict=True):
                 if name != anchor:
-                    out += take()
+                    take()
                     if size >= BLOCK_BYTES:
                         out += index()
                         parts, owners, size = [], [], 0
                     group, anchor = {}, name
                 group.setdefault(segment, (cls, start))
             yield batch_of(out)
-        out = take()
-        yield batch_of(out + index())
+        take()
+        yield batch_of(index())
 
     dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "doc", "start")
     return dealt.select("anchor", "cls", "start", "segment").mapInArrow(work, "cls long, start long, gone array<int>")
