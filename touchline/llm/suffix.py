@@ -29,7 +29,7 @@ from touchline.sources.store import materialize
 
 LENGTH, SEED = 100, 32
 LONGEST_RUN = 4096  # windows of one segment; longer runs, as in periodic text, are cut
-FLUSH_BYTES, BLOCK_BYTES = 16 << 20, 2 << 20
+FLUSH_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
 STREAM = 1 << 20
 LAST = (1 << 63) - 1
 
