@@ -172,6 +172,26 @@ def test_near_duplicates_without_ids_or_rows(make):
     assert found == {(None, 1, None), (3, 1, 3), (4, 1, 3)}
 
 
+def test_parity_bits_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 40, 3000):
+        both = rng.integers(0, 2**63, size, dtype=np.uint64)
+        u, v = np.union1d(both, rng.integers(0, 2**63, 30, dtype=np.uint64)), np.union1d(both, rng.integers(0, 2**63, 50, dtype=np.uint64))
+        differ = minhash.parity_bits(u) ^ minhash.parity_bits(v)
+        assert 0 < sum(int(x).bit_count() for x in differ.view(np.uint64)) <= 80
+        assert not (minhash.parity_bits(u) ^ minhash.parity_bits(u)).any()
+
+
+def test_dense_group_of_looser_copies_keeps_all_its_links(make):
+    """Copies around 0.7 to 0.85 of each other: many share buckets, few are linked."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w if rng.random() > 0.08 else f"x{rng.random()}" for w in base)) for i in range(120)]
+    for turns in (1, 4):
+        found = minhash.near_duplicates(make(rows), size=2, turns=turns)
+        assert sorted((tuple(r) for r in found.collect()), key=repr) == components_by_hand(rows, 2, 80)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 3)]
     found = dict(map(tuple, connected_components(spark.createDataFrame(links, "u long, v long")).collect()))

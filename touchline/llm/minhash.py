@@ -9,8 +9,10 @@ Equal shingle sets collapse into one node first. Banding proposes links only
 from each bucket's members to one centre, drawn anew in every bucket, so a
 bucket of m nodes gives m - 1 pairs. Every proposed link is confirmed on the
 full sets. Buckets that then still hold several components get new centres for
-a few turns, and are then finished exactly: all their pairs between components
-are compared.
+a few turns. Then every pair between components whose sets can still overlap
+enough is confirmed. "Can" is decided by parity bits of the sets (`parity_bits`):
+where more bits differ than two linked sets may differ in shingles, there is no
+link, so nothing is lost and far fewer pairs leave the bucket.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from touchline.sources.store import materialize
 
 UNIVERSE = 1 << 21
 SEED = 7
+PARITY_WORDS = 16  # 64 bits each
 BANDS, ROWS = 40, 5  # a pair at 0.8 shares no band with a probability of (1 - 0.8**5)**40, about 1e-7
 
 _tables = {}
@@ -62,6 +65,17 @@ def band_keys(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """Shingles hashed to 64 * PARITY_WORDS places, with the parity of each place.
+
+    A shingle that only one of two sets has flips one bit, so two sets differ in
+    at least as many shingles as their bits do.
+    """
+    places = (shingles & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64)
+    odd = np.bincount(places, minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def text_sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
     """The shingle set of each row, from the `text` column."""
     for text in batch.column("text").cast(pa.binary()).to_pylist():
@@ -69,24 +83,26 @@ def text_sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
 
 
 def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (128 bits of the set), keys (one per band)."""
+    """doc_id, n_shingles, set_a and set_b (128 bits of the set), keys (one per band), bits (parities)."""
 
     def work(batches):
         for batch in batches:
-            counts, marks, keys = [], [], []
+            counts, marks, keys, bits = [], [], [], []
             for shingles in text_sets(batch, size):
                 counts.append(len(shingles))
                 marks.append(np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), np.int64))
+                bits.append(parity_bits(shingles))
                 keys.append(band_keys(signature(shingles, bands * rows), bands, rows) if len(shingles) else np.zeros(0, np.int64))
             marks = np.array(marks, np.int64).reshape(-1, 2)
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), keys],
-                ["doc_id", "n_shingles", "set_a", "set_b", "keys"],
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), keys, pa.array(bits, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_a", "set_b", "keys", "bits"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    columns = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, bits array<long>"
+    return docs.select("doc_id", "text").mapInArrow(work, columns)
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -128,11 +144,13 @@ def pairs_with_centres(rest: DataFrame, salt: int) -> DataFrame:
 
 
 def pairs_across(rest: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket in different components whose sizes allow a link."""
-    one = rest.select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-    two = rest.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-    fits = f"u < v AND cu != cv AND 100 * least(nu, nv) >= {percent} * greatest(nu, nv)"
-    return one.join(two, "key").filter(fits).select("u", "v").distinct()
+    """The pairs of a bucket in different components whose sizes and parity bits (`bits`) allow a link."""
+    side = lambda x: [F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "component", "bits")]]
+    fits = f"u < v AND componentu != componentv AND 100 * least(nu, nv) >= {percent} * greatest(nu, nv)"
+    differ = " + ".join(f"bit_count(bitsu[{i}] ^ bitsv[{i}])" for i in range(PARITY_WORDS))
+    close = f"(100 + {percent}) * ({differ}) <= (100 - {percent}) * (nu + nv)"  # of linked sets: shingles in one of them only
+    one, two = rest.select("key", *side("u")), rest.select("key", *side("v"))
+    return one.join(two, "key").filter(f"{fits} AND {close}").select("u", "v").distinct()
 
 
 def near_duplicates(
@@ -175,9 +193,12 @@ def near_duplicates(
         if rest.isEmpty():
             break
         salt = int(mix(np.array([turn], np.uint64)).view(np.int64)[0])
-        last = turn == turns  # what no centre could join: every pair across components
-        pairs = (pairs_across(rest, percent) if last else pairs_with_centres(rest, salt)).join(tried, ["u", "v"], "left_anti")
-        pairs = materialize(pairs)
+        if turn < turns:
+            pairs = pairs_with_centres(rest, salt)
+        else:  # what no centre could join
+            bits = first.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bits")
+            pairs = pairs_across(rest.join(bits, ["node", "n"]), percent)
+        pairs = materialize(pairs.join(tried, ["u", "v"], "left_anti"))
         more = materialize(confirmed(pairs, sets, percent))
         tried = tried.unionAll(pairs)
         if not more.isEmpty():
