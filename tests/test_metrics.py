@@ -46,6 +46,12 @@ def test_ranks_and_spearman_match_pandas_on_ties(spark):
         assert r[k] == pytest.approx(part["x"].corr(part["y"]))
 
 
+def test_pearson_keeps_null_groups_and_large_offsets(spark):
+    rows = [(k, 1e9 + x, 2.0 * x) for k in ("a", None) for x in range(5)] + [("flat", 0.1, float(x)) for x in range(3)]
+    r = as_dict(metrics.pearson(spark.createDataFrame(rows, "k string, x double, y double"), "x", "y", ["k"]), "k", "pearson")
+    assert r["a"] == pytest.approx(1.0) and r[None] == pytest.approx(1.0) and r["flat"] is None
+
+
 def test_value_bucket_never_decreases(spark):
     values = sorted([-1e12, -3.5, -1.0, -1e-9, -0.0, 0.0, 1e-9, 0.5, 1.0, 2.5, 1e12])
     df = spark.createDataFrame([(v,) for v in values], "v double").select("v", ranks.value_bucket(__import__("pyspark").sql.functions.col("v")).alias("b"))

@@ -1,7 +1,7 @@
 from conftest import as_dict, day
 import pytest
 
-from touchline.operators import ratings
+from touchline.operators import merge, ratings
 
 MATCH = (
     "season string, fixture bigint, event bigint, team_h bigint, team_a bigint, team_h_score bigint, team_a_score bigint, kickoff_time timestamp"
@@ -70,3 +70,17 @@ def test_bridge_by_name_drops_teams_without_a_counterpart(spark):
     old = spark.createDataFrame([(1, "A"), (2, "B")], "id bigint, name string")
     new = spark.createDataFrame([(9, "A"), (1, "C")], "id bigint, name string")
     assert as_dict(ratings.bridge_by_name(final, old, new), "team_id", "elo") == {9: 1600.0}
+
+
+def test_ids_used_again_in_another_season_stay_apart(spark):
+    seasons = ("2023", "2024")
+    raw = spark.createDataFrame([(s, 5, 1) for s in seasons], "season string, fixture bigint, opponent_team bigint")
+    fixtures = spark.createDataFrame([(s, 5, i) for i, s in enumerate(seasons)], "season string, fixture bigint, team_h_difficulty bigint")
+    teams = spark.createDataFrame([(s, 1, f"club {s}") for s in seasons], "season string, id bigint, name string")
+    rows = merge.attach_dims(raw, fixtures, teams).collect()
+    assert sorted((r["season"], r["team_h_difficulty"], r["opponent_team_name"]) for r in rows) == [
+        ("2023", 0, "club 2023"), ("2024", 1, "club 2024")]
+    per_match = spark.createDataFrame([(s, 5, 1500.0, 1500.0) for s in seasons], "season string, fixture bigint, elo_home_pre double, elo_away_pre double")
+    assert ratings.compare_difficulty(per_match, fixtures).count() == 2
+    rows = spark.createDataFrame([(s, 1, 1, 3.0) for s in seasons], "season string, team_id bigint, gw bigint, difficulty double")
+    assert sorted(r["team"] for r in ratings.team_round_mean(rows, ["season"], teams).collect()) == ["club 2023", "club 2024"]

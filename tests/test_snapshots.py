@@ -45,6 +45,16 @@ def test_only_changes_are_kept_whatever_the_segment(spark, segment):
     assert sorted((T0 - r["snapshot_ts"]).seconds // 3600 for r in got) == [2, 3, 5, 20]
 
 
+def test_rows_with_a_null_key_are_a_series_of_their_own(spark):
+    rows = [snap(h, gw=None) for h in (9, 6, 3)] + [snap(h) for h in (8, 5)] + [snap(2, gw=None, cost=51)]
+    got = snapshots.changed_rows(frame(spark, *rows)).collect()
+    assert sorted(((T0 - r["snapshot_ts"]).seconds // 3600, r["gw"]) for r in got) == [(2, None), (8, 1), (9, None)]
+    left = spark.createDataFrame([(None, T0), (1, T0)], "k bigint, at timestamp")
+    right = spark.createDataFrame([(None, T0 - timedelta(days=5), "a")], "k bigint, ts timestamp, v string")
+    joined = segments.as_of_join(left, right, ["k"], "at", "ts", ["v"]).collect()
+    assert {r["k"]: r["matched"] and r["matched"]["v"] for r in joined} == {None: "a", 1: None}
+
+
 def test_compare_state_keeps_new_and_changed(spark):
     old, new = frame(spark, snap(1), snap(1, element=2)), frame(spark, snap(0), snap(0, element=2, cost=9), snap(0, element=3))
     assert sorted(r["element_id"] for r in snapshots.compare_state(new, old).collect()) == [2, 3]

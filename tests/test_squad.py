@@ -230,3 +230,9 @@ def test_lineup_points_double_the_captain_and_skip_the_bench(spark):
     actuals = spark.createDataFrame([(1, e, 10 if e == 1 else 4) for e in range(1, 16) if e != 11], "gw bigint, element_id bigint, total_points bigint")
     got = squad.lineup_points(picks(spark).withColumn("gw", F.lit(1).cast("bigint")), actuals).first()
     assert got["points"] == 20 + 9 * 4
+
+
+def test_a_round_without_any_record_has_no_points(spark):
+    actuals = spark.createDataFrame([(1, 1, 10)], "gw bigint, element_id bigint, total_points bigint")
+    rounds = picks(spark).withColumn("gw", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))))
+    assert [r["gw"] for r in squad.lineup_points(rounds, actuals).collect()] == [1]

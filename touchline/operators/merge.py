@@ -51,10 +51,18 @@ def with_optional_columns(df: DataFrame, columns: list[str] = OPTIONAL_STATS, da
 def attach_dims(raw: DataFrame, fixtures: DataFrame, teams: DataFrame) -> DataFrame:
     """Left joins to fixture difficulty and to the opponent's name.
 
-    No broadcast hint: Spark broadcasts either side when its size allows.
+    Fixture and team ids start again each season, so a dimension that has the
+    season is joined on it too. No broadcast hint: Spark broadcasts either side
+    when its size allows.
     """
-    opponents = teams.select(F.col("id").alias("opponent_team"), F.col("name").alias("opponent_team_name"))
-    return raw.join(fixtures, "fixture", "left").join(opponents, "opponent_team", "left")
+    opponents = teams.select(*shared(teams, raw), F.col("id").alias("opponent_team"), F.col("name").alias("opponent_team_name"))
+    with_fixtures = raw.join(fixtures, [*shared(fixtures, raw), "fixture"], "left")
+    return with_fixtures.join(opponents, [*shared(teams, raw), "opponent_team"], "left")
+
+
+def shared(one: DataFrame, other: DataFrame, identity: tuple[str, ...] = ("season", "competition")) -> list[str]:
+    """The identity columns that both sides have; ids are unique within them."""
+    return [c for c in identity if c in one.columns and c in other.columns]
 
 
 def merge_fixtures(per_fixture: DataFrame, order: tuple[str, ...] = ("kickoff_time", "fixture")) -> DataFrame:

@@ -30,26 +30,17 @@ def error_metrics(results: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def pearson(df: DataFrame, x: str, y: str, keys: list[str], n: str | None = None, out: str = "pearson") -> DataFrame:
-    """Correlation per group; `n` names a weight column for pre-counted rows.
+def pearson(df: DataFrame, x: str, y: str, keys: list[str], out: str = "pearson") -> DataFrame:
+    """Correlation per group, in one pass; a null key is a group of its own.
 
-    Values are centred on the group mean first, so a group without spread gives
-    exactly zero variance and large offsets lose no digits.
+    The moments keep running means, so large offsets lose no digits. A group
+    without spread has no correlation: that is read off its extremes, which are
+    exact. Not `corr`: it divides by zero on such a group before any guard.
     """
-    w = F.col(n).cast("double") if n else F.lit(1.0)
     xx, yy = F.col(x).cast("double"), F.col(y).cast("double")
+    spread = (F.max(xx) > F.min(xx)) & (F.max(yy) > F.min(yy))
     rows = df.filter(xx.isNotNull() & yy.isNotNull())
-    means = rows.groupBy(*keys).agg(
-        F.try_divide(F.sum(xx * w), F.sum(w)).alias("_mx"), F.try_divide(F.sum(yy * w), F.sum(w)).alias("_my"),
-        F.min(xx).alias("_x0"), F.max(xx).alias("_x1"), F.min(yy).alias("_y0"), F.max(yy).alias("_y1"), F.sum(w).alias("_n"),
-    )
-    dx, dy = xx - F.col("_mx"), yy - F.col("_my")
-    spread = (F.col("_x1") > F.col("_x0")) & (F.col("_y1") > F.col("_y0")) & (F.col("_n") >= 2)
-    sums = rows.join(means, keys).groupBy(*keys).agg(
-        F.first(spread).alias("_ok"), F.sum(w * dx * dy).alias("_xy"), F.sum(w * dx * dx).alias("_xx"), F.sum(w * dy * dy).alias("_yy")
-    )
-    value = F.try_divide(F.col("_xy"), F.sqrt("_xx") * F.sqrt("_yy"))
-    return sums.select(*keys, F.when(F.col("_ok"), value).alias(out))
+    return rows.groupBy(*keys).agg(F.when(spread, F.try_divide(F.covar_pop(xx, yy), F.stddev_pop(xx) * F.stddev_pop(yy))).alias(out))
 
 
 def _pair_counts(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:

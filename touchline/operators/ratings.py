@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.difficulty import HOME_ADVANTAGE, INITIAL_RATING, K_FACTOR, rating_difficulty
 from touchline.functions.parsing import fixture_is_played
+from touchline.operators.merge import shared
 
 
 def order_matches(matches: DataFrame, competition: list[str], order: tuple[str, ...] = ("kickoff_time", "fixture")) -> DataFrame:
@@ -92,7 +93,8 @@ def _both_sides(fixtures: DataFrame, keys: list[str], home: Column, away: Column
 def team_round_mean(rows: DataFrame, keys: list[str], teams: DataFrame) -> DataFrame:
     """Mean difficulty per team and round, with the team's name."""
     mean = rows.groupBy(*keys, "team_id", "gw").agg(F.avg("difficulty").alias("custom_difficulty"))
-    named = mean.join(teams.select(F.col("id").alias("team_id"), F.col("name").alias("team")), "team_id", "left")
+    same = shared(mean, teams)
+    named = mean.join(teams.select(*same, F.col("id").alias("team_id"), F.col("name").alias("team")), [*same, "team_id"], "left")
     return named.select(*keys, "team", "gw", "custom_difficulty")
 
 
@@ -141,7 +143,7 @@ def compare_difficulty(per_match: DataFrame, published: DataFrame, advantage: fl
             "custom_difficulty_away": rating_difficulty(away, home, False, advantage),
         }
     )
-    return own.join(published, "fixture", "left")
+    return own.join(published, [*shared(own, published), "fixture"], "left")
 
 
 def bridge_by_name(final: DataFrame, old_teams: DataFrame, new_teams: DataFrame, competition: tuple[str, ...] = ()) -> DataFrame:

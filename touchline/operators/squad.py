@@ -251,9 +251,14 @@ def best_lineup(squads: DataFrame, projections: DataFrame, horizon: list[int]) -
 
 
 def lineup_points(squads: DataFrame, actuals: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Points of the players with a multiplier; a player without a record has 0."""
+    """Points of the players with a multiplier; a player without a record has 0.
+
+    A round that nobody has a record of is not over: it has no points and no row.
+    """
     keys = keys or ["entry"]
     playing = squads.filter(F.col("multiplier") > 0)
+    if "gw" in squads.columns:
+        playing = playing.join(actuals.select("gw").distinct(), "gw", "left_semi")
     joined = playing.join(actuals.select("gw", "element_id", F.col("total_points").alias("_p")), _shared(playing, "gw") + ["element_id"], "left")
     return joined.groupBy(*keys, *[c for c in ("gw",) if c not in keys and c in joined.columns]).agg(
         F.sum(F.coalesce("_p", F.lit(0)) * F.col("multiplier")).alias("points")
