@@ -452,7 +452,7 @@ SELECT f.entry, f.event + 1,
   least(5, CASE WHEN coalesce(a.is_chip_week, false) THEN f.next ELSE greatest(0, f.next - coalesce(a.made, 0)) END + 1), f.next,
   CASE WHEN coalesce(a.is_chip_week, false) THEN 0 ELSE coalesce(a.made, 0) END,
   CASE WHEN coalesce(a.is_chip_week, false) THEN 0 ELSE greatest(0, coalesce(a.made, 0) - f.next) END
-FROM ft f LEFT JOIN {activity} a ON a.entry = f.entry AND a.event = f.event + 1 WHERE f.event < 80"""
+FROM ft f LEFT JOIN {activity} a ON a.entry = f.entry AND a.event = f.event + 1 WHERE f.event < (SELECT max(event) FROM {transfers})"""
 add("free_transfers", """
 SELECT entry, event, before AS available_before, used, hits AS hit_count, hits * 4 AS hit_points FROM {ft} WHERE event >= 2""")
 
@@ -473,8 +473,8 @@ SELECT b.entry, b.competition, CAST(b.bank + coalesce(f.flow, 0) AS BIGINT) AS b
   SELECT entry, sum(element_out_cost - element_in_cost) AS flow FROM {transfers}
   WHERE transfer_time > TIMESTAMP '1990-01-01' AND transfer_time <= TIMESTAMP '2000-06-30' GROUP BY entry) f ON f.entry = b.entry""")
 SHARED["actions"] = """
-SELECT entry, transfer_time, seq, 0 AS step, 'out' AS action, element_out AS element_id FROM {transfers} WHERE transfer_time > TIMESTAMP '1997-01-01'
-UNION ALL SELECT entry, transfer_time, seq, 1, 'in', element_in FROM {transfers} WHERE transfer_time > TIMESTAMP '1997-01-01'"""
+SELECT entry, transfer_time, seq, 0 AS step, 'out' AS action, CASE WHEN seq % 37 = 0 THEN element_in ELSE element_out END AS element_id FROM {transfers}
+UNION ALL SELECT entry, transfer_time, seq, 1, 'in', element_in FROM {transfers}"""
 add("validate_log", """
 SELECT a.entry, a.seq, a.element_id FROM (
   SELECT *, lag(action) OVER (PARTITION BY entry, element_id ORDER BY transfer_time, seq, step) AS prev FROM {actions}) a
@@ -596,12 +596,14 @@ add("resale_prices", """
 SELECT seq, CASE WHEN element_out_cost <= element_in_cost THEN element_out_cost
   ELSE element_in_cost + (element_out_cost - element_in_cost) // 2 END AS resale_price FROM {transfers}""")
 SHARED["vectors"] = """
-SELECT q.position, q.element_id, q.now_cost, coalesce(max(points) FILTER (WHERE gw = 1), 0.0) AS x1, coalesce(max(points) FILTER (WHERE gw = 2), 0.0) AS x2,
-  coalesce(max(points) FILTER (WHERE gw = 3), 0.0) AS x3 FROM {pool} q JOIN {projections} p ON p.element_id = q.element_id GROUP BY ALL"""
+SELECT q.position, q.club, q.element_id, q.now_cost, coalesce(max(points) FILTER (WHERE gw = 1), 0.0) AS x1, coalesce(max(points) FILTER (WHERE gw = 2), 0.0) AS x2,
+  coalesce(max(points) FILTER (WHERE gw = 3), 0.0) AS x3 FROM {pool} q LEFT JOIN {projections} p ON p.element_id = q.element_id GROUP BY ALL"""
+# A squad must buy c only if it may own every player preferred to c: those of his club, three at most.
 add("candidate_frontier", """
-SELECT c.position, c.element_id, c.now_cost FROM {vectors} c LEFT JOIN {vectors} d ON d.position = c.position AND d.element_id < c.element_id
+SELECT c.position, c.element_id, c.now_cost FROM {vectors} c LEFT JOIN {vectors} d ON d.position = c.position
+  AND d.club = c.club AND d.element_id < c.element_id
   AND d.now_cost <= c.now_cost AND d.x1 >= c.x1 AND d.x2 >= c.x2 AND d.x3 >= c.x3
-GROUP BY c.position, c.element_id, c.now_cost HAVING count(d.element_id) < 4""")
+GROUP BY c.position, c.element_id, c.now_cost HAVING count(d.element_id) <= 3""")
 
 # ------------------------------------------------------------------- forward
 
@@ -706,7 +708,7 @@ add("candidate_pool", f"""
 SELECT element_id, {_LABEL} AS position, t.short_name AS club, now_cost FROM {{pool}} JOIN {{teams}} t ON t.id = element_id % 25""")
 add("flatten_live", """
 SELECT gw, fixture, line, part, element_id, s_name AS team, minutes, total_points, defensive_contribution
-FROM {player_fixture} JOIN {supplier} ON s_suppkey = element_id WHERE s_acctbal >= 0""")
+FROM {player_fixture} JOIN {supplier} ON s_suppkey = element_id""")
 add("explode_entity_batch", """
 SELECT fixture AS doc_fixture, line, part, element_id AS entity_id, element_id AS element, gw AS round, minutes, total_points FROM {player_fixture}""")
 add("parse_times", "SELECT event_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE date_trunc('second', ts) END AS parsed FROM {events}")

@@ -281,12 +281,13 @@ def upcoming_difficulty(t: Tables) -> DataFrame:
     """Next season's fixtures on last season's final ratings, moved by name.
 
     This season's ids differ from last season's: the club that was n is now
-    (n + 7) mod 25, and three clubs are new to it.
+    (n + 7) mod 25, and three clubs are new to it under names of their own.
     """
     rated = ratings.elo_ratings(ratings.match_results(t.matches), ("season", "competition"))
     final = ratings.final_ratings(rated, ("season", "competition"))
     later = final.withColumn("season", (F.col("season").cast("int") + 1).cast("string"))
-    new_teams = t.teams.filter(F.col("id") % 9 != 0).withColumn("id", (F.col("id") + 7) % 25)
+    name = F.when(F.col("id") % 9 == 0, F.concat(F.lit("NEW "), "name")).otherwise(F.col("name"))
+    new_teams = t.teams.withColumns({"id": (F.col("id") + 7) % 25, "name": name})
     bridged = ratings.bridge_by_name(later, t.teams, new_teams, ("season", "competition"))
     fixtures = t.matches.select("season", "competition", "event", "team_h", "team_a")
     rows = ratings.upcoming_difficulty(bridged, fixtures, t.teams, ("season", "competition"), ("season",))
@@ -435,8 +436,7 @@ def price_model(t: Tables) -> DataFrame:
 
 # -------------------------------------------------------------------- squads
 
-START, MID_LOG, END_LOG = datetime(1990, 1, 1), datetime(1997, 1, 1), datetime(2000, 6, 30)
-LAST_EVENT = 80
+START, END_LOG = datetime(1990, 1, 1), datetime(2000, 6, 30)
 
 
 @query
@@ -446,7 +446,9 @@ def activity_per_gw(t: Tables) -> DataFrame:
 
 @query
 def free_transfers(t: Tables) -> DataFrame:
-    states = squad.free_transfers(t.banks, squad.activity_per_gw(t.transfers, t.chips), LAST_EVENT)
+    activity = squad.activity_per_gw(t.transfers, t.chips)
+    last_event = t.transfers.agg(F.max("event")).first()[0] or 2
+    states = squad.free_transfers(t.banks, activity, last_event)
     return states.withColumn("hit_points", market.hit_points(F.col("hit_count")))
 
 
@@ -466,9 +468,9 @@ def bank_after(t: Tables) -> DataFrame:
 
 @query
 def validate_log(t: Tables) -> DataFrame:
-    """Sales that do not fit the first picks when two years of the log are lost."""
-    late = t.transfers.filter(F.col("transfer_time") > F.lit(MID_LOG))
-    return squad.validate_log(t.picks, late, segment="year").select("entry", "seq", "element_id")
+    """Sales that do not fit the first picks when some moves record the bought player as sold."""
+    sold = F.when(F.col("seq") % 37 == 0, F.col("element_in")).otherwise(F.col("element_out"))
+    return squad.validate_log(t.picks, t.transfers.withColumn("element_out", sold)).select("entry", "seq", "element_id")
 
 
 def squads(t: Tables) -> DataFrame:
@@ -541,10 +543,11 @@ def resale_prices(t: Tables) -> DataFrame:
 
 @query
 def candidate_frontier(t: Tables) -> DataFrame:
-    """Pool players no cheaper or equal, earlier and at least as good others crowd out."""
+    """Pool players that some legal squad may have to buy, with all competitions as one pool."""
     points = swaps.horizon_points(t.projections, [1, 2, 3])
-    pool = t.pool.join(points, "element_id").select("position", "element_id", "now_cost", "x")
-    return swaps.candidate_frontier(pool, ("position",)).select("position", "element_id", "now_cost")
+    x = F.coalesce("x", F.array(*[F.lit(0.0)] * 3))
+    pool = t.pool.join(points, "element_id", "left").select("position", "club", "element_id", "now_cost", x.alias("x"))
+    return swaps.candidate_frontier(pool, ("position", "club")).select("position", "element_id", "now_cost")
 
 
 # ------------------------------------------------------------------- forward
@@ -713,7 +716,7 @@ def flatten_live(t: Tables) -> DataFrame:
     )
     roster = t.supplier.select(
         F.col("s_suppkey").alias("element_id"), F.lit("MID").alias("position"), F.col("s_name").alias("team"), F.lit(False).alias("is_promoted_club")
-    ).filter(F.col("s_acctbal") >= 0)
+    )
     rows = payloads.flatten_live(live, roster, ("gw", "fixture", "line", "part"))
     return rows.select("gw", "fixture", "line", "part", "element_id", "team", "minutes", "total_points", "defensive_contribution")
 

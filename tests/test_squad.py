@@ -213,6 +213,18 @@ def test_frontier_keeps_every_possible_winner(spark):
     assert got == want
 
 
+def test_frontier_refuses_keys_without_club(spark):
+    pool = spark.createDataFrame([], "element_id bigint, position string, club string, now_cost bigint, x array<double>")
+    with pytest.raises(ValueError, match="club"):
+        swaps.candidate_frontier(pool, ("position",))
+
+
+def test_frontier_keeps_a_club_that_four_of_another_beat(spark):
+    rows = [(e, "FWD", "A", 50, [9.0]) for e in range(1, 6)] + [(9, "FWD", "B", 60, [1.0])]
+    pool = spark.createDataFrame(rows, "element_id bigint, position string, club string, now_cost bigint, x array<double>")
+    assert {r["element_id"] for r in swaps.candidate_frontier(pool, ("position", "club")).collect()} == {1, 2, 3, 4, 9}
+
+
 def test_pairs_follow_position_and_id(spark):
     t = "entry bigint, element_id bigint, position string"
     outs = spark.createDataFrame([(1, 9, "MID"), (1, 2, "GK"), (1, 7, "MID"), (1, 5, "DEF")], t)

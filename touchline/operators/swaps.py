@@ -62,10 +62,16 @@ def _reduce_groups(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
 def candidate_frontier(pool: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Candidates that can be part of a best swap, per group of `keys`.
 
+    `keys` must name position and club. Among players of one club a candidate
+    beaten by four cannot win, as a squad owns three of them at most and may buy
+    the fourth wherever it may buy him; across clubs that does not hold.
+
     Each partition first reduces its own batches without a shuffle. What is
     left is sorted by group and reduced as a stream: a task holds one batch and
     the surviving rows of one group.
     """
+    if missing := {"position", "club"} - set(keys):
+        raise ValueError(f"the frontier is exact inside a club and position only; keys lack {sorted(missing)}")
     k = list(keys)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
