@@ -52,7 +52,8 @@ def load_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def append_changes(changed: DataFrame, path: str, partition: str = "gw") -> bool:
-    """Append changed rows; nothing is written for an empty input."""
+    """Append changed rows, computed once; nothing is written for an empty input."""
+    changed = materialize(changed)
     if changed.isEmpty():
         return False
     changed.write.mode("append").partitionBy(partition).parquet(path)
@@ -60,10 +61,12 @@ def append_changes(changed: DataFrame, path: str, partition: str = "gw") -> bool
 
 
 def append_once(df: DataFrame, path: str, key: str = "gw") -> None:
-    """Append rows whose key is new; refuse an empty input or a stored key.
+    """Append rows whose key is new, computed once; refuse an empty input or a stored key.
 
-    The key is the partition column, so the check lists partitions only.
+    The key is the partition column, so the check reads no other column. Check and
+    write are two steps: two writers of one key at the same time both succeed.
     """
+    df = materialize(df)
     if df.isEmpty():
         raise ValueError("refusing to append an empty table")
     stored = load_table(df.sparkSession, path, df.schema).select(key).distinct()
