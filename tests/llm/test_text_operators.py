@@ -60,6 +60,21 @@ def test_quality_matches_brute_force(make):
     assert quality.quality(make([])).count() == 0
 
 
+def test_common_lines_of_large_and_small_hosts(make):
+    """A line on 20 of 400 documents of a host goes, and one on all 19 of another; lines on 19 of 400 and on 2 of 2 stay."""
+    rng = random.Random(13)
+    own = lambda: prose(rng, 12)
+    rows = [(i, own() + ("\nread more here" if i < 20 else "\nsubscribe to us" if i < 39 else ""), "large") for i in range(400)]
+    rows += [(400 + i, own() + "\nall rights of this site", "small") for i in range(19)] + [(500 + i, own() + "\nin two", "two") for i in range(2)]
+    rows += [(600, own() + "\nread more here", "two"), (601, own() + "\nread more here", None), (0, rows[0][1], "large")]
+    found = quality.quality(make(rows)).collect()
+    for r in found:
+        text, gone = next(t for d, t, _ in rows if d == r.doc_id), r.doc_id < 20 or 400 <= r.doc_id < 419
+        assert (r.clean_text == text.split("\n")[0]) if gone else r.clean_text == text
+        assert r.words_left == len(WORD.findall(r.clean_text)) and r.n_words == len(WORD.findall(text))
+    assert len(found) == len(rows)
+
+
 def test_quality_runs_no_python(make):
     plan = quality.quality(make([(1, "a b", "h")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

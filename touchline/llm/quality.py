@@ -1,9 +1,11 @@
 """Quality rules: base counts of a text, and lines that too many documents of a host share.
 
 Built from SQL functions only. Lines are normalised and hashed, and counted once
-per document and host, with partial counts before the shuffle. Lines on more
-than a share of a host's documents are boilerplate there; what a document has
-left without them decides whether it is depleted.
+per document and host, with partial counts before the shuffle. Lines on a fixed
+number of a host's documents are boilerplate there, and so are lines on a share
+of a small host's; what a document has left without them decides whether it is
+depleted. Common lines and the lines of documents meet in a join by host and
+line, so neither a host's size nor the number of its common lines is bounded.
 """
 
 from __future__ import annotations
@@ -56,27 +58,42 @@ def words_in_repeats(keys: Column) -> Column:
     return F.when(F.size(F.array_distinct(keys)) < F.size(keys), total).otherwise(F.lit(0).cast("long"))
 
 
-def common_lines(docs: DataFrame, share: float, least_docs: int) -> DataFrame:
-    """host, common: per host the hashes of lines on at least `least_docs` and more than `share` of its documents.
+def placed_lines(rows: DataFrame) -> DataFrame:
+    """host, t1, t2 (hashes of host and text, 128 bits) and the key and words of each line, in order; one row per document."""
+    pair = lambda line: F.struct(line_key(line).alias("line"), F.size(words_of(line)).alias("n"))
+    return materialize(rows.select("host", "t1", "t2", F.transform(lines_of(F.col("text")), pair).alias("lines")))
 
-    A document counts once per line. At most 1 / share lines per line of an
-    average document can pass, so the arrays stay short.
+
+def common_lines(placed: DataFrame, share: float, least_docs: int, least_shared: int) -> DataFrame:
+    """h, l: hashes of lines on `least_docs` documents of host h, however many it has, or on `least_shared` and over `share` of them.
+
+    A document counts once per line.
     """
-    keys = F.array_distinct(F.transform(lines_of(F.col("text")), line_key))
-    counts = docs.select("host", F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    sizes = docs.groupBy("host").agg(F.count(F.lit(1)).alias("docs")).withColumnRenamed("host", "h")
-    over = counts.filter(F.col("n") >= least_docs).join(sizes, F.col("host").eqNullSafe(F.col("h")))
-    return materialize(over.filter(F.col("n") > share * F.col("docs")).groupBy("host").agg(F.collect_set("line").alias("common")))
+    counts = placed.select("host", F.explode(F.array_distinct("lines.line")).alias("l")).groupBy("host", "l").agg(F.count(F.lit(1)).alias("n"))
+    sizes = placed.groupBy("host").agg(F.count(F.lit(1)).alias("docs")).withColumnRenamed("host", "h")
+    often = counts.filter(F.col("n") >= min(least_docs, least_shared)).join(sizes, F.col("host").eqNullSafe(F.col("h")))
+    part = (F.col("n") >= least_shared) & (F.col("n") > share * F.col("docs"))
+    return materialize(often.filter((F.col("n") >= least_docs) | part).select("h", "l"))
+
+
+def common_of_texts(placed: DataFrame, common: DataFrame) -> DataFrame:
+    """t1, t2, common, gone: per text of a host with common lines their hashes, and the words in them. Copies are one row."""
+    lines = placed.select("host", "t1", "t2", F.posexplode("lines").alias("place", "pair")).select("host", "t1", "t2", "place", "pair.line", "pair.n")
+    met = lines.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")), "left_semi")
+    found = met.groupBy("t1", "t2").agg(F.collect_set(F.struct("place", "line", "n")).alias("found"))
+    gone = F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    return found.select("t1", "t2", F.array_distinct("found.line").alias("common"), gone.alias("gone"))
 
 
 def quality(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source",
-    share: float = 0.1, least_docs: int = 20, least_words: int = 10, least_left: float = 0.5,
+    share: float = 0.1, least_docs: int = 20, least_words: int = 10, least_left: float = 0.5, least_shared: int = 3,
 ) -> DataFrame:
     """One row per row of `docs`: counts, base_failed, words_left, kept and clean_text.
 
     base_failed: under ten words, or over 20 % of the words in repeated five-word
-    windows. kept: not failed, and without the lines that its host repeats the
+    windows. kept: not failed, and without the lines that its host repeats (on
+    `least_docs` documents, or on `least_shared` and over `share` of them) the
     document still has `least_words` words and `least_left` of its words.
     clean_text is the text without these lines (null for a null text).
 
@@ -84,27 +101,24 @@ def quality(
     whatever its id. Other columns of `docs` are not looked at. No rows, no rows.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(host_column).alias("host"))
-    common = common_lines(rows, share, least_docs).withColumnRenamed("host", "h")
-    known = rows.join(common, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
+    rows = rows.withColumns({"t1": F.xxhash64("host", "text"), "t2": F.xxhash64(F.lit(1), F.col("host").isNull(), "host", "text")})
+    placed = placed_lines(rows)
+    common = common_of_texts(placed, common_lines(placed, share, least_docs, least_shared))
 
-    found = known.select("doc_id", "text", "common", F.coalesce(words_of(F.col("text")), F.array().cast("array<string>")).alias("words"), F.coalesce(lines_of(F.col("text")), F.array().cast("array<string>")).alias("lines"))
+    found = rows.select("doc_id", "text", "t1", "t2", F.coalesce(words_of(F.col("text")), F.array().cast("array<string>")).alias("words"), F.coalesce(lines_of(F.col("text")), F.array().cast("array<string>")).alias("lines"))
     found = found.select("*", window_keys(F.col("words")).alias("windows"))
-    dropped = lambda line: F.array_contains("common", line_key(line))
-    kept_lines = F.when(F.col("common").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(F.split("text", "\n"), lambda line: ~dropped(line)), "\n")
-    )
     found = found.select(
-        "doc_id",
+        "doc_id", "text", "t1", "t2",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.coalesce(F.regexp_count("text", F.lit("[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         words_in_repeats(F.col("windows")).alias("n_repeat_words"),
-        kept_lines.alias("clean_text"),
-        F.col("common").isNull().alias("untouched"),
-    )
-    left = F.when(F.col("untouched"), F.col("n_words")).otherwise(F.coalesce(F.size(words_of(F.col("clean_text"))), F.lit(0)).cast("long"))
+    ).join(common, ["t1", "t2"], "left").drop("t1", "t2")
+    kept_lines = F.filter(F.split("text", "\n"), lambda line: ~F.array_contains("common", line_key(line)))
+    clean = F.when(F.col("common").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n"))
+    left = F.col("n_words") - F.coalesce("gone", F.lit(0).cast("long"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    found = found.select("*", failed.alias("base_failed"), left.alias("words_left")).drop("untouched")
+    found = found.select("*", clean.alias("clean_text"), failed.alias("base_failed"), left.alias("words_left")).drop("text", "common", "gone")
     enough = (F.col("words_left") >= least_words) & (F.col("words_left") >= least_left * F.col("n_words"))
     return found.select("*", (~F.col("base_failed") & enough).alias("kept"))
