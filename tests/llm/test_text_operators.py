@@ -432,6 +432,27 @@ def test_neighbours_match_brute_force(spark):
     assert few.filter("query_id = 0").count() == 2
 
 
+@pytest.mark.parametrize("length", [3e3, 1e19])
+def test_a_long_vector_does_not_hide_the_others(spark, length):
+    rng = np.random.default_rng(14)
+    points = rng.normal(size=(2000, 64))
+    points = (points / np.sqrt((points**2).sum(axis=1, keepdims=True))).astype(np.float32)
+    points[777] *= np.float32(length)
+    points[1000:1010] *= np.float32(1e-6)
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in ann.nearest_neighbours(table, table.filter("vec_id % 40 = 0 or vec_id = 777"), k=20, probe_share=0.7).collect():
+        got[r.query_id].add(r.vec_id)
+    exact, hits = points.astype(np.float64), 0
+    asked = [*range(0, 2000, 40), 777]
+    for q in asked:
+        scores = exact @ exact[q]
+        best = {i for _, i in sorted((-s, i) for i, s in enumerate(scores) if i != q)[:20]}
+        hits += len(best & got[q])
+        assert len(got[q]) == 20 and (777 in got[q]) == (777 in best)
+    assert set(got) == set(asked) and hits / (20 * len(asked)) >= 0.9
+
+
 # ----------------------------------------------------------------- pipeline
 
 

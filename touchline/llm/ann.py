@@ -1,9 +1,11 @@
 """Nearest vectors by largest inner product: probed lists with an adaptive dimension scan.
 
-Vectors get one more component that makes all lengths equal, so that the largest
-inner product is the smallest distance; a random rotation then spreads the
-information evenly over the components. k-means on a bounded sample makes lists,
-and each query probes the lists of its nearest centroids. Inside a list,
+Vectors are dealt into layers by length (a factor of four each), and scaled, so
+that a few long ones set nothing for the others. Inside a layer they get one more
+component that makes all lengths equal, so that the largest inner product is the
+smallest distance; a random rotation then spreads the information evenly over the
+components. k-means on a bounded sample makes the lists of a layer, and each query
+probes the lists of its nearest centroids in every layer. Inside a list,
 distances grow column block by column block, and after each block a hypothesis
 test on the partial distance drops the candidates that are beyond the query's
 k-th best so far. The scores of what is left are inner products of the original
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.sources.store import materialize
@@ -43,14 +45,21 @@ def usable(vectors: DataFrame) -> DataFrame:
     return good.filter(F.size("embedding") == (lengths[0].n if lengths else -1))
 
 
+def power_of(embedding: str) -> Column:
+    """Binary logarithm of a vector's length; nothing overflows on the way."""
+    largest = F.array_max(F.transform(embedding, lambda x: F.abs(x)))
+    return F.log2(largest) + F.log2(F.aggregate(embedding, F.lit(0.0), lambda s, x: s + (x / largest) * (x / largest))) / 2
+
+
 class Index:
-    """Rotation and centroids; small enough to travel with a task."""
+    """Centroids of one layer and the rotation of all; small enough to travel with a task."""
 
-    def __init__(self, sample: np.ndarray, longest: float, lists: int, seed: int):
-        self.longest = longest
+    def __init__(self, layer: int, rotation: np.ndarray, sample: np.ndarray, longest: float, lists: int, seed: int):
+        self.layer, self.rotation, self.longest = layer, rotation, longest
+        self.centroids = np.zeros((1, len(rotation)))
+        if lists == 1:
+            return
         rng = np.random.Generator(np.random.PCG64(seed))
-        size = sample.shape[1] + 1
-        self.rotation = np.linalg.qr(rng.normal(size=(size, size)))[0].astype(np.float32)
         points = self.rotate(sample)
         self.centroids = points[rng.choice(len(points), min(lists, len(points)), replace=False)]
         for _ in range(8):
@@ -59,12 +68,16 @@ class Index:
             starts = np.searchsorted(near[order], np.arange(len(self.centroids)))
             counts = np.bincount(near, minlength=len(self.centroids))
             sums = np.add.reduceat(points[order], np.minimum(starts, len(points) - 1), axis=0)
-            self.centroids = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], self.centroids).astype(np.float32)
+            self.centroids = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], self.centroids)
 
     def rotate(self, vectors: np.ndarray, queries: bool = False) -> np.ndarray:
-        """Rotated vectors with the component that evens lengths (0 for queries)."""
-        rest = np.zeros(len(vectors)) if queries else np.sqrt(np.maximum(self.longest**2 - (vectors.astype(np.float64) ** 2).sum(axis=1), 0))
-        return np.column_stack([vectors, rest]).astype(np.float32) @ self.rotation
+        """Scaled and rotated vectors with the component that evens lengths (0 for queries, which get the layer's largest length)."""
+        if queries:
+            unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+            scaled = unit * (self.longest / np.sqrt((unit**2).sum(axis=1, keepdims=True)))
+            return np.column_stack([scaled, np.zeros(len(vectors))]) @ self.rotation
+        scaled = np.ldexp(vectors, -2 * self.layer)
+        return np.column_stack([scaled, np.sqrt(np.maximum(self.longest**2 - (scaled**2).sum(axis=1), 0))]) @ self.rotation
 
     def nearest(self, points: np.ndarray, n: int) -> np.ndarray:
         far = (self.centroids**2).sum(axis=1) - 2 * points @ self.centroids.T
@@ -74,12 +87,12 @@ class Index:
 def scan(points: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
     """Rows of `points` that may be among the k nearest of each query, -1 where there are fewer."""
     size = points.shape[1]
-    best = np.full((len(queries), k), np.inf, np.float32)
+    best = np.full((len(queries), k), np.inf)
     rows = np.full((len(queries), k), -1, np.int64)
     bounds = [(a, min(a + COLUMNS, size)) for a in range(0, size, COLUMNS)]
     for start in range(0, len(points), CHUNK):
         part = points[start : start + CHUNK]
-        far = np.full((len(queries), len(part)), np.inf, np.float32)
+        far = np.full((len(queries), len(part)), np.inf)
         limit = best.max(axis=1)
         a, b = bounds[0]
         first = (part[:, a:b] ** 2).sum(axis=1) + (queries[:, a:b] ** 2).sum(axis=1)[:, None] - 2 * queries[:, a:b] @ part[:, a:b].T
@@ -110,8 +123,8 @@ def nearest_neighbours(
     """query_id, rank, vec_id, score: the k nearest found of each query, nearest first, ties to the smaller vec_id.
 
     `vectors` and `queries` have vec_id and embedding; a query's own id is no
-    candidate. The number of lists grows with the square root of the rows, up to
-    one per 16 sampled vectors; a query probes `probe_share` of them. Queries whose vectors
+    candidate. The number of a layer's lists grows with the square root of its rows, up
+    to one per 16 of its sampled vectors; a query probes `probe_share` of them. Queries whose vectors
     take no part (see `usable`) give no rows, like an empty table. Rows repeated
     with one id and vector are one candidate.
     """
@@ -119,27 +132,40 @@ def nearest_neighbours(
     asked = usable(queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")))
     asked = asked.join(good.select("vec_id").distinct(), "vec_id", "left_semi")
     schema = "query_id long, rank int, vec_id long, score double"
-    n, longest = good.agg(F.count(F.lit(1)), F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))).first()
-    if n == 0:
+    layered = good.withColumn("power", power_of("embedding")).withColumn("layer", F.floor(F.col("power") / 2 + 0.5).cast("int"))
+    layers = layered.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.max("power").alias("power"), F.max(F.size("embedding")).alias("size")).orderBy("layer").collect()
+    if not layers:
         return vectors.sparkSession.createDataFrame([], schema)
-    drawn = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
-    points = matrix(drawn["embedding"])
-    lists = int(max(1, min(np.ceil(np.sqrt(n) / LISTS_SHARE), len(points) // 16)))
-    index = Index(points, float(np.sqrt(longest)) * (1 + 1e-9), lists, seed)
-    probes = int(np.ceil(probe_share * len(index.centroids)))
+    drawn = layered.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("layer", "embedding").toArrow()
+    points, of_layer = matrix(drawn["embedding"]), np.asarray(drawn["layer"])
+    size = layers[0].size + 1
+    rotation = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).normal(size=(size, size)))[0]
+    indexes, firsts, layer_of = {}, {}, []
+    for layer, n, power, _ in layers:
+        inside = points[of_layer == layer]
+        lists = int(max(1, min(np.ceil(np.sqrt(n) / LISTS_SHARE), len(inside) // 16)))
+        indexes[layer] = Index(layer, rotation, inside, 2.0 ** (power - 2 * layer) * (1 + 1e-9), lists, seed)
+        firsts[layer] = len(layer_of)
+        layer_of += [layer] * len(indexes[layer].centroids)
 
     # equal vectors become one row with their smallest ids
     turn = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    classes = good.distinct().withColumn("turn", turn).filter(F.col("turn") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    classes = layered.drop("power").distinct().withColumn("turn", turn).filter(F.col("turn") <= k + 1).groupBy("embedding", "layer").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
 
     def assign(batches):
         for batch in batches:
-            near = index.nearest(index.rotate(matrix(batch.column("embedding"))), 1)[:, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), *batch.columns], ["list", *batch.schema.names])
+            batch_points, layer = matrix(batch.column("embedding")), np.asarray(batch.column("layer"))
+            near = np.zeros(len(layer), np.int32)
+            for at in np.unique(layer).tolist():
+                index = indexes[at]
+                near[layer == at] = firsts[at] + index.nearest(index.rotate(batch_points[layer == at]), 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), batch.column("embedding"), batch.column("ids")], ["list", "embedding", "ids"])
 
     def probe(batches):
         for batch in batches:
-            near = index.nearest(index.rotate(matrix(batch.column("embedding")), queries=True), probes)
+            asking = matrix(batch.column("embedding"))
+            probes = lambda index: int(np.ceil(probe_share * len(index.centroids)))
+            near = np.column_stack([firsts[at] + index.nearest(index.rotate(asking, queries=True), probes(index)) for at, index in indexes.items()])
             yield pa.RecordBatch.from_arrays([pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())), *batch.columns], ["probes", *batch.schema.names])
 
     placed = materialize(classes.mapInArrow(assign, "list int, embedding array<double>, ids array<long>"))
@@ -159,6 +185,7 @@ def nearest_neighbours(
             return none
         vectors, asked = matrix(left["embedding"]), matrix(right["embedding"])
         ids, names = left["ids"].to_pylist(), right["query_id"].to_pylist()
+        index = indexes[layer_of[left["list"][0].as_py()]]
         found = scan(index.rotate(vectors), index.rotate(asked, queries=True), k + 1)
         out_q, out_v, out_s = [], [], []
         for i, name in enumerate(names):
