@@ -373,6 +373,17 @@ def test_main_text_of_templates(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_article_goes_on_in_its_siblings():
+    long = "<p>First, a paragraph of some length, with commas, clauses, and more, so that it scores well.</p>" * 3
+    text = "\n\n".join(["First, a paragraph of some length, with commas, clauses, and more, so that it scores well."] * 3)
+    page = "<body><nav><a href=x>Menu</a></nav><div>{}</div><footer>foot</footer></body>"
+    assert html_text.extract(page.format(f"<article>{long}</article><article><p>A second one.</p></article>")) == text + "\n\nA second one."
+    assert html_text.extract(page.format(f"<article>{long}</article><p>After it.</p><div><a href=x>More</a></div>")) == text + "\n\nAfter it."
+    inside = "Bare text, <a href=x>linked</a> and <i>slanted</i>.<ul><li>item</li></ul><div>small</div><ul><li><a href=x>Share</a></li></ul>"
+    got = html_text.extract(page.format(f"<section>{long}</section>{inside}<section>{long}</section>"))
+    assert got == f"{text}\n\nBare text, linked and slanted.\n\nitem\n\nsmall\n\n{text}"
+
+
 # ----------------------------------------------------------------- toxicity
 
 

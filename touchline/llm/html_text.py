@@ -206,18 +206,37 @@ def article_nodes(root: Node) -> list[Node]:
             whole = above
             break
         above = above.parent
-    if whole.tag in ("article", "main") or whole.parent is None:
+    if whole.parent is None:
         return [whole]
     least = max(5.0, 0.2 * whole.points)
-    kept = []
-    for near in whole.parent.children:
-        if not isinstance(near, Node) or near.skip or not near.size:
+    runs = sibling_runs(whole.parent)
+    sparse = [sum(n.linked for n in run if isinstance(n, Node)) < 0.25 * size for run, size in runs]
+    chosen = []
+    for place, (run, _) in enumerate(runs):
+        near = run[0]
+        if not isinstance(near, Node) or near.tag not in BLOCKS:
             continue
-        density = near.linked / max(near.size, 1)
-        alone = re.fullmatch("p|pre|blockquote|h[1-6]", near.tag) is not None
-        if near is whole or near.points >= least or (alone and density < 0.25):
-            kept.append(near)
-    return kept
+        alone = re.fullmatch("p|pre|blockquote|h[1-6]|article|main", near.tag) is not None
+        if near is whole or near.points >= least or (alone and sparse[place]):
+            chosen.append(place)
+    between, chosen = range(chosen[0], chosen[-1] + 1), set(chosen)
+    return [n for place in between if place in chosen or sparse[place] for n in runs[place][0]]
+
+
+def sibling_runs(parent: Node) -> list[tuple[list[Node | str], int]]:
+    """The children with text and the length of it: a block alone, text and inline elements beside each other as one."""
+    runs, inline = [], []
+    for child in [*parent.children, None]:
+        if isinstance(child, Node) and child.skip:
+            continue
+        if isinstance(child, str) or (child is not None and child.tag not in BLOCKS):
+            inline.append(child)
+            continue
+        runs.append((list(inline), sum(len(c.strip()) if isinstance(c, str) else c.size for c in inline)))
+        inline.clear()
+        if child is not None:
+            runs.append(([child], child.size))
+    return [(run, size) for run, size in runs if size]
 
 
 def blocks(nodes: list[Node]) -> list[str]:
