@@ -252,6 +252,18 @@ def test_added_kinds_and_redaction(make):
     assert pii.digests(pii.personal_data(make([]))).count() == 0
 
 
+def test_accounts_of_all_countries_and_quoted_secrets():
+    anchors = pii.automaton()
+    of = lambda kind, text: [text[a:b] for k, a, b in pii.find_spans(text, anchors) if k == kind]
+    for iban in ["HU42 1177 3016 1111 1018 0000 0000", "RO49AAAA1B31007593840000", "GR1601101250000000012300695", "SK3112000000198742637541", "TR330006100519786457841326", "MT84MALT011000012345MTLCAST001S"]:
+        assert of("account", f"to {iban}.") == [iban] and of("account", f"to {iban[:-1]}Q.") == []
+    for text in ["password: hunter22", 'password="hunter22"', '{"password": "hunter22"}', "Password = 'hunter22';", '{\\"password\\": \\"hunter22\\"}', "pwd=hunter22, x", 'token :"hunter22']:
+        assert of("secret", text) == ["hunter22"], text
+    assert of("secret", 'secret: "with a \\" and blanks", next') == ['with a \\" and blanks']
+    for text in ["the password is hunter22", "password:\nhunter22", 'password=""', "password: short"]:
+        assert of("secret", text) == [], text
+
+
 # ------------------------------------------------------------------- mixing
 
 

@@ -13,7 +13,7 @@ ip       four dotted numbers of at most 255
 card     16 to 19 digits, single spaces or hyphens between, passing Luhn
 phone    + and 8 to 15 digits, with spaces, dots, brackets and hyphens
 account  an IBAN passing mod 97, or an access key id (AKIA or ASIA and 16 capitals or digits)
-secret   the value after a cue such as password=, of 6 characters or more
+secret   the value after a cue such as password and = or :, with blanks and quotes around the sign, of 6 characters or more
 login    user:password of a URL that carries one
 """
 
@@ -35,13 +35,21 @@ _LABEL = _ALNUM | frozenset("-")
 _PHONE = _DIGITS | frozenset(" ().-")
 _CAPITAL = frozenset(_LETTERS) | _DIGITS
 _STOP = frozenset(" \t\n\x0b\x0c\r\"'<>,;")
+_BLANK = frozenset(" \t")
+_AROUND = _BLANK | frozenset("\"'\\")
 
 # Cue words before a secret, access key prefixes, country codes and lengths of account numbers.
 SECRET_CUES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey")
 KEY_CUES = ("AKIA", "ASIA")
 IBAN_LENGTHS = {
-    "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27,
-    "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
 
 
@@ -55,8 +63,7 @@ def automaton() -> ahocorasick.Automaton:
         found.add_word(digit, ("digit", 1))
     for cue in SECRET_CUES:
         for spelled in (cue, cue.upper(), cue.capitalize()):
-            for sign in "=:":
-                found.add_word(spelled + sign, ("secret", len(cue) + 1))
+            found.add_word(spelled, ("secret", len(cue)))
     for cue in KEY_CUES:
         found.add_word(cue, ("key", 4))
     for country in IBAN_LENGTHS:
@@ -194,20 +201,37 @@ def accounts(text: str, keys: list[int], ibans: list[int]) -> list[tuple[int, in
 
 
 def secrets(text: str, ends: list[int]) -> list[tuple[int, int]]:
-    """`ends` are the positions after a cue and its sign; the value runs to white space or a quote."""
+    """`ends` are the positions after a cue; blanks and quotes may stand around its sign. A value in quotes runs to the closing one, another to white space or a quote."""
     found, floor = [], 0
     for at in ends:
-        if at < floor:
+        at = run_right(text, at, _AROUND)
+        if at < floor or at == len(text) or text[at] not in "=:":
             continue
-        end = at
-        while end < len(text) and text[end] not in _STOP:
-            end += 1
-        if end - at >= 6:
-            found.append((at, end))
+        start = run_right(text, at + 1, _BLANK)
+        end = -1
+        opens = run_right(text, start, frozenset("\\"))
+        if opens < len(text) and text[opens] in "\"'":  # escaped quotes, as in JSON inside JSON, are closed by such
+            closing, start = text[start : opens + 1], opens + 1
+            end = quoted(text, start, closing)
+        if end < 0:
+            end = start
+            while end < len(text) and text[end] not in _STOP:
+                end += 1
+        if end - start >= 6:
+            found.append((start, end))
             floor = end
     return found
 
 
+def quoted(text: str, at: int, closing: str) -> int:
+    """Where the quote that opened before `at` is closed on its line; -1 if it is not."""
+    while at < len(text) and text[at] not in "\r\n":
+        if text.startswith(closing, at):
+            return at
+        at += 2 if text[at] == "\\" else 1
+    return -1
+
+
 def logins(text: str, ends: list[int]) -> list[tuple[int, int]]:
     """user:password between a scheme and an at-sign."""
     found = []
