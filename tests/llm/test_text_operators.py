@@ -305,6 +305,18 @@ def test_mix_targets_copies_and_reruns(make):
     assert mixing.mix(make([])).count() == 0
 
 
+def test_mixed_keeps_columns_named_like_its_own(make):
+    rng = random.Random(15)
+    docs = make([(i, prose(rng, rng.randint(0, 20)), rng.choice(["a", "a", "b", None])) for i in range(80)])
+    names = "size s p whole target source_size cut_bucket cut_inner cut_rank cut_doc cut_size copies copy row rank lack".split()
+    wide = docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    found = mixing.mixed(wide)
+    assert found.columns == wide.columns
+    rows = found.collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in mixing.mixed(docs).collect())
+    assert rows and all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in names)
+
+
 def test_mix_runs_no_python(make):
     plan = mixing.mix(make([(1, "a b", "h")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

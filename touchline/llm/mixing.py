@@ -134,12 +134,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES, seed: int = 3) -> DataFrame:
-    """The mix itself: each row of `docs` as often as it is taken, with the columns of `docs`."""
-    names = docs.columns
-    rows = docs.withColumn("size", word_count(F.col("text"))) if "size" not in names else None
-    if rows is None:
-        raise ValueError("rename the column size first")
-    sizes = materialize(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size"))
+    """The mix itself: each row of `docs` as often as it is taken, with the columns of `docs`, whatever their names: rows travel as one column."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    sizes = materialize(rows.drop("row"))
     cuts = source_cuts(sizes, source_targets(sizes, weights, most), seed, most)
     taken = apply_cuts(rows, cuts, seed).filter("copies > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*names)
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
