@@ -504,3 +504,64 @@ def test_pipeline_stages(spark):
         assert docs.count() > 0
     out = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert out.count() == docs.count() and out.filter(~F.col("round_trip")).count() == 0
+
+
+def test_pipeline_stages_match_brute_force(spark):
+    import corpus_pipeline
+
+    tokenizers = pytest.importorskip("tokenizers")
+    folder = "/root/testdata/sf0.001"
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+
+    def after(name, docs):
+        rows = stages[name](spark, docs, folder)
+        return spark.createDataFrame(rows.collect(), rows.schema)
+
+    def listed(rows):
+        return sorted((tuple(r) for r in rows), key=repr)
+
+    model = toxicity.fit(docs, toxicity.training_rows(spark.read.parquet(f"{folder}/labels.parquet")))
+    scores = {r.doc_id: r.score for r in toxicity.scores(docs, model).collect()}
+    clean = after("toxicity", docs)
+    assert listed(clean.collect()) == listed(r for r in docs.collect() if scores[r.doc_id] < 0.7)
+
+    rows = clean.collect()
+    root = {d: r for d, _, r in components_by_hand([(r.doc_id, r.text) for r in rows], 5, 80)}
+    single = after("near_duplicates", clean)
+    assert listed(single.collect()) == listed(r for r in rows if r.doc_id is None or root[r.doc_id] == r.doc_id)
+
+    expected, anchors = [], pii.automaton()
+    for r in single.collect():
+        text = r.text
+        if text is not None:
+            spans = base_spans(text) + [s for s in pii.find_spans(text, anchors) if s[0] not in pii.BASE_KINDS]
+            gone = sorted({i for _, a, b in spans for i in range(a, b)})
+            first = {a: k for k, a, b in reversed(sorted(spans, key=lambda s: pii.KINDS.index(s[0]))) if not any(x < a < y for _, x, y in spans)}
+            text = "".join(f"<{first[i]}>" if i in first else "" if i in set(gone) else c for i, c in enumerate(text)) if gone else text
+        expected.append(tuple({**r.asDict(), "text": text, "n_chars": None if text is None else len(text)}[c] for c in docs.columns))
+    private = after("personal_data", single)
+    assert listed(private.collect()) == listed(expected)
+
+    mixed = after("mix", private)
+    source, size = {}, Counter()
+    for r in private.collect():
+        source[r.doc_id] = (r.source, len(WORD.findall(r.text or "")), tuple(r))
+        size[r.source] += source[r.doc_id][1]
+    taken, copies, largest = Counter(), Counter(), Counter()
+    for r in mixed.collect():
+        assert tuple(r) == source[r.doc_id][2]
+        copies[r.doc_id] += 1
+        taken[r.source] += source[r.doc_id][1]
+    for s, n, _ in source.values():
+        largest[s] = max(largest[s], n)
+    assert max(copies.values()) <= 3
+    for s, target in targets_by_hand(dict(size)).items():
+        assert abs(taken[s] - target) <= largest[s]
+
+    library = tokenizers.Tokenizer.from_file(vocabulary_path())
+    out = stages["bpe"](spark, mixed, folder).select("doc_id", "ids", "n_tokens").collect()
+    encoded = [(r.doc_id, library.encode(r.text or "", add_special_tokens=False).ids) for r in mixed.collect()]
+    assert sorted((r.doc_id, list(r.ids), r.n_tokens) for r in out) == sorted((d, ids, len(ids)) for d, ids in encoded)
+    whole = corpus_pipeline.run(spark, folder).select("doc_id", "ids", "n_tokens").collect()
+    assert listed(whole) == listed(out)
