@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from touchline.llm import ann, bpe, html_text, minhash, mixing, pii, quality, secret_scan, suffix, toxicity, warc
+from touchline.llm import ann, bpe, html_text, minhash, mixing, pii, quality, secret_scan, suffix, toxicity, warc, whitening
 from touchline.llm.vocabulary import vocabulary_path
 from touchline.session import ship_package
 
@@ -92,6 +92,11 @@ def op10_neighbours(spark, sf_dir):
     return ann.nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+@query
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op12_secrets(spark, sf_dir):
     return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
