@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from touchline.llm import ann, bpe, html_text, minhash, mixing, pii, quality, secret_scan, suffix, toxicity, warc, whitening
+from touchline.llm import ann, bpe, html_text, manifest, minhash, mixing, oracles, pii, quality, secret_scan, suffix, toxicity, warc, whitening
 from touchline.llm.vocabulary import vocabulary_path
 from touchline.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
 
 
 def query(build):
@@ -102,6 +102,12 @@ def op12_secrets(spark, sf_dir):
     return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+@query
+def op13_manifest(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return manifest.documents_manifest(table(spark, sf_dir, "documents"), tampered)
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
