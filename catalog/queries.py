@@ -21,14 +21,20 @@ from touchline.plans import walkforward as wf
 from touchline.sources import payloads, store
 from touchline.sources.store import materialize
 from touchline.plans.models import BASELINES
+from touchline.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FIXTURE_ORDER = ("kickoff_time", "fixture", "line", "part")
 
 
 def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-    """Register a function of the tables under its own name."""
-    QUERIES[build.__name__] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+    """Register a function of the tables under its own name; the package goes to the workers first."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return build(Tables(spark, sf_dir))
+
+    QUERIES[build.__name__] = run
     return build
 
 

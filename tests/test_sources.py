@@ -1,4 +1,5 @@
 import json
+import threading
 from datetime import datetime
 
 import pytest
@@ -11,6 +12,7 @@ from touchline.functions import parsing
 from touchline.operators import forward, merge
 from touchline.operators import validation as val
 from touchline.sources import files, payloads, store
+from touchline.sources.commits import marker, publish_once
 
 HEADER = [f.name for f in schemas.PLAYER_FIXTURE_CSV.fields]
 
@@ -142,6 +144,87 @@ def test_append_once_refuses_empty_and_stored_keys(spark, tmp_path):
     assert store.latest_period(store.load_table(spark, path, one.schema)).first()[0] == 2
 
 
+def test_two_writers_of_one_key_cannot_both_succeed(spark, tmp_path):
+    path = str(tmp_path / "actuals")
+    rows = lambda gw, by: make_fact(spark, [dict(gw=gw, element_id=e, total_points=by) for e in range(50)]).select("gw", "element_id", "total_points")
+    start, outcomes = threading.Barrier(4), []
+
+    def write(by):
+        df = rows(1, by)
+        start.wait()
+        try:
+            store.append_once(df, path)
+            outcomes.append(by)
+        except store.AlreadyRecorded:
+            outcomes.append(None)
+
+    writers = [threading.Thread(target=write, args=(by,)) for by in range(4)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    (winner,) = [by for by in outcomes if by is not None]
+    assert len(outcomes) == 4
+    stored = store.load_recorded(spark, path, rows(1, 0).schema)
+    assert stored.count() == 50 and {r[0] for r in stored.select("total_points").distinct().collect()} == {winner}
+
+
+def test_a_writer_that_dies_leaves_no_rows_to_readers(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "actuals")
+    one = make_fact(spark, [dict(gw=1)]).select("gw", "element_id", "total_points")
+    two = one.withColumn("gw", F.lit(2).cast("bigint"))
+    store.append_once(one, path)
+    real = store.publish_once
+
+    def die(session, uri, content):
+        if store.PUBLISHED in uri:
+            raise KeyboardInterrupt
+        return real(session, uri, content)
+
+    monkeypatch.setattr(store, "publish_once", die)
+    with pytest.raises(KeyboardInterrupt):
+        store.append_once(two, path)
+    monkeypatch.undo()
+    assert store.load_table(spark, path, one.schema).count() == 2 and store.load_recorded(spark, path, one.schema).count() == 1
+    assert store.unfinished(spark, path) == ["=2"]
+    with pytest.raises(store.AlreadyRecorded):
+        store.append_once(two, path)
+    with pytest.raises(store.AlreadyRecorded):
+        store.discard(spark, path, 1)
+    store.discard(spark, path, 2)
+    store.append_once(two, path)
+    assert store.load_recorded(spark, path, one.schema).count() == 2 and store.unfinished(spark, path) == []
+    # a null key is a key; a refused call gives back the claims it had taken
+    both = one.withColumn("gw", F.lit(3).cast("bigint")).unionByName(one.withColumn("gw", F.lit(None).cast("bigint")))
+    assert publish_once(spark, marker(f"{path}/{store.CLAIMS}", 3), {"key": "3", "owner": "other"})
+    with pytest.raises(store.AlreadyRecorded, match="another writer"):
+        store.append_once(both, path)
+    assert store.unfinished(spark, path) == ["=3"]
+    store.discard(spark, path, 3)
+    store.append_once(both, path)
+    assert store.load_recorded(spark, path, one.schema).filter("gw IS NULL").count() == 1
+
+
+def test_partitioned_csv_reads_only_the_seasons_asked_for(spark, tmp_path):
+    for season in ("2024-25", "2025-26"):
+        folder = tmp_path / "csv" / f"season={season}"
+        folder.mkdir(parents=True)
+        write_csv(folder / "gw.csv", [csv_row(e, 1, 1) for e in (1, 2)], drop=merge.OPTIONAL_STATS)
+    got = files.read_player_fixture_seasons(spark, str(tmp_path / "csv")).filter("season = '2025-26'")
+    assert got.count() == 2 and got.first()["kickoff_time"] == datetime(2025, 1, 1, 12) and got.first()["tackles"] is None
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(season" in plan and "xP" not in plan
+
+
+def test_broken_lines_are_kept_beside_the_good(spark):
+    lines = spark.createDataFrame([(1, "5,x,2025"), (2, "bad,y,2025"), (3, "7,z"), (4, None), (5, "1,2,3,4"), (6, "")], "id int, value string")
+    wanted = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType()), T.StructField("c", T.LongType())])
+    got = {r["id"]: tuple(r)[1:] for r in files.parse_lines(lines, wanted).collect()}
+    assert got[1] == (5, "x", 2025, None) and got[2] == (None, "y", 2025, "bad,y,2025")
+    assert got[3][:2] == (7, "z") and got[3][2] is None and got[4] == (None, None, None, None)
+    assert got[5][3] == "1,2,3,4" and got[6][:3] == (None, None, None)
+
+
 def test_changes_append_and_seasons_overwrite(spark, tmp_path):
     df = make_fact(spark, [dict(gw=1), dict(gw=2, season="t")]).select("season", "gw", "element_id")
     assert store.append_changes(df, str(tmp_path / "c")) and not store.append_changes(df.limit(0), str(tmp_path / "c"))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from touchline.sources.commits import marker, publish_once, read_published, withdraw
+
 
 class AlreadyRecorded(RuntimeError):
     """The key is stored already; stored rows are never replaced."""
@@ -60,20 +62,63 @@ def append_changes(changed: DataFrame, path: str, partition: str = "gw") -> bool
     return True
 
 
+CLAIMS, PUBLISHED = "_claims", "_published"
+
+
 def append_once(df: DataFrame, path: str, key: str = "gw") -> None:
     """Append rows whose key is new, computed once; refuse an empty input or a stored key.
 
-    The key is the partition column, so the check reads no other column. Check and
-    write are two steps: two writers of one key at the same time both succeed.
+    A key is claimed by a file that can be put in place once, then its rows are
+    written, then it is published. Of two writers of one key at the same time one
+    is refused before it writes. A writer that fails gives its claims back; one
+    that dies leaves a claim without publication (`unfinished`), whose rows
+    `load_recorded` leaves out, until `discard` clears it. The keys of one call
+    are few: each is a folder.
     """
     df = materialize(df)
-    if df.isEmpty():
+    spark = df.sparkSession
+    keys = [row[0] for row in df.select(key).distinct().orderBy(key).collect()]
+    if not keys:
         raise ValueError("refusing to append an empty table")
-    stored = load_table(df.sparkSession, path, df.schema).select(key).distinct()
-    taken = df.select(key).distinct().join(stored, key, "left_semi").limit(5).collect()
+    taken = df.select(key).intersect(load_table(spark, path, df.schema).select(key)).limit(5).collect()
     if taken:
         raise AlreadyRecorded(f"{key} {[row[0] for row in taken]} already recorded in {path}")
-    df.write.mode("append").partitionBy(key).parquet(path)
+    owner, claimed = uuid.uuid4().hex, []
+    try:
+        for value in keys:
+            if not publish_once(spark, marker(f"{path}/{CLAIMS}", value), {"key": str(value), "owner": owner}):
+                raise AlreadyRecorded(f"{key} {value!r} of {path} is claimed by another writer")
+            claimed.append(value)
+        df.write.mode("append").partitionBy(key).parquet(path)
+    except Exception:
+        for value in claimed:
+            withdraw(spark, marker(f"{path}/{CLAIMS}", value))
+        raise
+    for value in keys:
+        publish_once(spark, marker(f"{path}/{PUBLISHED}", value), {"key": None if value is None else str(value)})
+
+
+def load_recorded(spark: SparkSession, path: str, schema: T.StructType, key: str = "gw") -> DataFrame:
+    """The rows of published keys; other folders are not read."""
+    names = [content["key"] for content in read_published(spark, f"{path}/{PUBLISHED}").values()]
+    rows, kind = load_table(spark, path, schema), schema[key].dataType
+    known = F.col(key).isin([F.lit(n).cast(kind) for n in names if n is not None]) if any(n is not None for n in names) else F.lit(False)
+    return rows.filter(known | (F.col(key).isNull() if None in names else F.lit(False)))
+
+
+def unfinished(spark: SparkSession, path: str) -> list[str]:
+    """Keys that were claimed and not published: being written, or left by a writer that died."""
+    return sorted(set(read_published(spark, f"{path}/{CLAIMS}")) - set(read_published(spark, f"{path}/{PUBLISHED}")))
+
+
+def discard(spark: SparkSession, path: str, value, key: str = "gw") -> None:
+    """Clear a key whose writer died: its rows, then its claim. A published key is refused."""
+    name = marker("", value).strip("/").removesuffix(".json")
+    if name in read_published(spark, f"{path}/{PUBLISHED}"):
+        raise AlreadyRecorded(f"{key} {value!r} of {path} is published")
+    folder = "__HIVE_DEFAULT_PARTITION__" if value is None else str(value)
+    withdraw(spark, f"{path}/{key}={folder}")
+    withdraw(spark, marker(f"{path}/{CLAIMS}", value))
 
 
 def write_season(df: DataFrame, path: str, partition: str = "season") -> None:

@@ -1,88 +1,200 @@
 """Change capture and latest state over an unbounded snapshot stream.
 
 Policy for late rows: a row that is not newer than what its key has already
-emitted is dropped, and counted.
+taken in is dropped, and counted.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from touchline.operators.snapshots import TRACKED_COLUMNS, latest_state
-from touchline.sources.store import load_table
+from touchline.sources.commits import CommitLog
 
 CHANGED, LATE = "changed", "late"
-
-
-def _same(a: Any, b: Any) -> bool:
-    missing_a, missing_b = pd.isna(a), pd.isna(b)
-    return bool(missing_a and missing_b) or (not missing_a and not missing_b and a == b)
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Typed state lives in the store on disk, so keys need not fit into memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+def differs(values: pd.DataFrame, before: pd.DataFrame) -> np.ndarray:
+    """True where a row's values differ from those on the same place of `before`; null equals null."""
+    out = np.zeros(len(values), bool)
+    for c in values.columns:
+        new, old = values[c], before[c]
+        gone, was_gone = new.isna().to_numpy(), old.isna().to_numpy()
+        unlike = (new.to_numpy(object) != old.to_numpy(object)) & ~gone & ~was_gone
+        out |= unlike | (gone != was_gone)
+    return out
+
+
+class ChangeCapture(StatefulProcessor):
+    """Per key: its last order values and tracked values, and the number of late rows so far."""
+
+    def __init__(self, columns: list[str], order: list[str], keys: list[str], payload: list[str], state: T.StructType):
+        self.columns, self.order, self.keys, self.payload, self.state_schema = columns, order, keys, payload, state
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", self.state_schema)
+        self.n_late = handle.getValueState("late", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", na_position="first", ignore_index=True)
+        last = self.last.get() if self.last.exists() else None
+        late = self._late(rows, last)
+        fresh = rows[~late].reset_index(drop=True)
+        if len(fresh):
+            values = fresh[self.columns]
+            head = pd.DataFrame([list(last)[len(self.order) :]] if last is not None else [[None] * len(self.columns)], columns=self.columns, dtype=object)
+            before = pd.concat([head, values.iloc[:-1].astype(object)], ignore_index=True)
+            kept = differs(values, before)
+            if last is None:
+                kept[0] = True
+            newest = fresh.iloc[-1]
+            self.last.update(tuple(_plain(newest[c]) for c in [*self.order, *self.columns]))
+            yield fresh.loc[kept, self.payload].assign(kind=CHANGED, n_late=pd.Series(dtype="Int64"))
+        n = int(late.sum())
+        if n:
+            total = n + (self.n_late.get()[0] if self.n_late.exists() else 0)
+            self.n_late.update((total,))
+            known = dict(zip(self.keys, key, strict=True))
+            yield pd.DataFrame([[known.get(c) for c in self.payload]], columns=self.payload, dtype=object).assign(kind=LATE, n_late=total)
+
+    def _late(self, rows: pd.DataFrame, last) -> np.ndarray:
+        """Rows at or before the state, and rows that repeat an order value of this batch (the first of them counts)."""
+        late = rows.duplicated(self.order).to_numpy()
+        if last is None:
+            return late
+        undecided, older = np.ones(len(rows), bool), np.zeros(len(rows), bool)
+        for c, at in zip(self.order, list(last)[: len(self.order)], strict=True):
+            missing = rows[c].isna().to_numpy()
+            if at is None:
+                less, same = np.zeros(len(rows), bool), missing
+            else:
+                at = pd.Timestamp(at) if isinstance(rows[c].dtype, np.dtype) and rows[c].dtype.kind == "M" else at
+                less, same = (rows[c] < at).to_numpy(bool) | missing, (rows[c] == at).to_numpy(bool)
+            older |= undecided & less
+            undecided &= same
+        return late | older | undecided
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(value):
+    """A value as the state's row encoder takes it."""
+    if value is None or pd.isna(value):
+        return None
+    if isinstance(value, pd.Timestamp):
+        return value.to_pydatetime()
+    return value.item() if isinstance(value, np.generic) else value
+
+
+def change_schema(rows: DataFrame, columns: list[str], keys: tuple[str, ...], order: tuple[str, ...]) -> T.StructType:
+    """Columns of `stream_changes`: keys, order, tracked columns, kind, n_late."""
+    fields = [T.StructField(c, rows.schema[c].dataType, True) for c in dict.fromkeys([*keys, *order, *columns])]
+    return T.StructType([*fields, T.StructField("kind", T.StringType()), T.StructField("n_late", T.LongType())])
 
 
 def stream_changes(
-    stream: DataFrame, columns: list[str] = TRACKED_COLUMNS, keys: tuple[str, ...] = ("gw", "element_id"), ts: str = "snapshot_ts"
+    stream: DataFrame,
+    columns: list[str] = TRACKED_COLUMNS,
+    keys: tuple[str, ...] = ("gw", "element_id"),
+    order: tuple[str, ...] = ("snapshot_ts",),
 ) -> DataFrame:
-    """Changed rows of the stream as `kind = changed`; late rows per key and
-    batch as `kind = late` with their number in `n_late`.
-
-    The state of a key is its last tracked values and time. A micro-batch is
-    bounded by the source's rate options (maxFilesPerTrigger and the like).
+    """Changed rows of the stream as `kind = changed`; where a key had late rows in
+    a batch, one row `kind = late` with the number it has had so far in `n_late`.
+
+    A key's rows of one micro-batch are put in order of `order`, nulls first, and
+    compared with the row before them as whole columns; the first one is compared
+    with the key's state. Rows equal in `order` are one row, the others late. The
+    state is a typed value a key, kept in the state store on disk. Rows of one key
+    and micro-batch meet in memory, in `keys`, `order` and `columns` only: the
+    source's rate options (maxFilesPerTrigger and the like) bound them.
     """
-    k = list(keys)
-    payload = [*k, ts, *[c for c in columns if c not in k]]
+    k, o = list(keys), list(order)
+    payload = list(dict.fromkeys([*k, *o, *columns]))
     source = stream.select(*payload)
-    out_schema = T.StructType(
-        [*[T.StructField(f.name, f.dataType, True) for f in source.schema.fields],
-         T.StructField("kind", T.StringType()), T.StructField("n_late", T.LongType())]
+    use_state_store(stream.sparkSession)
+    out_schema = change_schema(stream, columns, keys, order)
+    state = T.StructType(
+        [T.StructField(f"order_{i}", source.schema[c].dataType) for i, c in enumerate(o)]
+        + [T.StructField(f"value_{i}", source.schema[c].dataType) for i, c in enumerate(columns)]
     )
-    state_schema = T.StructType([source.schema[ts], *[source.schema[c] for c in columns]])
-
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks)).sort_values(ts, kind="stable")
-        last = state.get if state.exists else None
-        kept, n_late = [], 0
-        for row in rows.itertuples(index=False):
-            when, values = getattr(row, ts), tuple(getattr(row, c) for c in columns)
-            if last is not None and when <= last[0]:
-                n_late += 1
-                continue
-            if last is None or not all(_same(a, b) for a, b in zip(values, last[1:])):
-                kept.append(row)
-            last = (when, *values)
-        if last is not None:
-            state.update(tuple(None if pd.isna(v) else (v.to_pydatetime() if isinstance(v, pd.Timestamp) else v) for v in last))
-        if kept:
-            yield pd.DataFrame(kept, columns=rows.columns).assign(kind=CHANGED, n_late=None)
-        if n_late:
-            yield pd.DataFrame([dict(zip(k, key))]).reindex(columns=rows.columns).assign(kind=LATE, n_late=n_late)
-
-    return source.groupBy(*k).applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: tuple[str, ...] = ("snapshot_ts",)):
-    """A query that keeps the latest row per key, one version per micro-batch.
-
-    Each batch writes a full new version next to the last one, so a batch that
-    is run again after a failure gives the same result.
+    capture = ChangeCapture(list(columns), o, k, payload, state)
+    return source.groupBy(*k).transformWithStateInPandas(capture, out_schema, "Append", "None")
+
+
+BUCKETS = 64
+
+
+def upsert_latest(batch: DataFrame, path: str, keys: list[str], order: tuple[str, ...], buckets: int = BUCKETS) -> None:
+    """Merge a batch into the table of latest rows at `path`.
+
+    Keys are dealt to buckets by hash. Only buckets that the batch touches are
+    read and written again, each as a new version; one commit then moves all of
+    them at once. The merge keeps the largest `order` a key, so it does not matter
+    whether a batch comes once, twice or after a later one, nor what number the
+    stream gives it: a replayed batch and a stream restarted with a new checkpoint
+    leave the right state. `order` must tell the rows of a key apart.
     """
-    spark, schema = stream.sparkSession, stream.schema
+    spark, log = batch.sparkSession, CommitLog(batch.sparkSession, path)
+    number, versions = log.newest()
+    buckets = versions.get("buckets", buckets)
+    schema = batch.schema
+    dealt = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    touched = sorted(r[0] for r in dealt.select("_bucket").distinct().collect())
+    if not touched:
+        return
+    have = {b: v for b, v in versions.get("parts", {}).items() if int(b) in touched}
+    before = read_parts(spark, path, have, schema).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    merged = latest_state(before.unionByName(dealt), ["_bucket", *keys], order)
+    version = f"{number + 1:012d}-{uuid.uuid4().hex[:8]}"
+    merged.write.partitionBy("_bucket").parquet(f"{path}/version={version}")
+    parts = {**versions.get("parts", {}), **{str(b): version for b in touched}}
+    log.publish(number + 1, {"buckets": buckets, "parts": parts})
+
+
+def read_parts(spark: SparkSession, path: str, parts: dict[str, str], schema: T.StructType) -> DataFrame:
+    """The buckets' rows in the versions given."""
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/version={v}/_bucket={b}" for b, v in sorted(parts.items())])
+
+
+def stream_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: tuple[str, ...] = ("snapshot_ts",), buckets: int = BUCKETS):
+    """A query that keeps the latest row per key at `path`, see `upsert_latest`."""
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        before = load_table(spark, f"{path}/version={batch_id - 1}", schema)
-        latest_state(before.unionByName(batch), keys, order).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        upsert_latest(batch, path, keys, order, buckets)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
 
 def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The newest complete version."""
-    versions = load_table(spark, path, T.StructType([*schema.fields, T.StructField("version", T.LongType())]))
-    newest = versions.agg(F.max("version").alias("v")).scalar()
-    return versions.filter(F.col("version") == newest).drop("version")
+    """The latest rows as of the newest commit; only the versions it names are read."""
+    _, content = CommitLog(spark, path).newest()
+    return read_parts(spark, path, content.get("parts", {}), schema)
+
+
+def drop_old_versions(spark: SparkSession, path: str) -> list[str]:
+    """Delete versions that the newest commit names for no bucket; run it when no reader holds an older commit."""
+    _, content = CommitLog(spark, path).newest()
+    live = {f"version={v}" for v in content.get("parts", {}).values()}
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    dead = [s.getPath() for s in store.listStatus(folder) if s.getPath().getName().startswith("version=") and s.getPath().getName() not in live]
+    for old in dead:
+        store.delete(old, True)
+    return sorted(p.getName() for p in dead)
