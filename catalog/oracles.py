@@ -354,6 +354,15 @@ _LONG_ROWS = [
 add("long_report", f"SELECT season, baseline, section, label, metric, {r6('value')} AS value FROM ({' UNION ALL '.join(_LONG_ROWS)})")
 
 
+SHARED["position_rounds"] = "SELECT season, position, gw, sum(total_points) AS points, count(total_points) AS n FROM {fact} GROUP BY season, position, gw"
+SHARED["position_form"] = """
+SELECT f.season, f.gw, f.element_id, f.position, f.total_points, sum(r.points) / sum(r.n) AS prediction
+FROM {fact} f JOIN {position_rounds} r ON r.season = f.season AND r.position = f.position AND r.gw < f.gw AND r.gw >= f.gw - 5
+WHERE f.gw >= 2 GROUP BY f.season, f.gw, f.element_id, f.position, f.total_points"""
+add("point_in_time_model", f"""
+SELECT season, gw, element_id, 'position_form' AS baseline, position, {r6('prediction')} AS prediction, {r6('prediction - total_points')} AS error
+FROM {{position_form}}""")
+
 # ----------------------------------------------------------------- snapshots
 
 _AS_OF, _DEADLINE = "TIMESTAMP '2024-01-20 12:00:00'", "TIMESTAMP '2024-01-15 00:00:00'"

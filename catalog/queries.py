@@ -20,7 +20,7 @@ from touchline.operators import validation as val
 from touchline.plans import walkforward as wf
 from touchline.sources import payloads, store
 from touchline.sources.store import materialize
-from touchline.plans.models import BASELINES
+from touchline.plans.models import BASELINES, register_table_model
 from touchline.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,8 +51,8 @@ def fact(t: Tables) -> DataFrame:
 
 
 def stored_fact(t: Tables) -> DataFrame:
-    """The fact table as walk-forward reads it: written once, read many times."""
-    return materialize(fact(t))
+    """The fact table as walk-forward reads it: written once, dealt by (season, player)."""
+    return store.materialize_by(fact(t), merge.PLAYER_KEY)
 
 
 @query
@@ -164,6 +164,19 @@ def walk_forward_baselines(t: Tables) -> DataFrame:
     return baselines(t)
 
 
+def position_form(train: DataFrame, roster: DataFrame) -> DataFrame:
+    """A table model: mean points of the position over the five rounds before the target."""
+    means = train.groupBy("season", F.col("target_gw").alias("gw"), "position").agg(F.avg("total_points").alias("prediction"))
+    return roster.join(means, ["season", "gw", "position"])
+
+
+@query
+def point_in_time_model(t: Tables) -> DataFrame:
+    register_table_model("position_form", position_form, lookback=5)
+    rows = wf.walk_forward(stored_fact(t), ["position_form"])
+    return r6(rows.select("season", "gw", "element_id", "baseline", "position", "prediction", "error"), "prediction", "error")
+
+
 @query
 def event_projection(t: Tables) -> DataFrame:
     """Projected rates of the event model for every target row."""

@@ -2,10 +2,12 @@ import pytest
 from conftest import as_dict, day, make_fact
 from pyspark.sql import functions as F
 
+from touchline.operators import merge
 from touchline.operators import trailing as tr
 from touchline.operators import validation as val
 from touchline.plans import models, walkforward as wf
 from touchline.rules import RULES_2024_25, RULES_2025_26
+from touchline.sources import store
 
 
 def series(values, **extra):
@@ -119,11 +121,61 @@ def test_leakage_is_strict_and_reports_offenders(spark):
     val.assert_no_leakage(df.filter("element_id in (7, 8)"))
 
 
-def test_table_models_join_the_same_walk(spark):
+@pytest.fixture
+def table_model():
+    yield models.register_table_model
+    models.TABLE_MODELS.clear()
+
+
+def test_table_models_join_the_same_walk(spark, table_model):
     fact = make_fact(spark, series([1, 2, 3]))
-    models.register_table_model("constant", lambda f: f.select("season", "gw", "element_id", F.lit(5).alias("prediction")))
-    try:
-        got = wf.walk_forward(fact, ["constant", "trailing_mean"])
-        assert as_dict(got.filter("gw = 3"), "baseline", "error") == {"constant": 2.0, "trailing_mean": -1.5}
-    finally:
-        models.TABLE_MODELS.pop("constant")
+    table_model("constant", lambda train, roster: roster.select("season", "gw", "element_id", F.lit(5).alias("prediction")))
+    got = wf.walk_forward(fact, ["constant", "trailing_mean"])
+    assert as_dict(got.filter("gw = 3"), "baseline", "error") == {"constant": 2.0, "trailing_mean": -1.5}
+
+
+def test_table_models_see_only_rounds_before_their_target(spark, table_model):
+    rows = [dict(season=s, gw=g, element_id=e, total_points=100 * g + e) for s in "ab" for g in (1, 2, 3, 5, 6) for e in (1, 2)]
+    fact = make_fact(spark, rows)
+    train, roster = wf.point_in_time(fact)
+    seen = {(r["season"], r["target_gw"], r["gw"]) for r in train.collect()}
+    rounds = (1, 2, 3, 5, 6)
+    assert seen == {(s, target, g) for s in "ab" for target in rounds for g in rounds if g < target}
+    assert {(r["target_gw"], r["gw"]) for r in wf.point_in_time(fact, 2)[0].collect()} == {(2, 1), (3, 1), (3, 2), (5, 3), (6, 5)}
+    assert roster.filter("gw = 1").count() == 0 and not set(wf.ACTUAL_COLUMNS) & set(roster.columns)
+    # a model by hand, target by target, gives the same
+    table_model("total", lambda train, roster: roster.join(
+        train.groupBy("season", F.col("target_gw").alias("gw"), "element_id").agg(F.sum("total_points").alias("prediction")), ["season", "gw", "element_id"]))
+    got = {(r["season"], r["gw"], r["element_id"]): r["prediction"] for r in wf.walk_forward(fact, ["total"]).collect()}
+    assert got == {(s, g, e): float(sum(100 * h + e for h in rounds if h < g)) for s in "ab" for g in rounds[1:] for e in (1, 2)}
+
+
+def test_a_peeking_table_model_is_stopped(spark, table_model):
+    fact = make_fact(spark, series([1, 2, 3]))
+    table_model("peek", lambda train, roster: roster.withColumn("prediction", F.col("total_points")))
+    with pytest.raises(Exception, match="total_points"):
+        wf.walk_forward(fact, ["peek"]).collect()
+    # the outcome of the target round is not in train either: nothing joins
+    table_model("peek", lambda train, roster: train.filter("gw = target_gw").withColumn("prediction", F.col("total_points")))
+    assert wf.walk_forward(fact, ["peek"]).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_walk_exchanges_no_fact_rows(spark):
+    """The merge deals rows by (season, player) once; windows, merge and storage share that, and the walk has no exchange of its own."""
+    fixtures = make_fact(spark, [dict(gw=g, element_id=e) for g in range(1, 7) for e in range(1, 30)]).withColumn("fixture", F.col("gw"))
+    columns = [c for c in merge.FACT_COLUMNS if c not in fixtures.columns]
+    full = fixtures.withColumns({c: F.lit(None).cast("string" if c in ("was_home", "opponent_team") else "bigint") for c in columns})
+    merged = merge.merge_fixtures(full.withColumn("was_home", F.lit(True)))
+    windowed = tr.trailing_mean(merged, ["total_points"])
+    assert plan_of(windowed).count("Exchange") == 1 and "hashpartitioning(season" in plan_of(windowed)
+    fact = store.materialize_by(merged, merge.PLAYER_KEY)
+    difficulty = spark.createDataFrame([("s", "A", 5, 5.0)], "season string, team string, gw bigint, custom_difficulty double")
+    plan = plan_of(wf.walk_forward(fact, [*models.BASELINES, "event_model"], {"s": RULES_2025_26}, difficulty))
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+    # what is left deals the cells of the rounds
+    assert all("season" in line and "element_id" not in line for line in exchanges) and "Bucketed: true" in plan
+    assert "SortMergeJoin" not in plan and fact.count() == 6 * 29

@@ -18,6 +18,7 @@ DECIMAL_STATS = ["influence", "creativity", "threat", "ict_index"]
 ADDITIVE = [*INTEGER_STATS, *OPTIONAL_STATS, *DECIMAL_STATS]
 CARRIED = ["name", "team", "position", "is_promoted_club", "value", "selected", "transfers_in", "transfers_out"]
 FACT_KEY = ["season", "gw", "element_id"]
+PLAYER_KEY = ["season", "element_id"]
 FACT_COLUMNS = [
     *FACT_KEY, "name", "team", "position", "opponent_team", "opponent_difficulty", "was_home", "kickoff_time", "n_fixtures",
     "is_promoted_club", *INTEGER_STATS, *OPTIONAL_STATS, *DECIMAL_STATS, "value", "selected", "transfers_in", "transfers_out",
@@ -69,12 +70,14 @@ def merge_fixtures(per_fixture: DataFrame, order: tuple[str, ...] = ("kickoff_ti
     """Merge a player's fixtures of one round.
 
     Counts add up, descriptive columns come from the round's first fixture, and
-    what becomes ambiguous is joined (opponent) or null (home flag). Every
-    aggregate combines on the map side, so a hot key costs no big shuffle.
+    what becomes ambiguous is joined (opponent) or null (home flag). Rows are dealt
+    by (season, player) once: the merge needs no finer exchange, hardly any two rows
+    would combine before it, and windows over a player's season use the same one. A
+    player's season is bounded by its fixtures, so no key is hot.
     """
     flag = F.col("was_home")
     one_side = (F.count(flag) == F.count(F.lit(1))) & (F.min(flag) == F.max(flag))
-    merged = per_fixture.groupBy(*FACT_KEY).agg(
+    merged = per_fixture.repartition(*PLAYER_KEY).groupBy(*FACT_KEY).agg(
         *[F.sum(c).alias(c) for c in ADDITIVE if c in per_fixture.columns],
         F.min_by(F.struct(*CARRIED), F.struct(*order)).alias("_first"),
         F.count(F.lit(1)).alias("n_fixtures"),

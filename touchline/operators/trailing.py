@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.scoring import by_season, threshold_met
+from touchline.operators.merge import PLAYER_KEY
+from touchline.sources.store import materialize
 
-PLAYER_KEY = ["season", "element_id"]
 TRAILING_EVENTS = [
     "goals_scored", "assists", "clean_sheets", "goals_conceded", "saves", "bonus",
     "yellow_cards", "red_cards", "own_goals", "penalties_missed", "penalties_saved",
@@ -73,19 +74,33 @@ def form_column(cutoff: str = "form_cutoff", value: str = "total_points") -> Col
     return F.try_divide(total.cast("double"), F.size(recent))
 
 
+CELL = ["season", "gw", "position", "is_promoted_club"]
+
+
 def walk_calendar(fact: DataFrame, days: int = FORM_DAYS) -> DataFrame:
     """One row per (season, gw): deadline, when its history was complete, and
     the cutoff of the form window."""
+    return calendar_of(fact.withColumns({"_first_kickoff": F.col("kickoff_time"), "_last_kickoff": F.col("kickoff_time")}), days)
+
+
+def calendar_of(rows: DataFrame, days: int = FORM_DAYS) -> DataFrame:
+    """`walk_calendar` from rows or cells with _first_kickoff and _last_kickoff."""
     earlier = Window.partitionBy("season").orderBy("gw").rowsBetween(Window.unboundedPreceding, -1)
-    rounds = fact.groupBy("season", "gw").agg(
-        F.min("kickoff_time").alias("deadline"), F.max("kickoff_time").alias("_last")
-    )
+    rounds = rows.groupBy("season", "gw").agg(F.min("_first_kickoff").alias("deadline"), F.max("_last_kickoff").alias("_last"))
     return rounds.withColumn("available_at", F.max("_last").over(earlier)).select(
         "season", "gw", "deadline", "available_at",
         (F.col("available_at") - F.expr(f"INTERVAL {days} DAYS")).alias("form_cutoff"),
     )
 
 
+def cells_of(fact: DataFrame, columns: list[str]) -> DataFrame:
+    """Sums, counts and kickoffs per (season, gw, position, promoted): all that pools and calendar need, a handful of rows per round."""
+    return fact.groupBy(*CELL).agg(
+        *[F.sum(c).alias(f"_s_{c}") for c in columns], *[F.count(c).alias(f"_n_{c}") for c in columns],
+        F.min("kickoff_time").alias("_first_kickoff"), F.max("kickoff_time").alias("_last_kickoff"),
+    )
+
+
 def expanding_pools(fact: DataFrame, columns: list[str]) -> DataFrame:
     """Prior means before each round: one row per (season, gw, position, promoted).
 
@@ -93,9 +108,10 @@ def expanding_pools(fact: DataFrame, columns: list[str]) -> DataFrame:
     rounds, else of its position, else 0. Sums and counts are taken per round
     first, so the running part works on a handful of rows per round.
     """
-    cells = fact.groupBy("season", "gw", "position", "is_promoted_club").agg(
-        *[F.sum(c).alias(f"_s_{c}") for c in columns], *[F.count(c).alias(f"_n_{c}") for c in columns]
-    )
+    return pools_of(cells_of(fact, columns), columns)
+
+
+def pools_of(cells: DataFrame, columns: list[str]) -> DataFrame:
     peers = (
         Window.partitionBy("season", "position", "is_promoted_club").orderBy("gw").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -103,8 +119,7 @@ def expanding_pools(fact: DataFrame, columns: list[str]) -> DataFrame:
     position = Window.partitionBy("season", "position").orderBy("gw").rangeBetween(Window.unboundedPreceding, -1)
     mean = lambda c, w: F.try_divide(F.sum(f"_s_{c}").over(w), F.sum(f"_n_{c}").over(w))
     return cells.select(
-        "season", "gw", "position", "is_promoted_club",
-        *[F.coalesce(mean(c, peers), mean(c, position), F.lit(0.0)).alias(f"{c}_prior") for c in columns],
+        *CELL, *[F.coalesce(mean(c, peers), mean(c, position), F.lit(0.0)).alias(f"{c}_prior") for c in columns],
     )
 
 
@@ -122,8 +137,13 @@ def trailing_mean(fact: DataFrame, columns: list[str], window: int = DEFAULT_WIN
 
 
 def trailing_feature(fact: DataFrame, columns: list[str], window: int = DEFAULT_WINDOW) -> DataFrame:
-    """Trailing means with the pooled prior filling the gaps."""
-    return fill_with_pools(trailing_mean(fact, columns, window), expanding_pools(fact, columns), columns)
+    """Trailing means with the pooled prior filling the gaps.
+
+    The cells are stored before the join, so that their size is known and the fact
+    is not exchanged for them.
+    """
+    pools = pools_of(materialize(cells_of(fact, columns)), columns)
+    return fill_with_pools(trailing_mean(fact, columns, window), pools, columns)
 
 
 def minutes_distribution(fact: DataFrame, window: int = MINUTES_WINDOW, threshold: int = 60) -> DataFrame:

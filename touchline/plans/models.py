@@ -2,8 +2,11 @@
 
 A column model is a function `(rules) -> Column` over the shared walk frame of
 `walkforward.walk_features`; all column models of a run share one pass over
-the data. A table model is a function `(fact) -> DataFrame(season, gw,
-element_id, prediction)` for anything that needs its own plan.
+the data. A table model is a function `(train, roster) -> DataFrame(season, gw,
+element_id, prediction)` for anything that needs its own plan. It gets no fact
+table, only what is known before each target round (`walkforward.point_in_time`),
+for all targets at once: `train` has the earlier rounds' rows once per target,
+named in `target_gw`, and `roster` the rows to predict, without outcomes.
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ from touchline.functions.difficulty import DIFFICULTY_STEP, fixture_scale
 from touchline.functions.scoring import expected_points
 
 ColumnModel = Callable[[Mapping], Column]
-TableModel = Callable[[DataFrame], DataFrame]
+TableModel = Callable[[DataFrame, DataFrame], DataFrame]
 
 COLUMN_MODELS: dict[str, ColumnModel] = {}
-TABLE_MODELS: dict[str, TableModel] = {}
+TABLE_MODELS: dict[str, tuple[TableModel, int | None]] = {}
 BASELINES = ("trailing_mean", "form", "fixture_adjusted")
 
 
@@ -28,8 +31,12 @@ def register_column_model(name: str, model: ColumnModel) -> None:
     COLUMN_MODELS[name] = model
 
 
-def register_table_model(name: str, model: TableModel) -> None:
-    TABLE_MODELS[name] = model
+def register_table_model(name: str, model: TableModel, lookback: int | None = None) -> None:
+    """`lookback`: how many rounds before its target the model wants to see; all of them by default.
+
+    A row is handed over once per target that may see it, so a lookback keeps `train` small.
+    """
+    TABLE_MODELS[name] = (model, lookback)
 
 
 def trailing_mean_model(rules: Mapping) -> Column:

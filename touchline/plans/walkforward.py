@@ -15,6 +15,7 @@ from touchline.functions.scoring import COMPONENTS, expected_component, expected
 from touchline.operators import trailing as tr
 from touchline.operators.validation import leak_checked
 from touchline.plans.models import BASELINES, COLUMN_MODELS, TABLE_MODELS
+from touchline.sources.store import materialize
 
 ACTUAL_COLUMNS = ["total_points", "minutes", "goals_scored", "assists", "clean_sheets", "bonus", "bps"]
 DEFAULT_DIFFICULTY = 3.0
@@ -40,12 +41,14 @@ def walk_features(
 ) -> DataFrame:
     """Each fact row with everything known about it before its deadline.
 
-    All trailing columns share one window specification: one shuffle by
-    (season, player), one sort. Priors and the calendar are small aggregates
-    that are joined last.
+    All trailing columns are windows over (season, player), by which
+    `store.materialize_by` deals the fact: then nothing exchanges it here. Priors
+    and calendar come from one small aggregate, which is stored before the joins,
+    as is the difficulty: Spark knows their size and broadcasts them where it may.
     """
     columns = ["total_points", *(tr.TRAILING_EVENTS if events else [])]
-    calendar = tr.walk_calendar(fact)
+    cells = materialize(tr.cells_of(fact, columns))
+    calendar = tr.calendar_of(cells)
     base = fact.join(calendar, ["season", "gw"]) if form else fact
     windows = tr.trailing_columns(columns, window)
     if events:
@@ -56,8 +59,7 @@ def walk_features(
     framed = base.withColumns(windows)
     if not form:
         framed = framed.join(calendar, ["season", "gw"])
-    pools = tr.expanding_pools(fact, columns)
-    joined = framed.join(pools, ["season", "gw", "position", "is_promoted_club"], "left")
+    joined = framed.join(tr.pools_of(cells, columns), tr.CELL, "left")
     prior = {c: F.coalesce(F.col(f"{c}_prior"), F.lit(0.0)) for c in columns}
     filled = {f"{c}_trailing": F.coalesce(F.col(f"{c}_trailing"), prior[c]) for c in columns}
     if form:
@@ -65,7 +67,27 @@ def walk_features(
     if events:
         filled |= {c: F.coalesce(F.col(c), F.lit(v)) for c, v in tr.MINUTES_DEFAULT.items()}
     out = joined.withColumns(filled).drop(*[f"{c}_prior" for c in columns], "form_cutoff")
-    return attach_difficulty(out, difficulty) if events else out
+    return attach_difficulty(out, materialize(difficulty) if difficulty is not None else None) if events else out
+
+
+ROSTER_COLUMNS = ["season", "gw", "element_id", "position", "team", "is_promoted_club", "opponent_difficulty", "kickoff_time"]
+
+
+def point_in_time(fact: DataFrame, lookback: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(train, roster): what is known before each target round, for all targets.
+
+    `train` has every fact row once for each later round of its season, in
+    `target_gw`, at most `lookback` rounds later. No row of the target round or
+    after it is there, so a model that reads `train` cannot see an outcome it
+    predicts. `roster` has the rows of rounds from 2 on without their outcomes.
+    """
+    rounds = materialize(fact.groupBy("season").agg(F.array_sort(F.collect_set("gw")).alias("_rounds")))
+    later = F.filter("_rounds", lambda g: (g > F.col("gw")) & (g >= 2))
+    if lookback is not None:
+        later = F.filter(later, lambda g: g - F.col("gw") <= lookback)
+    train = fact.join(rounds, "season").withColumn("target_gw", F.explode(later)).drop("_rounds")
+    roster = fact.filter(F.col("gw") >= 2).select(*[c for c in ROSTER_COLUMNS if c in fact.columns])
+    return train, roster
 
 
 def walk_forward(
@@ -77,8 +99,9 @@ def walk_forward(
 ) -> DataFrame:
     """One row per season, round >= 2, model and player: prediction and actuals.
 
-    With `check_leakage` (the default) the job fails if any history row is not
-    strictly before the deadline of the round it predicts.
+    Table models see what `point_in_time` gives them. With `check_leakage` (the
+    default) the job fails if any history row is not strictly before the deadline
+    of the round it predicts.
     """
     names = list(models)
     in_columns = [n for n in names if n in COLUMN_MODELS]
@@ -95,9 +118,10 @@ def walk_forward(
         )
         parts.append(frame.select(*head, "available_at", "deadline", stack.alias("_m")).select(
             *head, "available_at", "deadline", "_m.baseline", "_m.prediction"))
+    calendar = materialize(tr.walk_calendar(fact).select("season", "gw", "available_at", "deadline")) if in_tables else None
     for name in in_tables:
-        predicted = TABLE_MODELS[name](fact).select("season", "gw", "element_id", F.col("prediction").cast("double"))
-        calendar = tr.walk_calendar(fact).select("season", "gw", "available_at", "deadline")
+        model, lookback = TABLE_MODELS[name]
+        predicted = model(*point_in_time(fact, lookback)).select("season", "gw", "element_id", F.col("prediction").cast("double"))
         rows = fact.filter(F.col("gw") >= 2).select(*head).join(predicted, ["season", "gw", "element_id"])
         parts.append(rows.join(calendar, ["season", "gw"]).withColumn("baseline", F.lit(name)))
     out = parts[0]

@@ -32,17 +32,46 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's folder for intermediate results, in the shared folder."""
+    return f"{shared_folder(spark)}/touchline/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate result once and read it back.
 
     For a result that several parts of a plan read: it is computed once, the
-    readers see its true size, and a lost executor does not recompute it.
+    readers see its true size, and a lost executor does not recompute it. The job
+    runs now. `clear_scratch` removes what an application has written so.
     """
-    path = f"{shared_folder(df.sparkSession)}/touchline/{uuid.uuid4().hex}"
+    path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, keys: list[str]) -> DataFrame:
+    """As `materialize`, dealt into buckets by `keys`, which readers know.
+
+    Windows, groups and joins on these keys, or on more columns with them, need
+    no further exchange of the table. `df` is exchanged by the keys here unless it
+    is already.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"touchline_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.bucketBy(buckets, *keys).option("path", f"{scratch_folder(spark)}/{name}").saveAsTable(name)
+    stored = spark.table(name)
+    # the name is needed to write buckets only; an external table's files stay
+    spark.sql(f"DROP TABLE {name}")
+    return stored
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate results; DataFrames that read them are of no more use."""
+    withdraw(spark, scratch_folder(spark))
+
+
 def load_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The stored rows, or a typed empty frame where nothing is stored yet."""
     try:
