@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import as_dict
+from pyspark.sql import functions as F
 
 from touchline.operators import metrics, ranks
 
@@ -52,11 +53,50 @@ def test_pearson_keeps_null_groups_and_large_offsets(spark):
     assert r["a"] == pytest.approx(1.0) and r[None] == pytest.approx(1.0) and r["flat"] is None
 
 
-def test_value_bucket_never_decreases(spark):
-    values = sorted([-1e12, -3.5, -1.0, -1e-9, -0.0, 0.0, 1e-9, 0.5, 1.0, 2.5, 1e12])
-    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", ranks.value_bucket(__import__("pyspark").sql.functions.col("v")).alias("b"))
-    buckets = [r["b"] for r in sorted(df.collect(), key=lambda r: r["v"])]
-    assert buckets == sorted(buckets)
+def test_ranks_spread_over_tasks_whatever_the_scale(spark):
+    """Values close together far from zero, nulls, infinities and null groups."""
+    rng = np.random.default_rng(4)
+    base = np.concatenate([1.7e9 + np.round(rng.uniform(0, 1e6, 4000)), [np.inf, -np.inf, -0.0, 1e-300, -1e300]])
+    rows = [(k, float(v)) for k in ("a", None) for v in base] + [("a", None), (None, None), ("b", None)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "k string, v double")
+        counts = df.filter("v IS NOT NULL").groupBy("k", "v").count().withColumnRenamed("count", "n")
+        running = ranks.cumulative_counts(counts, ["k"], "v")
+        stored = spark.read.parquet(*[f for f in running.inputFiles()])
+        assert min(r["count"] for r in stored.groupBy("_task").count().collect()) > 100 and stored.select("_task").distinct().count() == 4
+        got = ranks.average_rank(df, ["k"], "v").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = pd.Series(base).rank().tolist()
+    for part in (got[got["k"] == "a"], got[got["k"].isna()]):
+        known = part.dropna(subset=["v"])
+        assert len(part) == len(base) + 1 and sorted(known["avg_rank"]) == sorted(want)
+        assert (known.sort_values("v")["avg_rank"].diff().dropna() >= 0).all()
+    assert len(got) == len(rows) and got[got["v"].isna()]["avg_rank"].isna().all()
+
+
+def test_null_groups_are_groups_in_spearman_and_calibration(spark):
+    rows = [("FWD", p, p * p % 11, 90, 0) for p in range(30)]
+    named = results(spark, rows)
+    both = named.unionByName(named.withColumn("baseline", F.lit(None).cast("string")))
+    rho = as_dict(metrics.spearman(both, "prediction", "total_points", ["baseline"]), "baseline", "spearman")
+    assert rho[None] == pytest.approx(rho["b"]) and len(rho) == 2
+    bins = metrics.calibration(both, ["baseline"])
+    only = lambda where: sorted(tuple(r)[1:] for r in bins.filter(where).collect())
+    assert only("baseline IS NULL") == only("baseline = 'b'") and len(only("baseline = 'b'")) == 10
+    plan = bins._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_task" in line for line in plan.splitlines() if "Join" in line)
+
+
+def test_bins_are_the_quantiles_bins(spark):
+    rng = np.random.default_rng(6)
+    for size in (1, 2, 9, 10, 11, 400):
+        values = np.round(rng.normal(0, 2, size), 1)
+        counts = spark.createDataFrame([("a", float(v)) for v in values], "k string, v double").groupBy("k", "v").count().withColumnRenamed("count", "n")
+        got = as_dict(ranks.quantile_bins(counts, ["k"], "v", 10), "v", "bin")
+        breaks = np.quantile(values, [i / 10 for i in range(1, 10)])
+        assert got == {v: int((breaks < v - 1e-12).sum()) for v in set(values.tolist())}
 
 
 def test_quantiles_match_numpy(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.market import binomial_ci
 from touchline.functions.scoring import COMPONENTS
-from touchline.operators.ranks import average_ranks, quantile_breaks
+from touchline.operators.ranks import average_ranks, join_null_safe, quantile_bins
 from touchline.sources.store import materialize
 
 EVENT_BUCKETS: dict[str, str] = {
@@ -49,9 +49,8 @@ def _pair_counts(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
 
 def _spearman_of_counts(pairs: DataFrame, x: str, y: str, keys: list[str], out: str) -> DataFrame:
     count = lambda v: pairs.groupBy(*keys, v).agg(F.sum("n").alias("n"))
-    ranked = pairs.join(average_ranks(count(x), keys, x, out="_rx"), [*keys, x]).join(
-        average_ranks(count(y), keys, y, out="_ry"), [*keys, y]
-    )
+    ranked = join_null_safe(pairs, average_ranks(count(x), keys, x, out="_rx"), [*keys, x])
+    ranked = join_null_safe(ranked, average_ranks(count(y), keys, y, out="_ry"), [*keys, y])
     # The mean of average-tie ranks is (N + 1) / 2 by construction, so the
     # centred sums follow from three weighted sums in one aggregation.
     w = F.col("n").cast("double")
@@ -95,13 +94,11 @@ def calibration(results: DataFrame, keys: list[str], n_bins: int = 10) -> DataFr
     counts = results.groupBy(*keys, "prediction").agg(
         F.count(F.lit(1)).alias("n"), F.sum("total_points").alias("_actual")
     )
-    return _calibration_of_counts(materialize(counts), keys, n_bins)
+    return _calibration_of_counts(counts, keys, n_bins)
 
 
 def _calibration_of_counts(counts: DataFrame, keys: list[str], n_bins: int = 10) -> DataFrame:
-    breaks = quantile_breaks(counts, keys, "prediction", [i / n_bins for i in range(1, n_bins)])
-    bin_of = F.size(F.filter("breaks", lambda b: b < F.col("prediction")))
-    binned = counts.join(breaks, keys).withColumn("bin", bin_of)
+    binned = quantile_bins(counts.filter(F.col("prediction").isNotNull()), keys, "prediction", n_bins)
     return binned.groupBy(*keys, "bin").agg(
         F.try_divide(F.sum(F.col("prediction") * F.col("n")), F.sum("n")).alias("mean_prediction"),
         F.try_divide(F.sum("_actual"), F.sum("n")).alias("mean_actual"),
@@ -165,7 +162,7 @@ def _summary_of(tallies: DataFrame) -> DataFrame:
     levels = materialize(_with_pooled(pairs, ["n"]))
     ranks = _spearman_of_counts(levels, "prediction", "total_points", ["season", "baseline", "position"], "spearman")
     mean = ranks.groupBy("season", "baseline").agg(F.avg("spearman").alias("spearman_mean"))
-    return errors.join(mean, ["season", "baseline"], "left")
+    return join_null_safe(errors, mean, ["season", "baseline"], "left")
 
 
 def summarize(results: DataFrame) -> DataFrame:
