@@ -26,9 +26,7 @@ _SUMS = (
 ).split()
 _DECIMALS = "influence creativity threat ict_index".split()
 _FIRST = "name team position is_promoted_club value selected transfers_in transfers_out".split()
-_PROMOTED_SQL = " OR ".join(
-    f"(p.season = '{s}' AND p.team IN ({', '.join(repr(c) for c in clubs)}))" for s, clubs in PROMOTED.items()
-)
+_PROMOTED_SQL = PROMOTED.format("p.season", "p.team")
 
 SHARED["per_fixture"] = f"""
 SELECT p.* EXCLUDE (opponent_team), t.name AS opponent_team, ({_PROMOTED_SQL}) AS is_promoted_club,

@@ -21,16 +21,17 @@ from touchline.plans import walkforward as wf
 from touchline.sources import payloads, store
 from touchline.sources.store import materialize
 from touchline.plans.models import BASELINES, register_table_model
-from touchline.session import ship_package
+from touchline.session import ship_package, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FIXTURE_ORDER = ("kickoff_time", "fixture", "line", "part")
 
 
 def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-    """Register a function of the tables under its own name; the package goes to the workers first."""
+    """Register a function of the tables under its own name; the session is tuned and the package goes to the workers first."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tune(spark)
         ship_package(spark)
         return build(Tables(spark, sf_dir))
 
@@ -47,7 +48,7 @@ def r6(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def fact(t: Tables) -> DataFrame:
-    return merge.normalize_season(t.player_fixture, t.fixture_difficulty, t.teams, PROMOTED, FIXTURE_ORDER)
+    return merge.normalize_season(t.player_fixture, t.fixture_difficulty, t.teams, F.expr(PROMOTED.format("season", "team")), FIXTURE_ORDER)
 
 
 def stored_fact(t: Tables) -> DataFrame:
@@ -60,15 +61,10 @@ def normalize_season(t: Tables) -> DataFrame:
     return r6(fact(t), *merge.DECIMAL_STATS)
 
 
-def stored_fixtures(t: Tables) -> DataFrame:
-    """Per-fixture rows as ingest leaves them: a table."""
-    return materialize(t.player_fixture.filter(F.col("position") != "AM"))
-
-
 @query
 def score_components(t: Tables) -> DataFrame:
     """Nine components and total per player and fixture, by season rules."""
-    rows = scoring.score(stored_fixtures(t), RULES_BY_SEASON)
+    rows = scoring.score(merge.drop_non_players(t.player_fixture), RULES_BY_SEASON)
     return rows.select(
         "season", "element_id", "fixture", "line", "part", *[f"pts_{c}" for c in scoring.COMPONENTS], "points", "total_points"
     )
@@ -77,7 +73,7 @@ def score_components(t: Tables) -> DataFrame:
 @query
 def bonus_system_points(t: Tables) -> DataFrame:
     rows = t.player_fixture.filter(F.col("position") != "AM")
-    return rows.select("season", "element_id", "fixture", "line", "part", scoring.bps(rows, RULES_BY_SEASON).alias("bps_points"))
+    return scoring.with_bps(rows, RULES_BY_SEASON).select("season", "element_id", "fixture", "line", "part", "bps_points")
 
 
 @query
@@ -129,7 +125,7 @@ def trailing_feature(t: Tables) -> DataFrame:
 
 @query
 def threshold_rate(t: Tables) -> DataFrame:
-    return fact(t).select(*merge.FACT_KEY, trailing.threshold_rate(RULES_BY_SEASON).alias("p_threshold"))
+    return trailing.with_threshold_hits(fact(t), RULES_BY_SEASON).select(*merge.FACT_KEY, trailing.threshold_rate().alias("p_threshold"))
 
 
 @query

@@ -12,20 +12,15 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.rules import RULES_2024_25, RULES_2025_26, RULES_2026_27
+from touchline.rules import RULES_2024_25, RULES_2025_26, RULES_2026_27, Eras
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
-SEASONS = [str(y) for y in range(1995, 2002)]
-RULES_BY_SEASON = {
-    **{s: RULES_2024_25 for s in SEASONS[:3]},
-    **{s: RULES_2025_26 for s in SEASONS[3:5]},
-    **{s: RULES_2026_27 for s in SEASONS[5:]},
-}
-# Three promoted clubs a season, by rule.
-PROMOTED = {s: [f"NATION_{(int(s) * 3 + k) % 25}" for k in range(3)] for s in SEASONS}
+RULES_BY_SEASON = Eras({"": RULES_2024_25, "1998": RULES_2025_26, "2000": RULES_2026_27})
+# Three promoted clubs a season, by rule; {0} is the season, {1} the club.
+PROMOTED = "{1} IN (" + ", ".join(f"concat('NATION_', CAST((CAST({{0}} AS BIGINT) * 3 + {k}) % 25 AS STRING))" for k in range(3)) + ")"
 
 _POSITION = "CASE {0} % 4 WHEN 0 THEN 'GK' WHEN 1 THEN 'DEF' WHEN 2 THEN 'MID' ELSE 'FWD' END"
 

@@ -58,9 +58,8 @@ def test_pools_prefer_promoted_peers_then_position_then_zero(spark):
 def test_threshold_rate_skips_unknown_counts_before_taking_the_last_five(spark):
     counts = [12, None, 12, 1, None, 1, 12, None, 0]
     fact = make_fact(spark, [dict(gw=i + 1, defensive_contribution=c) for i, c in enumerate(counts)])
-    rows = fact.withColumn("p", tr.threshold_rate(RULES_2025_26))
-    assert at(rows, 9)["p"] == pytest.approx(3 / 5)
-    assert at(fact.withColumn("p", tr.threshold_rate(RULES_2024_25)), 9)["p"] == 0.0
+    rate = lambda rules: at(tr.with_threshold_hits(fact, rules).withColumn("p", tr.threshold_rate()), 9)["p"]
+    assert rate(RULES_2025_26) == pytest.approx(3 / 5) and rate(RULES_2024_25) == 0.0
 
 
 def test_form_drops_what_is_older_than_thirty_days(spark):

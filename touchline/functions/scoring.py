@@ -1,19 +1,24 @@
 """Points from events (realised) and from projected rates (expected).
 
 Both sides break a row into the same nine components, so they can be compared
-component by component. `rules` is one rule set, or a mapping season -> rule
-set; with a mapping the season column selects the rule set row by row.
+component by component. `rules` is one rule set, a mapping season -> rule set, or
+`Eras`. Rules are data: `with_rules` gives each row one struct of numbers for its
+season and position, looked up once, and every formula reads that. Formulas have
+the same size however many seasons there are, and a scan and a projection score a
+table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection, Mapping
+from collections.abc import Collection, Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.difficulty import adverse, favourable
-from touchline.rules import BPS_GOAL_WEIGHTS, POSITIONS, Rules
+from touchline.rules import BPS_GOAL_WEIGHTS, POSITIONS, Eras, Rules
 
 COMPONENTS = (
     "minutes", "goals", "assists", "clean_sheets", "goals_conceded", "saves",
@@ -21,133 +26,104 @@ COMPONENTS = (
 )
 CONCEDED_SHRINKAGE = 0.7
 _LINEAR = ("own_goals", "penalties_missed", "penalties_saved", "yellow_cards", "red_cards")
-# The rules each component reads.
-_READS = {
-    "minutes": ("minutes",), "goals": ("goals_scored",), "assists": ("assists",), "clean_sheets": ("clean_sheets", "minutes"),
-    "goals_conceded": ("goals_conceded", "minutes"), "saves": ("saves",), "cards_and_other": _LINEAR,
-    "defensive_contribution": ("defensive_contribution",), "bonus": (),
-}
 
 
-def is_single(rules: Mapping) -> bool:
-    return "minutes" in rules
+RULE = "_rule"
 
 
-def by_season(
-    rules: Mapping, build: Callable[[Rules], Column], season: str = "season", parts: Collection[str] | None = None
-) -> Column:
-    """`build(rule set)` for the row's season; one branch per distinct rule set.
-
-    `parts` names the rules `build` reads. Seasons that agree on these share a
-    branch, which keeps the expression small enough to be compiled.
-    """
-    if is_single(rules):
-        return build(rules)
-    groups: list[tuple[Rules, list[str]]] = []
-    for name, rule_set in sorted(rules.items()):
-        for known, names in groups:
-            same = known == rule_set if parts is None else all(known.get(k) == rule_set.get(k) for k in parts)
-            if same:
-                names.append(name)
-                break
-        else:
-            groups.append((rule_set, [name]))
-    if len(groups) == 1:
-        return build(groups[0][0])
-    chain = None
-    for rule_set, names in groups:
-        hit = F.col(season).isin(names)
-        chain = F.when(hit, build(rule_set)) if chain is None else chain.when(hit, build(rule_set))
-    return chain
-
-
-def count_of(name: str, columns: Collection[str]) -> Column:
-    """A count column, with a missing column or value read as zero."""
-    return F.coalesce(F.col(name), F.lit(0)) if name in columns else F.lit(0)
-
-
-def by_position(rates: Mapping[str, int | None], position: str = "position") -> Column:
-    """The position's rate; positions with one rate share a branch. Unknown: null."""
-    chain = None
-    for rate in dict.fromkeys(rates.get(p) for p in POSITIONS):
-        if rate is None:
-            continue
-        names = [p for p in POSITIONS if rates.get(p) == rate]
-        hit = F.col(position) == names[0] if len(names) == 1 else F.col(position).isin(names)
-        chain = F.when(hit, F.lit(rate)) if chain is None else chain.when(hit, F.lit(rate))
-    return F.lit(None).cast("int") if chain is None else chain
+def numbers(rules: Rules, position: str | None) -> dict[str, int | None]:
+    """A rule set for one position as numbers; null means that there is no such rule, or no such position."""
+    m, gc, saves, dc = rules["minutes"], rules["goals_conceded"], rules["saves"], rules.get("defensive_contribution")
+    if saves["mode"] not in ("per_n", "flat_plus_bonus"):
+        raise ValueError(f"saves are scored in no known way: {saves['mode']!r}")
+    return {
+        "minutes_none": m["none"], "minutes_short": m["short"], "minutes_full": m["full"], "short_threshold": m["short_threshold"],
+        **{name: rules[event].get(position) for name, event in (("goals", "goals_scored"), ("assists", "assists"), ("clean_sheets", "clean_sheets"))},
+        "conceded_per": gc["per"], "conceded": gc["points"] if position in gc["positions"] else 0,
+        "saves_per": saves.get("n"), "saves_points": saves.get("points"), "saves_flat": saves.get("flat_rate"),
+        "saves_close": saves.get("close_range_bonus"), "saves_chance": saves.get("big_chance_bonus"),
+        **{name: rules[name] for name in _LINEAR},
+        "dc_points": dc["points"] if dc else None, "dc_bar": dc["thresholds"].get(position) if dc else None,
+        "bps_goal": BPS_GOAL_WEIGHTS.get(position), "bps_cbi_per": rules["bps_clearances_blocks_interceptions_per"],
+        "bps_tackled": rules["bps_tackled_penalty"],
+    }
 
 
-def played_long(rules: Rules) -> Column:
-    return F.col("minutes") >= rules["minutes"]["short_threshold"]
+def rule_table(spark: SparkSession, rules: Mapping) -> DataFrame:
+    """One row per set of rules and position: _set, _position, and the numbers as a struct; position '' is any other.
 
+    From Arrow, so that Spark holds it as a local table and knows how small it is.
+    """
+    sets = [rules] if "minutes" in rules else [rules[name] for name in sorted(rules)]
+    rows = [(i, p or "", numbers(r, p)) for i, r in enumerate(sets) for p in (*POSITIONS, None)]
+    kind = pa.struct([(name, pa.int32()) for name in rows[0][2]])
+    columns = [pa.array([i for i, _, _ in rows], pa.int32()), pa.array([p for _, p, _ in rows]), pa.array([n for _, _, n in rows], kind)]
+    return spark.createDataFrame(pa.table(columns, ["_set", "_position", RULE]))
 
-def minutes_points(rules: Rules) -> Column:
-    m = rules["minutes"]
-    return F.when(F.col("minutes") == 0, m["none"]).when(~played_long(rules), m["short"]).otherwise(m["full"])
 
+def set_of(rules: Mapping, season: str) -> Column:
+    """The number of the season's rule set in `rule_table`. A season without rules fails the job by name."""
+    at = F.col(season)
+    if "minutes" in rules:
+        return F.lit(0)
+    names = sorted(rules)
+    unknown = F.raise_error(F.concat(F.lit("no rules for season "), F.coalesce(at.cast("string"), F.lit("null"))))
+    places = reversed(list(enumerate(names)))
+    hits = [(at >= name if isinstance(rules, Eras) else at == name, i) for i, name in places]
+    chain = reduce(lambda c, hit: c.when(*hit), hits[1:], F.when(*hits[0]))
+    return chain.otherwise(unknown.cast("int"))
 
-def rate_by_position(count: Column, rates: Mapping[str, int]) -> Column:
-    return count * by_position(rates)
 
+def with_rules(df: DataFrame, rules: Mapping, season: str = "season", position: str = "position") -> DataFrame:
+    """`df` with its rules in one column, which the formulas below read.
 
-def clean_sheet_points(rules: Rules, columns: Collection[str]) -> Column:
-    earned = rate_by_position(count_of("clean_sheets", columns), rules["clean_sheets"])
-    return F.when(played_long(rules), earned).otherwise(0)
+    A join with a table of a few rows: as a constant expression the optimizer
+    would write the rules out in every formula, and the result is too large to be
+    compiled.
+    """
+    known = F.when(F.col(position).isin(*POSITIONS), F.col(position)).otherwise("")
+    keyed = df.withColumns({"_set": set_of(rules, season), "_position": known})
+    return keyed.join(rule_table(df.sparkSession, rules), ["_set", "_position"], "left").drop("_set", "_position")
 
 
-def conceded_points(rules: Rules, columns: Collection[str]) -> Column:
-    gc = rules["goals_conceded"]
-    steps = F.floor(count_of("goals_conceded", columns) / F.lit(gc["per"]))
-    return F.when(played_long(rules) & F.col("position").isin(gc["positions"]), steps * gc["points"]).otherwise(0)
+def rule(name: str) -> Column:
+    return F.col(f"{RULE}.{name}")
 
 
-def saves_points(rules: Rules, columns: Collection[str]) -> Column:
-    s = rules["saves"]
-    saves = count_of("saves", columns)
-    if s["mode"] == "per_n":
-        return F.floor(saves / F.lit(s["n"])) * s["points"]
-    if s["mode"] == "flat_plus_bonus":
-        return (
-            saves * s["flat_rate"]
-            + count_of("close_range_saves", columns) * s["close_range_bonus"]
-            + count_of("big_chance_saves", columns) * s["big_chance_bonus"]
-        )
-    raise ValueError(f"unknown saves mode: {s['mode']!r}")
+def count_of(name: str, columns: Collection[str]) -> Column:
+    """A count column, with a missing column or value read as zero."""
+    return F.coalesce(F.col(name), F.lit(0)) if name in columns else F.lit(0)
 
 
-def cards_points(rules: Rules, columns: Collection[str]) -> Column:
-    total = F.lit(0)
-    for name in _LINEAR:
-        total = total + count_of(name, columns) * rules[name]
-    return total
+def played_long() -> Column:
+    return F.col("minutes") >= rule("short_threshold")
 
 
-def threshold_met(rules: Rules) -> Column:
+def threshold_met() -> Column:
     """True where the defensive count reaches the position's threshold."""
-    bar = by_position(rules["defensive_contribution"]["thresholds"])
-    return F.coalesce(F.col("defensive_contribution") >= bar, F.lit(False))
-
-
-def threshold_points(rules: Rules, columns: Collection[str]) -> Column:
-    if not rules.get("defensive_contribution") or "defensive_contribution" not in columns:
-        return F.lit(0)
-    return F.when(threshold_met(rules), rules["defensive_contribution"]["points"]).otherwise(0)
-
-
-def component_points(rules: Rules, columns: Collection[str]) -> dict[str, Column]:
-    """The nine realised components under one rule set."""
-    return {
-        "minutes": minutes_points(rules),
-        "goals": rate_by_position(count_of("goals_scored", columns), rules["goals_scored"]),
-        "assists": rate_by_position(count_of("assists", columns), rules["assists"]),
-        "clean_sheets": clean_sheet_points(rules, columns),
-        "goals_conceded": conceded_points(rules, columns),
-        "saves": saves_points(rules, columns),
-        "cards_and_other": cards_points(rules, columns),
-        "defensive_contribution": threshold_points(rules, columns),
-        "bonus": count_of("bonus", columns),
+    return F.coalesce(F.col("defensive_contribution") >= rule("dc_bar"), F.lit(False))
+
+
+def component_points(columns: Collection[str]) -> dict[str, Column]:
+    """The nine realised components of rows `with_rules`."""
+    n = lambda name: count_of(name, columns)
+    minutes = F.when(F.col("minutes") == 0, rule("minutes_none")).when(~played_long(), rule("minutes_short")).otherwise(rule("minutes_full"))
+    conceded = F.floor(n("goals_conceded") / rule("conceded_per")) * rule("conceded")
+    flat_saves = n("saves") * rule("saves_flat") + n("close_range_saves") * rule("saves_close") + n("big_chance_saves") * rule("saves_chance")
+    saves = F.when(rule("saves_per").isNotNull(), F.floor(n("saves") / rule("saves_per")) * rule("saves_points")).otherwise(flat_saves)
+    defensive = F.when(threshold_met(), F.coalesce(rule("dc_points"), F.lit(0))).otherwise(0) if "defensive_contribution" in columns else F.lit(0)
+    parts = {
+        "minutes": minutes,
+        "goals": n("goals_scored") * rule("goals"),
+        "assists": n("assists") * rule("assists"),
+        "clean_sheets": F.when(played_long(), n("clean_sheets") * rule("clean_sheets")).otherwise(0),
+        "goals_conceded": F.when(played_long(), conceded).otherwise(0),
+        "saves": saves,
+        "cards_and_other": reduce(lambda a, b: a + b, [n(name) * rule(name) for name in _LINEAR]),
+        "defensive_contribution": defensive,
+        "bonus": n("bonus"),
     }
+    return {name: column.cast("bigint") for name, column in parts.items()}
 
 
 def total_of(parts: Mapping[str, Column]) -> Column:
@@ -157,21 +133,10 @@ def total_of(parts: Mapping[str, Column]) -> Column:
     return total
 
 
-def realised_component(rules: Mapping, name: str, columns: Collection[str]) -> Column:
-    return by_season(rules, lambda r: component_points(r, columns)[name].cast("bigint"), parts=_READS[name])
-
-
 def score(df: DataFrame, rules: Mapping, prefix: str = "pts_", total: str = "points") -> DataFrame:
     """`df` plus one column per component and their total."""
-    columns = set(df.columns)
-    parts = {f"{prefix}{name}": realised_component(rules, name, columns) for name in COMPONENTS}
-    return df.withColumns(parts).withColumn(total, total_of({name: F.col(name) for name in parts}))
-
-
-def points(df: DataFrame, rules: Mapping) -> Column:
-    """The total alone, as one column of `df`."""
-    columns = set(df.columns)
-    return total_of({name: realised_component(rules, name, columns) for name in COMPONENTS}).cast("bigint")
+    parts = {f"{prefix}{name}": column for name, column in component_points(set(df.columns)).items()}
+    return with_rules(df, rules).withColumns(parts).drop(RULE).withColumn(total, total_of({name: F.col(name) for name in parts}))
 
 
 def replay(df: DataFrame, rules: Mapping, recorded: str = "total_points") -> DataFrame:
@@ -180,44 +145,37 @@ def replay(df: DataFrame, rules: Mapping, recorded: str = "total_points") -> Dat
     Thresholds apply to merged counts here, while official points are given per
     fixture, so rows with several fixtures may differ.
     """
-    return df.withColumn("predicted_points", points(df, rules)).withColumn(
-        "points_match", F.col("predicted_points") == F.col(recorded)
-    )
+    total = total_of(component_points(set(df.columns))).cast("bigint")
+    scored = with_rules(df, rules).withColumn("predicted_points", total).drop(RULE)
+    return scored.withColumn("points_match", F.col("predicted_points") == F.col(recorded))
 
 
-def bps(df: DataFrame, rules: Mapping) -> Column:
-    """Illustrative bonus-system points."""
+def with_bps(df: DataFrame, rules: Mapping, name: str = "bps_points") -> DataFrame:
+    """`df` plus illustrative bonus-system points."""
     columns = set(df.columns)
+    n = lambda name: count_of(name, columns)
+    back = F.col("position").isin("GK", "DEF")
+    total = (
+        F.when(F.col("minutes") > 0, F.when(played_long(), 6).otherwise(3)).otherwise(0)
+        + n("goals_scored") * rule("bps_goal")
+        + n("assists") * 9
+        + F.when((n("clean_sheets") > 0) & played_long() & back, 12).otherwise(0)
+        + n("saves") * 2
+        + n("penalties_saved") * 15
+        - n("penalties_missed") * 6
+        - n("own_goals") * 6
+        - n("yellow_cards") * 3
+        - n("red_cards") * 9
+        - F.when(back, F.floor(n("goals_conceded") / F.lit(2)) * 4).otherwise(0)
+        + F.floor(n("clearances_blocks_interceptions") / rule("bps_cbi_per")) * 2
+        + n("tackles") * 2
+        + n("times_tackled") * rule("bps_tackled")
+    )
+    return with_rules(df, rules).withColumn(name, total.cast("bigint")).drop(RULE)
 
-    def build(r: Rules) -> Column:
-        n = lambda name: count_of(name, columns)
-        back = F.col("position").isin("GK", "DEF")
-        per = F.lit(r["bps_clearances_blocks_interceptions_per"])
-        appearance = F.when(F.col("minutes") > 0, F.when(played_long(r), 6).otherwise(3)).otherwise(0)
-        total = (
-            appearance
-            + rate_by_position(n("goals_scored"), BPS_GOAL_WEIGHTS)
-            + n("assists") * 9
-            + F.when((n("clean_sheets") > 0) & played_long(r) & back, 12).otherwise(0)
-            + n("saves") * 2
-            + n("penalties_saved") * 15
-            - n("penalties_missed") * 6
-            - n("own_goals") * 6
-            - n("yellow_cards") * 3
-            - n("red_cards") * 9
-            - F.when(back, F.floor(n("goals_conceded") / F.lit(2)) * 4).otherwise(0)
-            + F.floor(n("clearances_blocks_interceptions") / per) * 2
-            + n("tackles") * 2
-            + n("times_tackled") * r["bps_tackled_penalty"]
-        )
-        return total.cast("bigint")
-
-    reads = ("minutes", "bps_clearances_blocks_interceptions_per", "bps_tackled_penalty")
-    return by_season(rules, build, parts=reads)
-
-
-def expected_components(rules: Rules, difficulty: str = "custom_difficulty") -> dict[str, Column]:
-    """The nine expected components from `<event>_trailing` rates.
+
+def expected_components(difficulty: str = "custom_difficulty") -> dict[str, Column]:
+    """The nine expected components of rows `with_rules`, from `<event>_trailing` rates.
 
     Unlike the realised side, clean sheets are not gated on minutes and only
     goalkeepers earn saves.
@@ -226,33 +184,23 @@ def expected_components(rules: Rules, difficulty: str = "custom_difficulty") ->
     d = F.when(raw.isNull() | (raw == 0), F.lit(3.0)).otherwise(raw)
     good, bad = favourable(d), adverse(d)
     rate = lambda name: F.col(f"{name}_trailing")
-    m, gc, s = rules["minutes"], rules["goals_conceded"], rules["saves"]
     keeper_saves = rate("saves") * bad
-    if s["mode"] == "per_n":
-        save_points = (keeper_saves / s["n"]) * s["points"]
-    else:
-        save_points = keeper_saves * s["flat_rate"]
-    linear = F.lit(0.0)
-    for name in _LINEAR:
-        linear = linear + rate(name) * rules[name]
-    conceded = F.lit(CONCEDED_SHRINKAGE) * (rate("goals_conceded") * bad / gc["per"]) * gc["points"]
-    dc = rules.get("defensive_contribution")
-    return {
-        "minutes": F.col("p_blank") * m["none"] + F.col("p_short") * m["short"] + F.col("p_full") * m["full"],
-        "goals": rate("goals_scored") * good * by_position(rules["goals_scored"]),
-        "assists": rate("assists") * good * by_position(rules["assists"]),
-        "clean_sheets": rate("clean_sheets") * good * by_position(rules["clean_sheets"]),
-        "goals_conceded": F.when(F.col("position").isin(gc["positions"]), conceded).otherwise(0.0),
-        "saves": F.when(F.col("position") == "GK", save_points).otherwise(0.0),
-        "cards_and_other": linear,
-        "defensive_contribution": F.col("p_threshold") * dc["points"] if dc else F.lit(0.0),
+    saves = F.when(rule("saves_per").isNotNull(), (keeper_saves / rule("saves_per")) * rule("saves_points")).otherwise(keeper_saves * rule("saves_flat"))
+    conceded = F.lit(CONCEDED_SHRINKAGE) * (rate("goals_conceded") * bad / rule("conceded_per")) * rule("conceded")
+    parts = {
+        "minutes": F.col("p_blank") * rule("minutes_none") + F.col("p_short") * rule("minutes_short") + F.col("p_full") * rule("minutes_full"),
+        "goals": rate("goals_scored") * good * rule("goals"),
+        "assists": rate("assists") * good * rule("assists"),
+        "clean_sheets": rate("clean_sheets") * good * rule("clean_sheets"),
+        "goals_conceded": F.when(rule("conceded") == 0, 0.0).otherwise(conceded),
+        "saves": F.when(F.col("position") == "GK", saves).otherwise(0.0),
+        "cards_and_other": reduce(lambda a, b: a + b, [rate(name) * rule(name) for name in _LINEAR], F.lit(0.0)),
+        "defensive_contribution": F.coalesce(F.col("p_threshold") * rule("dc_points"), F.lit(0.0)),
         "bonus": rate("bonus"),
     }
+    return {name: column.cast("double") for name, column in parts.items()}
 
 
-def expected_component(rules: Mapping, name: str) -> Column:
-    return by_season(rules, lambda r: expected_components(r)[name], parts=_READS[name])
-
-
-def expected_points(rules: Mapping) -> Column:
-    return total_of({name: expected_component(rules, name) for name in COMPONENTS})
+def expected_points() -> Column:
+    """Expected points of rows `with_rules`."""
+    return total_of(expected_components())

@@ -34,8 +34,10 @@ def pick_by_side(was_home: str, home: str, away: str) -> Column:
     return F.when(F.col(was_home), F.col(home)).otherwise(F.col(away))
 
 
-def flag_members(column: str, members: Mapping[str, list[str]] | list[str], season: str = "season") -> Column:
-    """True where the value is in the list, or in its season's list."""
+def flag_members(column: str, members: Mapping[str, list[str]] | list[str] | Column, season: str = "season") -> Column:
+    """True where the value is in the list, in its season's list, or where the condition given holds."""
+    if isinstance(members, Column):
+        return F.coalesce(members, F.lit(False))
     if isinstance(members, Mapping):
         pairs = [F.lit(x) for name, clubs in sorted(members.items()) for x in (name, list(clubs))]
         listed = F.try_element_at(F.create_map(*pairs), F.col(season))  # folds into one literal
@@ -93,7 +95,7 @@ def normalize_season(
     raw: DataFrame,
     fixtures: DataFrame,
     teams: DataFrame,
-    promoted: Mapping[str, list[str]] | list[str],
+    promoted: Mapping[str, list[str]] | list[str] | Column,
     order: tuple[str, ...] = ("kickoff_time", "fixture"),
 ) -> DataFrame:
     """Raw per-fixture rows to the fact table: one row per season, gw, player."""

@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.functions.scoring import by_season, threshold_met
+from touchline.functions.scoring import RULE, rule, threshold_met, with_rules
 from touchline.operators.merge import PLAYER_KEY
 from touchline.sources.store import materialize
 
@@ -52,15 +52,15 @@ def minutes_columns(window: int = MINUTES_WINDOW, threshold: int = 60) -> dict[s
     }
 
 
-def threshold_rate(rules: Mapping, window: int = DEFAULT_WINDOW) -> Column:
-    """Share of threshold hits over the last rows whose count is known."""
-    def hit_for(rule_set) -> Column:
-        if not rule_set.get("defensive_contribution"):
-            return F.lit(None).cast("double")
-        return F.when(F.col("defensive_contribution").isNotNull(), threshold_met(rule_set).cast("double"))
+def with_threshold_hits(df: DataFrame, rules: Mapping) -> DataFrame:
+    """`df` plus `_hit`: 1 or 0 where the defensive count is known and has a rule, else null."""
+    known = F.col("defensive_contribution").isNotNull() & rule("dc_points").isNotNull()
+    return with_rules(df, rules).withColumn("_hit", F.when(known, threshold_met().cast("double"))).drop(RULE)
 
-    hit = by_season(rules, hit_for, parts=("defensive_contribution",))
-    known = F.collect_list(hit).over(_history())  # skips nulls; one entry per round at most
+
+def threshold_rate(window: int = DEFAULT_WINDOW) -> Column:
+    """Share of threshold hits over the last rows whose count is known; of rows `with_threshold_hits`."""
+    known = F.collect_list("_hit").over(_history())  # skips nulls; one entry per round at most
     recent = F.slice(known, F.greatest(F.size(known) - (window - 1), F.lit(1)), window)
     total = F.aggregate(recent, F.lit(0.0), lambda a, x: a + x)
     return F.coalesce(F.try_divide(total, F.size(recent)), F.lit(0.0))

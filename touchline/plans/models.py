@@ -1,7 +1,7 @@
 """The model registry and the built-in models.
 
 A column model is a function `(rules) -> Column` over the shared walk frame of
-`walkforward.walk_features`; all column models of a run share one pass over
+`walkforward.walk_features`, which has each row's rules in a column; all column models of a run share one pass over
 the data. A table model is a function `(train, roster) -> DataFrame(season, gw,
 element_id, prediction)` for anything that needs its own plan. It gets no fact
 table, only what is known before each target round (`walkforward.point_in_time`),
@@ -55,7 +55,7 @@ def fixture_adjusted_model(rules: Mapping, step: float = DIFFICULTY_STEP) -> Col
 
 def event_model(rules: Mapping) -> Column:
     """Expected points from projected event rates."""
-    return expected_points(rules)
+    return expected_points()
 
 
 register_column_model("trailing_mean", trailing_mean_model)

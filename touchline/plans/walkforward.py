@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.scoring import COMPONENTS, expected_component, expected_points, realised_component
+from touchline.functions.scoring import component_points, expected_components, expected_points, with_rules
 from touchline.operators import trailing as tr
 from touchline.operators.validation import leak_checked
 from touchline.plans.models import BASELINES, COLUMN_MODELS, TABLE_MODELS
@@ -39,7 +39,7 @@ def walk_features(
     form: bool = True,
     events: bool = True,
 ) -> DataFrame:
-    """Each fact row with everything known about it before its deadline.
+    """Each fact row with everything known about it before its deadline, and, with `events`, its rules.
 
     All trailing columns are windows over (season, player), by which
     `store.materialize_by` deals the fact: then nothing exchanges it here. Priors
@@ -53,7 +53,8 @@ def walk_features(
     windows = tr.trailing_columns(columns, window)
     if events:
         windows |= tr.minutes_columns(minutes_window)
-        windows["p_threshold"] = tr.threshold_rate(rules, window)
+        windows["p_threshold"] = tr.threshold_rate(window)
+        base = tr.with_threshold_hits(base, rules)
     if form:
         windows["form_trailing"] = tr.form_column()
     framed = base.withColumns(windows)
@@ -66,8 +67,10 @@ def walk_features(
         filled["form_trailing"] = F.coalesce(F.col("form_trailing"), prior["total_points"])
     if events:
         filled |= {c: F.coalesce(F.col(c), F.lit(v)) for c, v in tr.MINUTES_DEFAULT.items()}
-    out = joined.withColumns(filled).drop(*[f"{c}_prior" for c in columns], "form_cutoff")
-    return attach_difficulty(out, materialize(difficulty) if difficulty is not None else None) if events else out
+    out = joined.withColumns(filled).drop(*[f"{c}_prior" for c in columns], "form_cutoff", "_hit")
+    if not events:
+        return out
+    return with_rules(attach_difficulty(out, materialize(difficulty) if difficulty is not None else None), rules)
 
 
 ROSTER_COLUMNS = ["season", "gw", "element_id", "position", "team", "is_promoted_club", "opponent_difficulty", "kickoff_time"]
@@ -147,11 +150,8 @@ def decompose(fact: DataFrame, rules: Mapping, difficulty: DataFrame | None) ->
     columns = set(fact.columns)
     return frame.select(
         "season", "gw", "element_id", "position", "minutes", "p_blank", "p_short", "p_full",
-        *[expected_component(rules, c).cast("double").alias(f"predicted_{c}") for c in COMPONENTS],
-        *[
-            realised_component(rules, c, columns).alias(f"actual_{c}")
-            for c in COMPONENTS
-        ],
+        *[column.alias(f"predicted_{name}") for name, column in expected_components().items()],
+        *[column.alias(f"actual_{name}") for name, column in component_points(columns).items()],
     )
 
 
@@ -166,11 +166,11 @@ def project_events(fact: DataFrame, roster: DataFrame, rules: Mapping, target_gw
     both = past.unionByName(future.select(*[c for c in future.columns if c in past.columns]), allowMissingColumns=True)
     shape = [c for c in ("season", "gw", "element_id", "team", "position", "is_promoted_club") if c in both.columns]
     columns = tr.TRAILING_EVENTS
-    framed = both.withColumns(
+    framed = tr.with_threshold_hits(both, rules).withColumns(
         {
             **tr.trailing_columns(columns, windows.get("window", tr.DEFAULT_WINDOW)),
             **tr.minutes_columns(windows.get("minutes_window", tr.MINUTES_WINDOW)),
-            "p_threshold": tr.threshold_rate(rules, windows.get("window", tr.DEFAULT_WINDOW)),
+            "p_threshold": tr.threshold_rate(windows.get("window", tr.DEFAULT_WINDOW)),
         }
     ).filter(F.col("gw") == target_gw)
     filled = tr.fill_with_pools(framed, tr.expanding_pools(both, columns).filter(F.col("gw") == target_gw), columns)
@@ -194,4 +194,4 @@ def project_horizon(
     rates = project_events(fact, roster, rules, horizon[0])
     rounds = F.explode(F.array(*[F.lit(g).cast("bigint") for g in horizon]))
     spread = attach_difficulty(rates.withColumn("gw", rounds), difficulty)
-    return spread.select("season", "gw", "element_id", expected_points(rules).cast("double").alias("prediction"))
+    return with_rules(spread, rules).select("season", "gw", "element_id", expected_points().alias("prediction"))

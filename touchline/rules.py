@@ -1,7 +1,7 @@
 """Season rule sets as plain dicts.
 
-A rule set is turned into column literals when a plan is built, so changing a
-rule never touches the operators.
+A rule set becomes a row of numbers when a plan is built, so changing a rule
+never touches the operators.
 """
 
 from __future__ import annotations
@@ -11,6 +11,10 @@ from typing import Any
 
 Rules = Mapping[str, Any]
 
+class Eras(dict[str, Rules]):
+    """Rule sets by the first season they hold for, in the order of the seasons' names; a season has the latest that began before or with it."""
+
+
 POSITIONS = ("GK", "DEF", "MID", "FWD")
 POSITION_BY_CODE = {1: "GK", 2: "DEF", 3: "MID", 4: "FWD"}
 

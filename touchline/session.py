@@ -27,9 +27,26 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    tune(spark)
     return spark
 
 
+#: Bytes of a method above which the JVM's own compiler leaves it to the interpreter.
+HUGE_METHOD = "8000"
+
+
+def tune(spark: SparkSession) -> None:
+    """Settings that plans over wide rows need; a session may be tuned at any time, and settings made by others stay.
+
+    A stage of many columns is generated as one method. Above 8,000 bytes the JVM
+    never compiles it, and it runs several times slower than the same operators
+    with their expressions in methods of their own, which is what Spark does
+    beyond this limit. Spark's default is the largest method there can be.
+    """
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application.
 
