@@ -614,7 +614,8 @@ GROUP BY c.position, c.element_id, c.now_cost HAVING count(d.element_id) <= 3"""
 
 # ------------------------------------------------------------------- forward
 
-SHARED["recorded"] = "SELECT * FROM {fact} WHERE gw < 20 AND NOT (CAST(season AS BIGINT) % 2 = 1 AND gw = 7)"
+SHARED["recorded"] = "SELECT f.* FROM {fact} f LEFT JOIN {round_records} r ON r.season = f.season AND r.gw = f.gw WHERE coalesce(r.recorded, true)"
+_TARGET = "(SELECT target FROM {target_round})"
 _STATS = (
     "minutes goals_scored assists clean_sheets goals_conceded saves bonus yellow_cards red_cards own_goals penalties_missed penalties_saved "
     "defensive_contribution total_points"
@@ -622,25 +623,28 @@ _STATS = (
 SHARED["totals"] = f"""
 SELECT season, element_id, arg_max(position, gw) AS position, arg_max(team, gw) AS team, arg_max(is_promoted_club, gw) AS is_promoted_club,
   {', '.join(f'coalesce(sum({c}), 0) - {"CASE WHEN element_id % 7 = 0 THEN 500 ELSE 0 END" if c == "minutes" else 0} AS {c}' for c in _STATS)}
-FROM {{fact}} WHERE gw <= 20 GROUP BY season, element_id"""
-SHARED["played_20"] = """
-SELECT DISTINCT season, t.name AS team FROM (SELECT season, unnest([team_h, team_a]) AS id FROM {matches}
-WHERE event = 20 AND (coalesce(finished, false) OR coalesce(finished_provisional, false))) m JOIN {teams} t ON t.id = m.id"""
-SHARED["before_20"] = f"SELECT season, element_id, {', '.join(f'sum({c}) AS {c}' for c in _STATS)} FROM {{recorded}} GROUP BY season, element_id"
+FROM {{fact}} WHERE gw <= {_TARGET} GROUP BY season, element_id"""
+SHARED["played_target"] = f"""
+SELECT DISTINCT season, t.name AS team FROM (SELECT season, unnest([team_h, team_a]) AS id FROM {{matches}}
+WHERE event = {_TARGET} AND (coalesce(finished, false) OR coalesce(finished_provisional, false))) m JOIN {{teams}} t ON t.id = m.id"""
+SHARED["before_target"] = f"""
+SELECT season, element_id, {', '.join(f'sum({c}) AS {c}' for c in _STATS)} FROM {{recorded}} WHERE gw < {_TARGET} GROUP BY season, element_id"""
 _SHAPE = "season, gw, element_id, position, team, is_promoted_club"
 add("build_train", f"""
-SELECT {_SHAPE}, {', '.join(_STATS)} FROM {{recorded}} UNION ALL
-SELECT t.season, 20, t.element_id, t.position, t.team, t.is_promoted_club,
+SELECT {_SHAPE}, {', '.join(_STATS)} FROM {{recorded}} WHERE gw <= {_TARGET} UNION ALL
+SELECT t.season, {_TARGET}, t.element_id, t.position, t.team, t.is_promoted_club,
   {', '.join(f'CAST(greatest(t.{c} - coalesce(b.{c}, 0), 0) AS BIGINT)' for c in _STATS)}
-FROM {{totals}} t JOIN {{played_20}} p ON p.season = t.season AND p.team = t.team LEFT JOIN {{before_20}} b ON b.season = t.season AND b.element_id = t.element_id
-WHERE t.season IN (SELECT season FROM {{recorded}} GROUP BY season HAVING count(DISTINCT gw) = 19)""")
-add("totals_before", """
+FROM {{totals}} t JOIN {{played_target}} p ON p.season = t.season AND p.team = t.team
+  LEFT JOIN {{before_target}} b ON b.season = t.season AND b.element_id = t.element_id
+WHERE t.season NOT IN (SELECT season FROM {{recorded}} WHERE gw = {_TARGET})
+  AND (SELECT count(DISTINCT gw) FROM {{recorded}} r WHERE r.season = t.season AND gw < {_TARGET}) = {_TARGET} - 1""")
+add("totals_before", f"""
 SELECT season, element_id, CAST(sum(minutes) AS BIGINT) AS minutes, CAST(sum(total_points) AS BIGINT) AS total_points
-FROM {recorded} WHERE gw < 15 GROUP BY season, element_id""")
-add("coverage", """
-SELECT h.season, h.history_gws, t.teams_with_played_data, t.teams_total FROM (SELECT season, count(DISTINCT gw) AS history_gws FROM {recorded} GROUP BY season) h
+FROM {{recorded}} WHERE gw < {_TARGET} GROUP BY season, element_id""")
+add("coverage", f"""
+SELECT h.season, h.history_gws, t.teams_with_played_data, t.teams_total FROM (SELECT season, count(DISTINCT gw) AS history_gws FROM {{recorded}} GROUP BY season) h
 LEFT JOIN (SELECT season, count(DISTINCT CASE WHEN finished OR finished_provisional THEN id END) AS teams_with_played_data, count(DISTINCT id) AS teams_total
-  FROM (SELECT season, finished, finished_provisional, unnest([team_h, team_a]) AS id FROM {matches} WHERE event = 20) GROUP BY season) t ON t.season = h.season""")
+  FROM (SELECT season, finished, finished_provisional, unnest([team_h, team_a]) AS id FROM {{matches}} WHERE event = {_TARGET}) GROUP BY season) t ON t.season = h.season""")
 add("missing_periods", """
 SELECT season, id AS gw FROM {events_calendar} e WHERE finished AND NOT EXISTS (SELECT 1 FROM {recorded} r WHERE r.season = e.season AND r.gw = e.id)""")
 add("in_live_window", """
@@ -666,16 +670,23 @@ SELECT *, cumulative_shadow - cumulative_real AS shadow_minus_real FROM (
   FROM (SELECT o_custkey AS entry, 1 + o_orderkey % 3 AS gw, CAST(sum(o_orderkey % 50) AS BIGINT) AS real_points FROM {orders} GROUP BY 1, 2)
   JOIN {lineup_points} USING (entry, gw) WINDOW w AS (PARTITION BY entry ORDER BY gw))"""
 add("evaluate_squads", "SELECT * FROM {compared}")
-add("gate_status", """
-SELECT c.criterion, c.status, c.n AS gameweeks, false AS ready_to_launch FROM (
+_MOVES = "CAST(n_moves_predicted AS VARCHAR) || ' moves predicted for ' || CAST(n AS VARCHAR) || ' players'"
+_SAYS = "of 13 rounds, baselines do not run on live rounds"
+add("gate_status", f"""
+SELECT c.criterion, c.status, c.detail, c.n AS gameweeks, false AS ready_to_launch FROM (
   SELECT unnest([
-    {'criterion': 'beats_fixture_adjusted_trailing_mean_mae', 'status': CASE WHEN k >= 13 THEN 'not wired to live baselines yet' ELSE 'insufficient data' END, 'n': k},
-    {'criterion': 'beats_baselines_on_rank_correlation', 'status': CASE WHEN k >= 13 THEN 'not wired to live baselines yet' ELSE 'insufficient data' END, 'n': k},
-    {'criterion': 'no_leakage_assertion_fired', 'status': 'not tracked', 'n': k},
-    {'criterion': 'squad_reconstruction_ran_13_consecutive_gws_without_manual_correction', 'status': 'not tracked', 'n': m},
-    {'criterion': 'price_change_model_reports_hit_rate_with_ci',
-     'status': CASE WHEN hit_rate IS NULL THEN 'insufficient data' WHEN hit_rate > 0.5 THEN 'PASS' ELSE 'FAIL' END, 'n': k}]) AS c
-  FROM {price_eval}, (SELECT count(DISTINCT gw) AS k FROM {fact}), (SELECT count(DISTINCT gw) AS m FROM {compared}))""")
+    {{'criterion': 'beats_fixture_adjusted_trailing_mean_mae', 'status': CASE WHEN k >= 13 THEN 'not wired to live baselines yet' ELSE 'insufficient data' END,
+      'detail': k || ' {_SAYS}', 'n': k}},
+    {{'criterion': 'beats_baselines_on_rank_correlation', 'status': CASE WHEN k >= 13 THEN 'not wired to live baselines yet' ELSE 'insufficient data' END,
+      'detail': k || ' {_SAYS}', 'n': k}},
+    {{'criterion': 'no_leakage_assertion_fired', 'status': 'not tracked', 'detail': 'checked in walks over past seasons only', 'n': k}},
+    {{'criterion': 'squad_reconstruction_ran_13_consecutive_gws_without_manual_correction', 'status': 'not tracked',
+      'detail': m || ' of 13 rounds have frozen squads and actuals, corrections are not logged', 'n': m}},
+    {{'criterion': 'price_change_model_reports_hit_rate_with_ci',
+     'status': CASE WHEN hit_rate IS NULL THEN 'insufficient data' WHEN hit_rate > 0.5 THEN 'PASS' ELSE 'FAIL' END,
+     'detail': CASE WHEN hit_rate IS NULL THEN {_MOVES} ELSE
+       'hit rate ' || printf('%.2f', hit_rate) || ' (' || printf('%.2f', ci_low) || ' to ' || printf('%.2f', ci_high) || '), ' || {_MOVES} END, 'n': k}}]) AS c
+  FROM {{price_eval}}, (SELECT count(DISTINCT gw) AS k FROM {{frozen}}), (SELECT count(DISTINCT gw) AS m FROM {{compared}}))""")
 add("latest_frozen", "SELECT max(gw) AS latest_gw FROM {write_log}")
 SHARED["roster_20"] = """
 SELECT season, element_id, arg_max(team, gw) AS team, arg_max(position, gw) AS position, arg_max(is_promoted_club, gw) AS is_promoted_club

@@ -569,38 +569,43 @@ def candidate_frontier(t: Tables) -> DataFrame:
 
 
 def recorded(t: Tables) -> DataFrame:
-    """Actuals store: rounds before 20; in odd seasons round 7 was not recorded."""
-    missed = (F.col("season").cast("int") % 2 == 1) & (F.col("gw") == 7)
-    return fact(t).filter((F.col("gw") < 20) & ~missed)
+    """Actuals store: every round but those that the matches say were never recorded."""
+    gaps = t.round_records.filter(~F.col("recorded")).select("season", "gw")
+    return fact(t).join(gaps, ["season", "gw"], "left_anti")
 
 
-def season_totals(t: Tables) -> DataFrame:
-    """Season-to-date totals after round 20, one in seven revised downwards."""
-    upto = fact(t).filter(F.col("gw") <= 20).groupBy("season", "element_id").agg(
+def target_round(t: Tables) -> int:
+    return t.target_round.first()["target"]
+
+
+def season_totals(t: Tables, gw: int) -> DataFrame:
+    """Season-to-date totals after the round, one in seven revised downwards."""
+    upto = fact(t).filter(F.col("gw") <= gw).groupBy("season", "element_id").agg(
         *[F.max_by(c, "gw").alias(c) for c in ("position", "team", "is_promoted_club")],
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in forward.STAT_COLUMNS],
     )
     return upto.withColumn("minutes", F.when(F.col("element_id") % 7 == 0, F.col("minutes") - 500).otherwise(F.col("minutes")))
 
 
-def played_teams(t: Tables) -> DataFrame:
-    played = ratings.teams_played(t.matches, ["season", "event"]).filter(F.col("event") == 20)
+def played_teams(t: Tables, gw: int) -> DataFrame:
+    played = ratings.teams_played(t.matches, ["season", "event"]).filter(F.col("event") == gw)
     return played.join(t.teams.select(F.col("id").alias("team_id"), F.col("name").alias("team")), "team_id").select("season", "team")
 
 
 @query
 def build_train(t: Tables) -> DataFrame:
-    return forward.build_train(recorded(t), season_totals(t), played_teams(t), 20)
+    gw = target_round(t)
+    return forward.build_train(recorded(t), season_totals(t, gw), played_teams(t, gw), gw)
 
 
 @query
 def totals_before(t: Tables) -> DataFrame:
-    return forward.totals_before(recorded(t), 15, ["season", "element_id"], ["minutes", "total_points"])
+    return forward.totals_before(recorded(t), target_round(t), ["season", "element_id"], ["minutes", "total_points"])
 
 
 @query
 def coverage(t: Tables) -> DataFrame:
-    return forward.coverage(recorded(t), t.matches, 20)
+    return forward.coverage(recorded(t), t.matches, target_round(t))
 
 
 @query
@@ -662,7 +667,7 @@ def gate_status(t: Tables) -> DataFrame:
     from touchline.plans.prices import price_model as evaluate
 
     prices = evaluate(t.snapshots, DEADLINE, AS_OF, "72h", order=STEP)
-    return forward.gate_status(fact(t), squad_eval(t), prices)
+    return forward.gate_status(forward.evaluate_players(frozen(t), fact(t), ["season", "gw"]), squad_eval(t), prices)
 
 
 @query

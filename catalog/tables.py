@@ -180,6 +180,12 @@ SELECT season, event AS id, min(kickoff_time) AS deadline_time, CAST(event % 5 A
   CASE WHEN event % 7 = 0 THEN NULL ELSE event IN (13, 21) AND CAST(season AS BIGINT) % 2 = 0 END AS is_next
 FROM {matches} GROUP BY season, event"""
 
+# A round's actuals are in the store once its first match is confirmed; some never are.
+VIEWS["round_records"] = "SELECT season, event AS gw, min_by(finished, fixture) AS recorded FROM {matches} GROUP BY season, event"
+# The latest round that is the first one a season lacks: it has all rounds before, so that one can be recovered from totals.
+VIEWS["target_round"] = """
+SELECT coalesce(max(gap), 20) AS target FROM (SELECT season, min(gw) AS gap FROM {round_records} WHERE NOT recorded GROUP BY season) AS g"""
+
 _REF = re.compile(r"\{(\w+)\}")
 # The few expressions the two engines spell differently: (Spark, checking engine).
 DIALECT = {

@@ -61,6 +61,19 @@ def test_absent_optional_columns_are_null_and_managers_are_left_out(spark, tmp_p
         normalized(spark, tmp_path, rows, drop=["minutes"])
 
 
+def test_a_dimension_with_two_rows_of_a_key_is_an_error(spark, tmp_path):
+    raw = files.read_player_fixtures(spark, write_csv(tmp_path / "gw.csv", [csv_row(1, 1, 1)]), "s")
+    fixtures = spark.createDataFrame([(1, 2, 3), (1, 2, 4)], "fixture bigint, team_h_difficulty bigint, team_a_difficulty bigint")
+    teams = spark.createDataFrame([(1, "Leeds"), (2, "Spurs")], "id bigint, name string")
+    with pytest.raises(ValueError, match="fixtures: more than one row for .*1"):
+        merge.normalize_season(raw, fixtures, teams, [])
+    with pytest.raises(ValueError, match="teams: more than one row"):
+        merge.normalize_season(raw, fixtures.limit(1), teams.unionAll(teams), [])
+    # ids may come again in another season of a dimension that has the season
+    seasons = fixtures.limit(1).withColumn("season", F.explode(F.array(F.lit("s"), F.lit("t"))))
+    assert merge.normalize_season(raw, seasons, teams, []).count() == 1
+
+
 def test_match_results_need_both_scores_and_a_finish(spark, tmp_path):
     normalized(spark, tmp_path, [csv_row(1, 1, 1)])
     got = files.load_match_results(spark, str(tmp_path / "fixtures.csv")).collect()
@@ -279,7 +292,16 @@ def test_forward_evaluation_and_gate(spark):
     real, shadow = spark.createDataFrame([(1, 2, 50), (1, 3, 40), (1, 4, 9)], points), spark.createDataFrame([(1, 2, 60), (1, 3, 35)], points)
     rows = forward.cumulative_compare(real, shadow).orderBy("gw").collect()
     assert [r["shadow_minus_real"] for r in rows] == [10, 5]
-    gate = lambda rate: as_dict(forward.gate_status(frozen, shadow, spark.createDataFrame([(rate,)], "hit_rate double")), "criterion", "status")
+    with pytest.raises(forward.MissingActuals, match="'gw': 9"):
+        forward.evaluate_players(frozen.unionByName(frozen.withColumn("gw", F.lit(9).cast("bigint"))), actual)
+    with pytest.raises(forward.MissingActuals):
+        forward.calibrate_players(frozen, actual.filter("gw > 2"))
+    price = "hit_rate double, ci_low double, ci_high double, n bigint, n_moves_predicted bigint"
+    report = lambda rate: forward.gate_status(frozen, shadow, spark.createDataFrame([(rate, 0.4, 0.7, 50, 20)], price))
+    gate = lambda rate: as_dict(report(rate), "criterion", "status")
+    detail = as_dict(report(0.6), "criterion", "detail")
+    assert detail["price_change_model_reports_hit_rate_with_ci"] == "hit rate 0.60 (0.40 to 0.70), 20 moves predicted for 50 players"
+    assert detail["beats_baselines_on_rank_correlation"].startswith("1 of 13 rounds") and None not in detail.values()
     last = "price_change_model_reports_hit_rate_with_ci"
     assert [gate(r)[last] for r in (0.6, 0.5, None)] == ["PASS", "FAIL", "insufficient data"]
     assert gate(0.6)["no_leakage_assertion_fired"] == "not tracked"

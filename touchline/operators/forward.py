@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions.parsing import fixture_is_played
 from touchline.operators.metrics import calibration, error_metrics, spearman_within
 
+# The counts of the actuals store.
 STAT_COLUMNS = [
     "minutes", "goals_scored", "assists", "clean_sheets", "goals_conceded", "saves", "bonus", "yellow_cards", "red_cards",
     "own_goals", "penalties_missed", "penalties_saved", "defensive_contribution", "total_points",
@@ -109,9 +110,22 @@ def attach_actuals(frozen: DataFrame, actuals: DataFrame, keys: list[str]) -> Da
     return joined.withColumn("error", F.col("prediction") - F.col("total_points"))
 
 
+class MissingActuals(ValueError):
+    """A frozen round has no recorded results yet."""
+
+
+def require_actuals(frozen: DataFrame, actuals: DataFrame, keys: list[str]) -> None:
+    """Fail by name if a frozen round is not recorded at all: it would otherwise vanish from every figure."""
+    missing = frozen.select(*keys).distinct().join(actuals.select(*keys).distinct(), keys, "left_anti")
+    some = missing.orderBy(*keys).limit(5).collect()
+    if some:
+        raise MissingActuals(f"no actuals for {', '.join(str(row.asDict()) for row in some)}: record them before evaluating")
+
+
 def evaluate_players(frozen: DataFrame, actuals: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Per frozen round: size, MAE and mean within-position rank correlation."""
+    """Per frozen round: size, MAE and mean within-position rank correlation. A round without any actuals is an error."""
     keys = keys or ["gw"]
+    require_actuals(frozen, actuals, keys)
     rows = attach_actuals(frozen, actuals, [*keys, "element_id"])
     ranks = spearman_within(rows, keys).filter(F.col("position") == "mean").select(*keys, F.col("spearman").alias("spearman_mean"))
     return error_metrics(rows, keys).drop("rmse").join(ranks, keys, "left")
@@ -120,8 +134,9 @@ def evaluate_players(frozen: DataFrame, actuals: DataFrame, keys: list[str] | No
 def calibrate_players(
     frozen: DataFrame, actuals: DataFrame, keys: list[str] | None = None, by: list[str] | None = None
 ) -> DataFrame:
-    """Calibration bins of the frozen predictions, per `by` (default: per round)."""
+    """Calibration bins of the frozen predictions, per `by` (default: per round). A round without any actuals is an error."""
     keys = keys or ["gw"]
+    require_actuals(frozen, actuals, keys)
     return calibration(attach_actuals(frozen, actuals, [*keys, "element_id"]), by or keys)
 
 
@@ -145,26 +160,40 @@ def cumulative_compare(real: DataFrame, shadow: DataFrame, keys: tuple[str, ...]
     return total.withColumn("shadow_minus_real", F.col("cumulative_shadow") - F.col("cumulative_real"))
 
 
+# The states a criterion can have.
+PASS, FAIL = "PASS", "FAIL"
+NOT_ENOUGH, NOT_WIRED, NOT_TRACKED = "insufficient data", "not wired to live baselines yet", "not tracked"
+
+
 def gate_status(player_eval: DataFrame, squad_eval: DataFrame, price_eval: DataFrame, rounds: int = LAUNCH_ROUNDS) -> DataFrame:
-    """The five launch criteria and their state, one row each.
+    """The five launch criteria, one row each: state, what it rests on, and whether all pass.
 
-    Four of them have no live measurement and never pass, whatever the data.
+    `player_eval` and `squad_eval` have a row per evaluated round (and more keys),
+    `price_eval` is the one row of `metrics.hit_rate`. Four criteria have no live measurement
+    and never pass, whatever the data.
     """
-    n = player_eval.agg(F.count_distinct("gw").alias("n")).scalar()
-    n_squad = squad_eval.agg(F.count_distinct("gw").alias("n")).scalar()
-    live = F.when(n >= rounds, "not wired to live baselines yet").otherwise("insufficient data")
-    price = F.when(F.col("hit_rate").isNull(), "insufficient data").when(F.col("hit_rate") > 0.5, "PASS").otherwise("FAIL")
+    one = price_eval.withColumns(
+        {"_players": player_eval.agg(F.count_distinct("gw")).scalar(), "_squads": squad_eval.agg(F.count_distinct("gw")).scalar()}
+    )
+    played = lambda column: F.concat(F.col(column).cast("string"), F.lit(f" of {rounds} rounds"))
+    live = F.when(F.col("_players") >= rounds, NOT_WIRED).otherwise(NOT_ENOUGH)
+    price = F.when(F.col("hit_rate").isNull(), NOT_ENOUGH).when(F.col("hit_rate") > 0.5, PASS).otherwise(FAIL)
+    share = lambda c: F.format_string("%.2f", F.col(c))
+    moves = F.concat(F.col("n_moves_predicted").cast("string"), F.lit(" moves predicted for "), F.col("n").cast("string"), F.lit(" players"))
+    hits = F.concat(F.lit("hit rate "), share("hit_rate"), F.lit(" ("), share("ci_low"), F.lit(" to "), share("ci_high"), F.lit("), "), moves)
     # The criteria's names.
     entries = {
-        "beats_fixture_adjusted_trailing_mean_mae": (live, n),
-        "beats_baselines_on_rank_correlation": (live, n),
-        "no_leakage_assertion_fired": (F.lit("not tracked"), n),
-        "squad_reconstruction_ran_13_consecutive_gws_without_manual_correction": (F.lit("not tracked"), n_squad),
-        "price_change_model_reports_hit_rate_with_ci": (price, n),
+        "beats_fixture_adjusted_trailing_mean_mae": (live, F.concat(played("_players"), F.lit(", baselines do not run on live rounds")), "_players"),
+        "beats_baselines_on_rank_correlation": (live, F.concat(played("_players"), F.lit(", baselines do not run on live rounds")), "_players"),
+        "no_leakage_assertion_fired": (F.lit(NOT_TRACKED), F.lit("checked in walks over past seasons only"), "_players"),
+        "squad_reconstruction_ran_13_consecutive_gws_without_manual_correction": (
+            F.lit(NOT_TRACKED), F.concat(played("_squads"), F.lit(" have frozen squads and actuals, corrections are not logged")), "_squads",
+        ),
+        "price_change_model_reports_hit_rate_with_ci": (price, F.when(F.col("hit_rate").isNull(), moves).otherwise(hits), "_players"),
     }
     table = F.array(
-        *[F.struct(F.lit(c).alias("criterion"), s.alias("status"), m.alias("gameweeks")) for c, (s, m) in entries.items()]
+        *[F.struct(F.lit(c).alias("criterion"), s.alias("status"), d.alias("detail"), F.col(k).alias("gameweeks")) for c, (s, d, k) in entries.items()]
     )
-    rows = price_eval.withColumn("_t", table)
-    ready = F.forall("_t", lambda e: e["status"] == "PASS")
+    rows = one.withColumn("_t", table)
+    ready = F.forall("_t", lambda e: e["status"] == PASS)
     return rows.select(F.explode("_t").alias("_e"), ready.alias("ready_to_launch")).select("_e.*", "ready_to_launch")

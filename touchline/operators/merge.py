@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.parsing import join_distinct
 
+# The columns of the per-fixture files.
 INTEGER_STATS = [
     "minutes", "starts", "total_points", "goals_scored", "assists", "clean_sheets", "goals_conceded", "own_goals",
     "penalties_saved", "penalties_missed", "yellow_cards", "red_cards", "saves", "bonus", "bps",
@@ -51,13 +52,23 @@ def with_optional_columns(df: DataFrame, columns: list[str] = OPTIONAL_STATS, da
     return df.withColumns({c: F.lit(None).cast(data_type) for c in columns if c not in df.columns})
 
 
+def require_unique(dim: DataFrame, keys: list[str], name: str) -> None:
+    """Fail if two rows of a dimension have the same key."""
+    twice = dim.groupBy(*keys).count().filter("count > 1").orderBy(*keys).limit(3).collect()
+    if twice:
+        raise ValueError(f"{name}: more than one row for {', '.join(str({k: row[k] for k in keys}) for row in twice)}")
+
+
 def attach_dims(raw: DataFrame, fixtures: DataFrame, teams: DataFrame) -> DataFrame:
     """Left joins to fixture difficulty and to the opponent's name.
 
     Fixture and team ids start again each season, so a dimension that has the
     season is joined on it too. No broadcast hint: Spark broadcasts either side
-    when its size allows.
+    when its size allows. A dimension with two rows of one key would count
+    fixtures twice: it is an error by name, found in the dimension alone.
     """
+    require_unique(fixtures, [*shared(fixtures, raw), "fixture"], "fixtures")
+    require_unique(teams, [*shared(teams, raw), "id"], "teams")
     opponents = teams.select(*shared(teams, raw), F.col("id").alias("opponent_team"), F.col("name").alias("opponent_team_name"))
     with_fixtures = raw.join(fixtures, [*shared(fixtures, raw), "fixture"], "left")
     return with_fixtures.join(opponents, [*shared(teams, raw), "opponent_team"], "left")
