@@ -181,6 +181,14 @@ def test_near_duplicates_match_brute_force(make, size):
     assert sorted((tuple(r) for r in found.collect()), key=repr) == expected
 
 
+def test_one_id_with_unlike_texts_is_one_document(make):
+    rows = [(0, "a b c"), (1, "x y z"), (5, "a b c"), (5, "x y z"), (7, "p q r"), (7, "s t u"), (7, "s t u"), (8, "s t u"), (9, None), (9, "lone text")]
+    found = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(make(rows), size=2).collect()}
+    assert found == {(0, 0), (1, 0), (5, 0), (7, 7), (8, 7), (9, 9)}
+    for size in (2, 5):
+        assert sorted((tuple(r) for r in minhash.near_duplicates(make(rows), size=size).collect()), key=repr) == components_by_hand(rows, size, 80)
+
+
 def test_near_duplicates_without_ids_or_rows(make):
     assert minhash.near_duplicates(make([])).count() == 0
     found = {tuple(r) for r in minhash.near_duplicates(make([(None, "a b"), (3, "a b"), (4, "a b")]), size=2).collect()}

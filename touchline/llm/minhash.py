@@ -7,12 +7,12 @@ and a signature is the minimum over rows of that table.
 
 Equal shingle sets collapse into one node first. Banding proposes links only
 from each bucket's members to one centre, drawn anew in every bucket, so a
-bucket of m nodes gives m - 1 pairs. Every proposed link is confirmed on the
-full sets. Buckets that then still hold several components get new centres for
-a few turns. Then every pair between components whose sets can still overlap
-enough is confirmed. "Can" is decided by parity bits of the sets (`parity_bits`):
-where more bits differ than two linked sets may differ in shingles, there is no
-link, so nothing is lost and far fewer pairs leave the bucket.
+bucket of m nodes gives m - 1 pairs. Buckets that then still hold several
+components get new centres for a few turns. Then every pair between components
+is proposed. Sizes and parity bits of the sets (`parity_bits`) tell which proposed
+pairs can be links: where more bits differ than two linked sets may differ in
+shingles, there is none, so nothing is lost. What is left is confirmed on the
+full sets, which are made for the nodes of such pairs only.
 """
 
 from __future__ import annotations
@@ -127,6 +127,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.filter(F.col("both") * (100 + percent) >= F.col("sizes") * percent).select("u", "v").distinct()
 
 
+def sizes_fit(percent: int) -> str:
+    return f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)"
+
+
+def bits_fit(percent: int) -> str:
+    """Of linked sets, few enough shingles are in one of them only."""
+    differ = " + ".join(f"bit_count(bitsu[{i}] ^ bitsv[{i}])" for i in range(PARITY_WORDS))
+    return f"(100 + {percent}) * ({differ}) <= (100 - {percent}) * (nu + nv)"
+
+
+def possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (u, nu, v, nv), n being the sets' sizes, those (u, v) whose sizes and parity bits allow a link."""
+    side = lambda x: bits.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+    met = pairs.filter(sizes_fit(percent)).distinct().join(side("u"), ["u", "nu"]).join(side("v"), ["v", "nv"])
+    return met.filter(bits_fit(percent)).select("u", "v").distinct()
+
+
+def both_ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("node"))
+
+
+def ordered(pairs: DataFrame, one: str, n_one: str, two: str, n_two: str) -> DataFrame:
+    """(u, nu, v, nv) with u < v."""
+    first = F.col(one) < F.col(two)
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    return pairs.filter(F.col(one) != F.col(two)).select(
+        pick(one, two).alias("u"), pick(n_one, n_two).alias("nu"), pick(two, one).alias("v"), pick(n_two, n_one).alias("nv")
+    )
+
+
 def split_buckets(hot: DataFrame, groups: DataFrame) -> DataFrame:
     """The members (key, node, n, component) of buckets with more than one component."""
     placed = hot.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
@@ -135,22 +165,30 @@ def split_buckets(hot: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def pairs_with_centres(rest: DataFrame, salt: int) -> DataFrame:
-    """Each member with the centre that `salt` draws in its bucket, where their components differ."""
+    """Each member with the centre that `salt` draws in its bucket, where their components differ: (u, nu, v, nv)."""
     drawn = rest.groupBy("key").agg((F.min(F.expr(f"node ^ key ^ {salt}L"))).alias("m"))
     drawn = drawn.select("key", F.expr(f"m ^ key ^ {salt}L").alias("node"))
-    centres = rest.join(drawn, ["key", "node"]).select("key", F.col("node").alias("centre"), F.col("component").alias("other")).distinct()
-    met = rest.join(centres, "key").filter("component != other")
-    return met.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
+    centres = rest.join(drawn, ["key", "node"]).select(
+        "key", F.col("node").alias("centre"), F.col("n").alias("n_centre"), F.col("component").alias("other")
+    ).distinct()
+    return ordered(rest.join(centres, "key").filter("component != other"), "node", "n", "centre", "n_centre")
 
 
 def pairs_across(rest: DataFrame, percent: int) -> DataFrame:
     """The pairs of a bucket in different components whose sizes and parity bits (`bits`) allow a link."""
     side = lambda x: [F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "component", "bits")]]
-    fits = f"u < v AND componentu != componentv AND 100 * least(nu, nv) >= {percent} * greatest(nu, nv)"
-    differ = " + ".join(f"bit_count(bitsu[{i}] ^ bitsv[{i}])" for i in range(PARITY_WORDS))
-    close = f"(100 + {percent}) * ({differ}) <= (100 - {percent}) * (nu + nv)"  # of linked sets: shingles in one of them only
+    fits = f"u < v AND componentu != componentv AND {sizes_fit(percent)}"
     one, two = rest.select("key", *side("u")), rest.select("key", *side("v"))
-    return one.join(two, "key").filter(f"{fits} AND {close}").select("u", "v").distinct()
+    return one.join(two, "key").filter(f"{fits} AND {bits_fit(percent)}").select("u", "v").distinct()
+
+
+def own_links(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) between the nodes that one document's several sets belong to."""
+    spread = F.min(F.struct("set_a", "set_b")) != F.max(F.struct("set_a", "set_b"))
+    several = named.groupBy("doc_id").agg(spread.alias("_several")).filter("_several").select("doc_id")
+    placed = named.join(several, "doc_id", "left_semi").select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("doc_id", "node")
+    least = placed.groupBy("doc_id").agg(F.min("node").alias("u"))
+    return placed.join(least, "doc_id").filter("node != u").select("u", F.col("node").alias("v")).distinct()
 
 
 def near_duplicates(
@@ -165,8 +203,8 @@ def near_duplicates(
     component_id is the smallest id reachable.
 
     Null or wordless texts have no set and are linked with nothing. Rows with one
-    id are one document with several sets. A row without an id has a null
-    component. Other columns of `docs` are not looked at; no rows give no rows.
+    id are one document with several sets, and have one component. A row without
+    an id has a null component. Other columns of `docs` are not looked at; no rows give no rows.
     Sets are compared as 64-bit hashes of shingles.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
@@ -177,14 +215,17 @@ def near_duplicates(
     # one row per band of each distinct set; only buckets with two nodes or more matter
     first = named.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "set_a", "set_b"], "left_semi")
     members = first.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.expr("node ^ key")).alias("m")).filter("c > 1")
-    hot = materialize(members.join(shared.select("key", F.expr("m ^ key").alias("centre")), "key").distinct())
-
-    wanted = hot.select(F.col("node").alias("doc_id")).distinct()
-    sets = materialize(full_sets(docs.join(wanted, "doc_id", "left_semi"), size).distinct())
-    stars = hot.filter("node != centre").select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
-    tried = materialize(stars)
-    links = materialize(confirmed(tried, sets, percent))
+    drawn = F.min(F.struct(F.expr("node ^ key").alias("m"), F.col("n").alias("n_centre")))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), drawn.alias("d")).filter("c > 1")
+    shared = shared.select("key", F.expr("d.m ^ key").alias("centre"), "d.n_centre")
+    hot = materialize(members.join(shared, "key").distinct())
+    bits = materialize(first.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bits").join(hot.select("node").distinct(), "node", "left_semi"))
+
+    stars = ordered(hot, "node", "n", "centre", "n_centre")
+    tried = materialize(possible(stars, bits, percent))
+    have = both_ends(tried).distinct()
+    sets = materialize(full_sets(docs.join(have.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), size).distinct())
+    links = materialize(confirmed(tried, sets, percent).unionAll(own_links(named, classes)))
     groups = materialize(connected_components(links))
 
     # buckets that still hold several components: new centres, linked to other components only
@@ -194,12 +235,17 @@ def near_duplicates(
             break
         salt = int(mix(np.array([turn], np.uint64)).view(np.int64)[0])
         if turn < turns:
-            pairs = pairs_with_centres(rest, salt)
+            pairs = possible(pairs_with_centres(rest, salt), bits, percent)
         else:  # what no centre could join
-            bits = first.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bits")
             pairs = pairs_across(rest.join(bits, ["node", "n"]), percent)
         pairs = materialize(pairs.join(tried, ["u", "v"], "left_anti"))
-        more = materialize(confirmed(pairs, sets, percent))
+        if pairs.isEmpty():
+            continue
+        lacking = materialize(both_ends(pairs).distinct().join(sets.select("node"), "node", "left_anti"))
+        if not lacking.isEmpty():
+            new = full_sets(docs.join(lacking.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), size).distinct()
+            sets = sets.unionAll(materialize(new))
+        more = materialize(confirmed(pairs, sets.join(both_ends(pairs), "node", "left_semi"), percent))
         tried = tried.unionAll(pairs)
         if not more.isEmpty():
             links = links.unionAll(more)
