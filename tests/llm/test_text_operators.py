@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -14,6 +15,7 @@ from touchline.llm import ann, bpe, html_text, minhash, mixing, pii, quality, su
 from touchline.llm.components import connected_components
 from touchline.llm.lexicon import Lexicon, compile_lexicon
 from touchline.llm.vocabulary import vocabulary_path
+from touchline.sources.store import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYLLABLES = ["an", "be", "co", "du", "el", "fa", "gi", "ho"]
@@ -107,9 +109,31 @@ def test_warc_round_trip(spark):
     assert warc.read_back(index, folder).count() == 0
 
 
+def test_empty_pages_roll_over_too_and_sidecars_tell_the_index(spark):
+    rows = [(i, "u", None) for i in range(3000)] + [(None, "u", "x"), (5000, "u", "long " * 5000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    index, folder = warc.archive_pages(pages, roll_bytes=20_000)
+    sizes = [r["count"] for r in index.groupBy("archive").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 200
+    columns = ["archive", "offset", "length", "record_type", "payload_digest", "page_id"]
+    told = warc.read_sidecars(spark, folder)
+    assert sorted(map(tuple, told.select(columns).collect()), key=repr) == sorted(map(tuple, index.select(columns).collect()), key=repr)
+    # an archive is read by its sidecar alone
+    assert sorted(map(tuple, warc.read_back(told, folder).collect()), key=repr) == sorted(map(tuple, warc.read_back(index, folder).collect()), key=repr)
+
+
 # ---------------------------------------------------------------------- bpe
 
 
+def test_tokenized_keeps_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, "x", "y", None), (2, None, 6, "x", "y", None)], "doc_id long, text string, ids int, N_Tokens string, ids_ string, round_trip int")
+    found = bpe.tokenized(docs, vocabulary_path(), bpe.build_lexicon(docs, vocabulary_path()))
+    assert found.columns == ["doc_id", "ids__", "N_Tokens_", "ids_", "round_trip_", "ids", "n_tokens", "round_trip"]
+    rows = {r.doc_id: r for r in materialize(found).collect()}
+    assert rows[1].ids__ == 5 and rows[1].n_tokens == len(rows[1].ids) > 0 and rows[2].ids == [] and rows[2].round_trip
+
+
+
 def test_lexicon_is_exact_and_shares_suffixes():
     words = sorted({(a + b).encode() for a in ["un", "re", "", "pre"] for b in ["do", "doing", "done", "é"]})
     lexicon = Lexicon(compile_lexicon(words, [[i, i + 1] for i in range(len(words))]))
@@ -224,6 +248,17 @@ def test_components_of_chains_and_stars(spark):
 
 # ---------------------------------------------------------------------- pii
 
+def test_long_runs_after_a_key_cue_take_linear_time():
+    anchors = pii.automaton()
+    for text in ("AKIA" * 100_000, "ASIA" + "A" * 400_000, "DE12" * 50_000):
+        began = time.perf_counter()
+        pii.find_spans(text, anchors)
+        assert time.perf_counter() - began < 5
+    key = "AKIA" + "B7" * 8
+    spans = lambda text: [s for s in pii.find_spans(text, anchors) if s[0] == "account"]
+    assert spans(f"k {key}.") == [("account", 2, 22)] and spans(key + "7") == [] and spans(key[:-1]) == [] and spans(key) == [("account", 0, 20)]
+
+
 BASE = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),

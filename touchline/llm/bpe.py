@@ -19,14 +19,16 @@ import os
 import re
 import uuid
 from collections import Counter
+from collections.abc import Callable
 from itertools import chain
+from typing import Any
 
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from touchline.llm.lexicon import LONGEST_WORD, Lexicon, compile_lexicon
 from touchline.session import write_shared
@@ -134,19 +136,27 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes batches of texts; remembers the words it has met, up to a bound."""
+    """Encodes batches of texts; remembers the words it has met, up to a bound.
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
-        self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.memo: dict[str, list[int]] = {}
+    What it remembers of a word is `keep(ids)`, the ids themselves by default.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, keep: Callable[[list[int]], Any] = list):
+        self.vocabulary, self.lexicon, self.keep = vocabulary, lexicon, keep
+        self.memo: dict[str, Any] = {}
 
     def _learn(self, words: set[str]) -> None:
         fresh = [w for w in words if w not in self.memo]
         raw = [w.encode("utf-8", "surrogatepass") for w in fresh]
         for word, data, ids in zip(fresh, raw, self.lexicon.find(raw), strict=True):
-            self.memo[word] = self.vocabulary.merge(data) if ids is None else ids
+            self.memo[word] = self.keep(self.vocabulary.merge(data) if ids is None else ids)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text, of an encoder that keeps ids."""
+        return [list(chain.from_iterable(kept)) for kept in self.encode_words(texts)]
+
+    def encode_words(self, texts: list[str]) -> list[list]:
+        """What is kept of each word and special token, per text."""
         special, cut = self.vocabulary.special, []
         for text in texts:
             words: list = []
@@ -158,11 +168,11 @@ class Encoder:
             cut.append(words)
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        met = {w for words in cut for w in words}
+        met = set(chain.from_iterable(cut))
         marks = {w for w in met if isinstance(w, int)}
         self._learn(met - marks)
-        self.memo.update({w: [w] for w in marks})
-        found = [list(chain.from_iterable(map(self.memo.__getitem__, words))) for words in cut]
+        self.memo.update({w: self.keep([w]) for w in marks})
+        found = [list(map(self.memo.__getitem__, words)) for words in cut]
         for w in marks:
             del self.memo[w]
         return found
@@ -244,6 +254,14 @@ def open_encoder(vocabulary_path: str, lexicon_name: str) -> Encoder:
     return Encoder(Vocabulary(vocabulary_path), Lexicon.mapped(os.path.join(SparkFiles.getRootDirectory(), lexicon_name)))
 
 
+def spelled_words(encoder: Encoder) -> Encoder:
+    """The encoder, keeping of a word the number of its ids, their decimals joined by commas, and the bytes that they decode to."""
+    table = encoder.vocabulary.token_bytes
+    spelled = [str(i) for i in range(max(table) + 1)]
+    encoder.keep = lambda ids: (len(ids), ",".join(map(spelled.__getitem__, ids)), b"".join(map(table.__getitem__, ids)))
+    return encoder
+
+
 def encoded(docs: DataFrame, vocabulary_path: str, lexicon_name: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, ids array<int>: one row per row of `docs`; null and empty texts have no ids. Other columns are not looked at."""
 
@@ -277,18 +295,24 @@ def decoded(rows: DataFrame, vocabulary_path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, vocabulary_path: str, lexicon_name: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes the ids and keeps only the digests."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes the ids and keeps only the digests.
+
+    One row per row of `docs`, repeated rows included. A null text counts as empty:
+    no tokens, and the digests of the empty text. Null ids pass through, other
+    columns are not looked at, whatever their names. Texts are encoded whole. Ids
+    are spelled and decoded once a word; a text's are its words' in a row.
+    """
 
     def work(batches):
-        encoder = open_encoder(vocabulary_path, lexicon_name)
-        spelled = [str(i) for i in range(max(encoder.vocabulary.token_bytes) + 1)]
+        encoder = spelled_words(open_encoder(vocabulary_path, lexicon_name))
         for batch in batches:
             counts, of_ids, of_text = [], [], []
             for texts in chunks(batch.column("text")):
-                for ids in encoder.encode(texts):
-                    counts.append(len(ids))
-                    of_ids.append(hashlib.sha256(",".join(map(spelled.__getitem__, ids)).encode()).hexdigest())
-                    of_text.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+                for words in encoder.encode_words(texts):
+                    lengths, ids, data = zip(*words, strict=True) if words else ((), (), ())
+                    counts.append(sum(lengths))
+                    of_ids.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+                    of_text.append(hashlib.sha256(b"".join(data).decode("utf-8", "replace").encode()).hexdigest())
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -296,10 +320,27 @@ def digests(docs: DataFrame, vocabulary_path: str, lexicon_name: str) -> DataFra
     return rows.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+NEW_COLUMNS = ("ids", "n_tokens", "round_trip")
+
+
 def tokenized(docs: DataFrame, vocabulary_path: str, lexicon_name: str, text_column: str = "text") -> DataFrame:
-    """`docs` without its text, plus ids, n_tokens and round_trip (whether the ids decode to the text); rows and other columns stay."""
+    """`docs` without its text, plus ids, n_tokens and round_trip (whether the ids decode to the text); rows and other columns stay.
+
+    A column of `docs` that has one of the three names, in whatever case, keeps its
+    values under that name with underscores behind it, as many as make it a new
+    one. Null and empty texts have no ids; their round_trip is true. Texts are
+    encoded whole; repeated rows are rows of their own; no rows give no rows.
+    """
     at = docs.columns.index(text_column)
     others = [c for c in docs.schema if c.name != text_column]
+    taken = {c.name.lower() for c in others} | set(NEW_COLUMNS)
+    for i, c in enumerate(others):
+        if c.name.lower() in NEW_COLUMNS:
+            name = c.name + "_"
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+            others[i] = StructField(name, c.dataType, c.nullable, c.metadata)
 
     def work(batches):
         encoder = open_encoder(vocabulary_path, lexicon_name)
@@ -312,7 +353,7 @@ def tokenized(docs: DataFrame, vocabulary_path: str, lexicon_name: str, text_col
                 same = [encoder.decode(i) == t for i, t in zip(ids, texts, strict=True)]
                 columns = [c for i, c in enumerate(part.columns) if i != at]
                 new = [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(same, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*columns, *new], [*(c.name for c in others), "ids", "n_tokens", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*columns, *new], [*(c.name for c in others), *NEW_COLUMNS])
 
     schema = StructType([*others, *StructType.fromDDL("ids array<int>, n_tokens long, round_trip boolean")])
     return docs.mapInArrow(work, schema)

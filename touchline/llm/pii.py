@@ -73,9 +73,9 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
-def run_right(text: str, at: int, allowed: frozenset) -> int:
-    """The end of the run of allowed characters that starts at `at`."""
-    end = len(text)
+def run_right(text: str, at: int, allowed: frozenset, limit: int | None = None) -> int:
+    """The end of the run of allowed characters that starts at `at`, not after `limit`."""
+    end = len(text) if limit is None else min(limit, len(text))
     while at < end and text[at] in allowed:
         at += 1
     return at
@@ -181,7 +181,7 @@ def accounts(text: str, keys: list[int], ibans: list[int]) -> list[tuple[int, in
     """Anchors are the starts of the cues; the boundaries on both sides must not be letters or digits."""
     found = []
     for at in keys:
-        end = run_right(text, at + 4, _CAPITAL)
+        end = run_right(text, at + 4, _CAPITAL, at + 21)
         if end - at == 20 and not (at and text[at - 1] in _ALNUM) and not (end < len(text) and text[end] in _ALNUM):
             found.append((at, end))
     for at in ibans:

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.sources.store import materialize, shared_folder
@@ -115,8 +115,9 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 def capture(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write every page as a response record into monolithic archives; returns the manifest, one row per record.
 
-    Archives roll over at `roll_bytes` of payload, which bounds what one
-    normaliser task handles; a single larger page makes a larger archive.
+    Archives roll over at `roll_bytes` of records, heads included, which bounds
+    what one normaliser task handles, also where payloads are empty; a single
+    larger page makes a larger archive.
     """
 
     def work(batches):
@@ -136,9 +137,10 @@ def capture(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> Data
                     out, deflate, seq, size = store.open_output_stream(f"{root}/{name}", compression=None), zlib.compressobj(CAPTURE_LEVEL, zlib.DEFLATED, 31), 0, 0
                 payload = (html or "").encode()
                 digest = payload_digest(payload)
-                out.write(deflate.compress(record("response", record_id(number, seq), page_id, url, digest, len(payload), payload)))
+                whole = record("response", record_id(number, seq), page_id, url, digest, len(payload), payload)
+                out.write(deflate.compress(whole))
                 rows.append((name, number, seq, page_id, len(payload), digest))
-                seq, size = seq + 1, size + len(payload)
+                seq, size = seq + 1, size + len(whole)
                 if size >= roll_bytes:
                     close()
                     out, number = None, number + 1
@@ -212,6 +214,19 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
     return materialize(manifest.groupBy("archive_no").applyInArrow(work, INDEX))
 
 
+def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
+    """The index as the `.idx` files beside the archives tell it: archive, offset, length, record_type, payload_digest, page_id.
+
+    An archive is thus usable without the table that `normalise` returns.
+    """
+    lines = spark.read.text(f"{folder}/warc/*.idx").select("value", F.col("_metadata.file_name").alias("file"))
+    part = F.split("value", " ")
+    return lines.select(
+        F.concat(F.lit("warc/"), F.expr("substring(file, 1, length(file) - 4)")).alias("archive"), part[0].cast("long").alias("offset"),
+        part[1].cast("long").alias("length"), part[2].alias("record_type"), part[3].alias("payload_digest"), F.nullif(part[4], F.lit("-")).cast("long").alias("page_id"),
+    )
+
+
 def read_back(index: DataFrame, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, as the archives themselves tell.
 
@@ -226,6 +241,8 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
             rows = []
             for archive, offset, length in zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "length")), strict=True):
                 if archive != name:
+                    if file is not None:
+                        file.close()
                     name, file = archive, store.open_input_file(f"{root}/{archive}")
                 file.seek(offset)
                 member = zlib.decompress(file.read(length), 31)
@@ -245,6 +262,8 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
             if rows:
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        if file is not None:
+            file.close()
 
     rows = index.select("archive", "offset", "length")
     return rows.mapInArrow(work, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
