@@ -36,7 +36,7 @@ from touchline.sources.store import materialize, shared_folder
 
 LEXICON_WORDS = 1 << 17
 CHUNK_CHARS = 1 << 20
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 
 # The word pattern of the vocabulary, with white space written out.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -13,7 +13,7 @@ import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 @lru_cache(None)
@@ -57,7 +57,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if size <= 4 * SLICE:
+        if size <= SLICE:  # workers live long: longer ones are made again
             _powers[int(base)] = have
     return have[:n]
 
