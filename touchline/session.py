@@ -56,6 +56,9 @@ def ship_package(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_touchline_shipped", False):
         return
+    if spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b") == str((1 << 31) - 16):
+        # the driver keeps the text of up to a thousand plans; iterative jobs have many and long ones
+        spark.conf.set("spark.sql.maxPlanStringLength", "20000")
     package = Path(__file__).resolve().parent
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
