@@ -47,6 +47,24 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD)
 
 
+#: Rows of whole texts that are in a worker, and in the buffers on the way to it, at a time.
+BATCH_ROWS = 2000
+
+
+def bound_memory(spark: SparkSession) -> None:
+    """Settings left at their defaults that would take memory beside the heap.
+
+    Ten thousand documents in one Arrow batch are tens of megabytes, several
+    times over: in the executor's buffers, which are kept, and in each worker. The
+    driver keeps the texts of up to a thousand plans, and iterative jobs have many
+    and long ones.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b") == str((1 << 31) - 16):
+        spark.conf.set("spark.sql.maxPlanStringLength", "20000")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application.
 
@@ -56,9 +74,7 @@ def ship_package(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_touchline_shipped", False):
         return
-    if spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b") == str((1 << 31) - 16):
-        # the driver keeps the text of up to a thousand plans; iterative jobs have many and long ones
-        spark.conf.set("spark.sql.maxPlanStringLength", "20000")
+    bound_memory(spark)
     package = Path(__file__).resolve().parent
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
