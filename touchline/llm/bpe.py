@@ -34,7 +34,7 @@ from touchline.llm.lexicon import LONGEST_WORD, Lexicon, compile_lexicon
 from touchline.session import write_shared
 from touchline.sources.store import materialize, shared_folder
 
-LEXICON_WORDS = 1 << 17
+LEXICON_WORDS = 1 << 18
 CHUNK_CHARS = 1 << 20
 MEMO_WORDS = 100_000
 
@@ -138,15 +138,24 @@ class Vocabulary:
 class Encoder:
     """Encodes batches of texts; remembers the words it has met, up to a bound.
 
-    What it remembers of a word is `keep(ids)`, the ids themselves by default.
+    What it remembers of a word is `keep(ids)`, the ids themselves by default. When
+    the memo is full it becomes the older one, and words found there move on to the
+    new one: frequent words are never forgotten, the others are twice a bound later.
     """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, keep: Callable[[list[int]], Any] = list):
         self.vocabulary, self.lexicon, self.keep = vocabulary, lexicon, keep
         self.memo: dict[str, Any] = {}
+        self.older: dict[str, Any] = {}
 
     def _learn(self, words: set[str]) -> None:
-        fresh = [w for w in words if w not in self.memo]
+        fresh = []
+        for w in words - self.memo.keys():
+            known = self.older.get(w)
+            if known is None:
+                fresh.append(w)
+            else:
+                self.memo[w] = known
         raw = [w.encode("utf-8", "surrogatepass") for w in fresh]
         for word, data, ids in zip(fresh, raw, self.lexicon.find(raw), strict=True):
             self.memo[word] = self.keep(self.vocabulary.merge(data) if ids is None else ids)
@@ -167,7 +176,7 @@ class Encoder:
                     words += words_of(piece)
             cut.append(words)
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+            self.memo, self.older = {}, self.memo
         met = set(chain.from_iterable(cut))
         marks = {w for w in met if isinstance(w, int)}
         self._learn(met - marks)
