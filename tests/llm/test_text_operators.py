@@ -451,6 +451,33 @@ def test_article_goes_on_in_its_siblings():
     assert got == f"{text}\n\nBare text, linked and slanted.\n\nitem\n\nsmall\n\n{text}"
 
 
+@pytest.mark.parametrize("name", [
+    "layout has-sidebar", "entry-content comments-open", "post no-ads", "page-with-banner", "content social-issues", "article-menu-of-the-day",
+    "promo", "sidebar", "widget",
+])
+def test_names_do_not_cost_a_page_its_article(name):
+    paragraph = "A paragraph of some length, with commas, and with more words."
+    page = f"<body><nav><a href=x>Menu</a></nav><div class='{name}'>{f'<p>{paragraph}</p>' * 3}<div class='ad-box'><p>Buy, buy.</p></div></div></body>"
+    assert html_text.extract(page) == "\n\n".join([paragraph] * 3)
+
+
+def test_named_parts_beside_an_article_go():
+    long = "<p>A paragraph of some length, with commas, and with more words.</p>"
+    text = "A paragraph of some length, with commas, and with more words."
+    rules = "<section id='promotion-rules'><p>Rules of the promotion, in full.</p></section>"
+    inside = f"<article>{long}{rules}<div class='ad-slot'>{long}</div><div class='comment-list'><article>{long * 5}</article></div></article>"
+    page = f"<body>{inside}<div class='left-sidebar'>{long}</div><div id='comments'>{long * 9}<article class='comment-body'>{long}</article></div></body>"
+    assert html_text.extract(page) == text + "\n\nRules of the promotion, in full."
+    assert html_text.extract(f"<div><p>A short one.</p></div><div class='cookie-notice'><p>We use cookies.</p></div><div class=replies>{long}</div>") == "A short one."
+    assert html_text.extract(f"<div class=comments>{long}</div>") == ""
+    assert html_text.extract(f"<div class='widget'><main>{long}</main></div><div class=promo>{long * 4}</div>") == text
+
+
+def test_deep_nesting_ends():
+    for page in ["<b>" * 20_000 + "x", "<div class=ad>" * 3_000 + "<p>x</p>"]:
+        assert html_text.extract(page) == "x"
+
+
 # ----------------------------------------------------------------- toxicity
 
 

@@ -1,7 +1,9 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree; what never holds article text (menus, scripts, forms,
-adverts, comments and the like) is left out by tag, role or name. Every
+A page becomes a tree; what never holds article text (menus, scripts, forms and
+the like) is left out by tag or role. Elements that a class or id names as
+something else (adverts, sidebars, comments) are left out if the page's text
+agrees: not if they hold its article, or nearly all text around them. Every
 paragraph then gets points for its length and commas, which it passes to its
 ancestors in falling shares, and a container's points are discounted by the
 share of its text that is link text. The best container, together with the
@@ -39,18 +41,31 @@ OTHER_NAMES = frozenset(
     "breadcrumbs footer masthead topbar cookie cookies consent gdpr notice popup modal overlay comment comments disqus replies respond related "
     "recommended share sharing social newsletter subscribe signup login pagination pager toolbar widget".split()
 )
+TALK_NAMES = frozenset("comment comments disqus replies respond".split())
+# Words that may follow such a name without changing what it names, and words that say the element is without or around it.
+NAME_TAILS = frozenset(
+    "area bar block body bottom box button buttons container content cta first footer form group header icons inner item items label last left "
+    "link links list main media outer panel post posts primary right row secondary section slot stories articles text this title top unit widget "
+    "wrap wrapper".split()
+)
+NAME_NEGATIONS = frozenset("has no non not with without".split())
 _NAME = re.compile(r"[a-z]+")
 _PARAGRAPHS = frozenset(["p", "pre", "td", "blockquote", "li", "dd"])
 _TAG_POINTS = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 3.0, "blockquote": 2.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "table": -3.0}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "skip", "points", "size", "linked")
+    __slots__ = ("tag", "parent", "children", "skip", "named", "within", "points", "size", "linked", "marked", "articles")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool):
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: Node | None, skip: bool, named: str = ""):
+        self.tag, self.parent, self.skip, self.named = tag, parent, skip, named
+        self.within = tag in ("article", "main") or (parent is not None and parent.within)
         self.children: list[Node | str] = []
-        self.points, self.size, self.linked = 0.0, 0, 0
+        self.points, self.size, self.linked, self.marked, self.articles = 0.0, 0, 0, 0, 0
+
+    @property
+    def plain(self) -> int:
+        return self.size - self.linked
 
 
 class TreeBuilder(HTMLParser):
@@ -78,7 +93,7 @@ class TreeBuilder(HTMLParser):
         if tag in VOID:
             self.at.children.append("\n" if tag in ("br", "hr") else "")
             return
-        node = Node(tag, self.at, self.at.skip or self._is_other(tag, attrs))
+        node = Node(tag, self.at, self.at.skip or self._is_other(tag, attrs), self._name(tag, attrs))
         self.at.children.append(node)
         self.at = node
 
@@ -104,13 +119,10 @@ class TreeBuilder(HTMLParser):
     def _is_other(self, tag: str, attrs) -> bool:
         if tag in NO_TEXT:
             return True
-        inside = self.at
-        while inside is not None and inside.tag not in ("article", "main"):
-            inside = inside.parent
         if tag == "header":
-            return inside is None
+            return not self.at.within
         if tag in ("html", "body", "article", "main"):
-            return tag == "article" and inside is not None and any(k in ("class", "id") and self._named(v) for k, v in attrs)
+            return False
         for key, value in attrs:
             if key == "hidden" or (key == "aria-hidden" and value == "true"):
                 return True
@@ -118,13 +130,24 @@ class TreeBuilder(HTMLParser):
                 return True
             if key == "style" and value and "display:none" in value.replace(" ", ""):
                 return True
-            if key in ("class", "id") and self._named(value):
-                return True
         return False
 
-    @staticmethod
-    def _named(value: str | None) -> bool:
-        return bool(value) and not OTHER_NAMES.isdisjoint(_NAME.findall(value.lower()))
+    def _name(self, tag: str, attrs) -> str:
+        """What the class or id names the element as: "other", "talk", or nothing."""
+        if tag in ("html", "body", "main") or (tag == "article" and not self.at.within):
+            return ""
+        heads = {head_name(name) for key, value in attrs if key in ("class", "id") and value for name in value.lower().split()}
+        return "talk" if heads & TALK_NAMES else "other" if heads & OTHER_NAMES else ""
+
+
+def head_name(name: str) -> str:
+    """The word that says what a compound name names: comment of comment-list, nothing of no-sidebar."""
+    words = _NAME.findall(name)
+    if not NAME_NEGATIONS.isdisjoint(words):
+        return ""
+    while len(words) > 1 and (words[-1] in NAME_TAILS or len(words[-1]) == 1):
+        words.pop()
+    return words[-1] if words else ""
 
 
 def parse(html: str) -> Node:
@@ -158,6 +181,43 @@ def text_sizes(nodes: list[Node]) -> None:
             node.parent.linked += node.linked
 
 
+def leave_out_named(root: Node) -> None:
+    """Skip named elements, outermost first, unless the text says that they hold the article.
+
+    An element is compared with the text without a name in its scope: the nearest
+    article, main or kept named element around it, or the page. It stays if it
+    has more than that text and all articles of the scope, or over three times
+    that text and no article of the scope lies outside. Comments stay only
+    around a main element.
+    """
+    nodes = in_order(root)
+    text_sizes(nodes)
+    for node in reversed(nodes):
+        node.articles += node.tag in ("article", "main") and not node.named and node.plain > 0
+        if node.parent is not None:
+            node.parent.articles += node.articles
+            node.parent.marked += node.plain if node.named else node.marked
+    mains = {n for n in nodes if n.tag == "main"}
+    todo = [(root, root)]
+    while todo:
+        node, scope = todo.pop()
+        if node.named:
+            around = scope.plain - scope.marked
+            outside = scope.articles - (scope.tag in ("article", "main")) - node.articles
+            if node.named == "talk":
+                stays = bool(mains) and any(n in mains for n in in_order(node))
+            else:
+                stays = outside <= 0 and node.plain > (1 if node.articles else 3) * around
+            if not stays:
+                node.skip = True
+                continue
+        if node.named or node.tag in ("article", "main"):
+            scope = node
+        todo.extend((c, scope) for c in node.children if isinstance(c, Node) and not c.skip)
+    for node in nodes:
+        node.size = node.linked = 0
+
+
 def own_text(node: Node) -> str:
     """The text of a paragraph without that of blocks inside it."""
     parts, todo = [], [node]
@@ -193,6 +253,7 @@ def score(nodes: list[Node]) -> None:
 
 def article_nodes(root: Node) -> list[Node]:
     """The best container with the siblings that belong to it, in page order."""
+    leave_out_named(root)
     nodes = in_order(root)
     text_sizes(nodes)
     score(nodes)
