@@ -348,10 +348,61 @@ def test_mix_targets_copies_and_reruns(make):
     assert mixing.mix(make([])).count() == 0
 
 
+def copies_by_hand(rows, seed=3, most=3):
+    """Copies per distinct (source, doc_id, size): the scale by bisection, then a sorted ranking and its nearest prefix."""
+    sized = [(doc, source, len(WORD.findall(text or ""))) for doc, text, source in rows]
+    totals = Counter()
+    for _, source, size in sized:
+        totals[source] += size
+    copies = {}
+    for source, target in targets_by_hand(dict(totals)).items():
+        docs = [(doc, size) for doc, s, size in sized if s == source]
+        whole = min(most, int(target / totals[source])) if totals[source] else 0
+        lack = target - whole * totals[source] if whole < most else 0.0
+        copies.update({(source, doc, size): whole for doc, size in docs})
+        low, high = 0.0, 1e12
+        for _ in range(200):
+            scale = (low + high) / 2
+            low, high = (scale, high) if sum(size * min(1, size / scale) for _, size in docs) > lack else (low, scale)
+        if lack <= 0:
+            continue
+        ranked = []
+        for doc, size in docs:
+            if size >= scale:
+                copies[source, doc, size] += 1 if copies[source, doc, size] == whole else 0
+                lack -= size
+            elif size:
+                digest = hashlib.md5(f"{seed}:{'null' if doc is None else doc}".encode()).hexdigest()
+                u, odds = (int(digest[:13], 16) + 0.5) / 2**52, (size / scale) / (1 - size / scale)
+                ranked.append((u / (1 - u) / odds, (doc is None, doc or 0), size, doc))
+        ranked.sort(key=lambda r: r[:3])
+        ends = [(abs(sum(r[2] for r in ranked if r[:3] <= last[:3]) - lack), last[:3]) for last in ranked]
+        best = min(ends, default=None)
+        if best and best[0] <= lack:
+            for r in ranked:
+                if r[:3] <= best[1]:
+                    copies[source, r[3], r[2]] = whole + 1
+    return copies
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_mix_takes_what_a_sorted_ranking_takes(make, seed):
+    rng = random.Random(seed)
+    rows = [(i, prose(rng, rng.choice([0, 1, 1, 2, 5, 9, 30, 200])), rng.choice(["a"] * 9 + ["b", "c", "d", None])) for i in range(300)]
+    rows += [(900, None, "a"), (901, "", "empty"), (None, "x y", "b"), (902, "x y", "b"), rows[5], rows[6], (903, prose(rng, 4000), "a")]
+    expected = copies_by_hand(rows)
+    found = mixing.mix(make(rows)).collect()
+    assert len(found) == len(rows)
+    assert {(r.source, r.doc_id, r.size): r.copies for r in found} == expected
+    long = [r.copies for r in found if r.source == "a" and r.size >= 200]
+    short = [r.copies for r in found if r.source == "a" and 0 < r.size <= 2]
+    assert sum(long) / len(long) > sum(short) / len(short)
+
+
 def test_mixed_keeps_columns_named_like_its_own(make):
     rng = random.Random(15)
     docs = make([(i, prose(rng, rng.randint(0, 20)), rng.choice(["a", "a", "b", None])) for i in range(80)])
-    names = "size s p whole target source_size cut_bucket cut_inner cut_rank cut_doc cut_size copies copy row rank lack".split()
+    names = "size s p scale sure whole target source_size cut_bucket cut_inner cut_rank cut_doc cut_size copies copy row rank lack".split()
     wide = docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names])
     found = mixing.mixed(wide)
     assert found.columns == wide.columns

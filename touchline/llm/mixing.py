@@ -1,16 +1,19 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target in words. A document of a source whose target is m
-times its size has an expected number of copies m: the whole copies are certain,
-and the fraction p that is left is the inclusion probability of one more. Within
-a source, documents are ranked by random odds divided by inclusion odds,
-(u / (1 - u)) / (p / (1 - p)), and the first ones are taken until their words
-come nearest to what the target still lacks.
+Every source gets a target in words. A target of m times the source's size gives
+each document floor(m) certain copies. The words that are then lacking are
+sampled with inclusion probabilities in proportion to document size: a document
+of `size` words has one more copy with probability size / scale. Documents of
+`scale` words or more have it for certain, and the scale is renormalised so that
+the expected words of all documents are what lacks. The others are ranked by
+random odds divided by inclusion odds, (u / (1 - u)) / (p / (1 - p)), and the
+first ones are taken until their words come nearest to what is still lacking.
 
 No source is sorted as a whole. The ranks are mapped to (0, 1) and counted in
 words per bucket, twice, each time inside the bucket that holds the cut; only
-what then shares a bucket with the cut is put in order. The outcome is one cut
-per source, so decisions apply row by row and reruns agree.
+what then shares a bucket with the cut is put in order. The scale comes from the
+number of documents per source and size. The outcome is one cut per source, so
+decisions apply row by row and reruns agree.
 """
 
 from __future__ import annotations
@@ -61,18 +64,43 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
 def _rank(seed: int) -> Column:
     """Random odds over inclusion odds; null where no copy is left to chance."""
-    u = uniform(F.col("doc_id"), seed)
-    return F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
+    u, p = uniform(F.col("doc_id"), seed), F.col("size") / F.col("scale")
+    return F.when((F.col("size") > 0) & (F.col("size") < F.col("scale")), (u / (1 - u)) / (p / (1 - p)))
+
+
+def inclusion_scales(sizes: DataFrame, lacking: DataFrame) -> DataFrame:
+    """s, scale, sure: the scale of each source of `lacking` (s, lack > 0), and the words of its documents of that size or more.
+
+    With the documents below size c sampled and the others certain, the scale is
+    (sum of squared sizes below c) / (lack - words from c on); the smallest c
+    that is not below its own scale is the one. The windows run over distinct
+    sizes of a source, not over documents.
+    """
+    same = F.col("source").eqNullSafe(F.col("s"))
+    counts = sizes.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.join(lacking, same).select("s", "lack", "size", "n", (F.col("size") * F.col("n")).alias("words"))
+    by_size = Window.partitionBy("s").orderBy("size")
+    below = by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    squares = F.sum(F.col("size").cast("double") * F.col("words")).over(below)
+    sure = F.coalesce(F.sum("words").over(by_size.rowsBetween(1, Window.unboundedFollowing)), F.lit(0).cast("long"))
+    rows = rows.select("s", "lack", "size", squares.alias("squares"), sure.alias("sure"), F.lead("size").over(by_size).alias("next"))
+    rows = rows.filter("lack > sure").withColumn("scale", F.col("squares") / (F.col("lack") - F.col("sure")))
+    fits = rows.filter(F.col("next").isNull() | (F.col("scale") <= F.col("next")))
+    least = fits.groupBy("s").agg(F.min(F.struct("size", "scale", "sure")).alias("found"))
+    return least.select("s", F.col("found.scale").alias("scale"), F.col("found.sure").alias("sure"))
 
 
 def source_cuts(sizes: DataFrame, targets: DataFrame, seed: int, most: int = MOST_COPIES) -> DataFrame:
-    """source, source_size, target, whole, p, and the last taken (cut_rank, cut_doc, cut_size), null where none is taken."""
+    """source, source_size, target, whole, scale, and the last taken (cut_rank, cut_doc, cut_size), null where none is taken."""
     m = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plans = targets.withColumn("whole", F.least(F.floor(m), F.lit(most)).cast("long")).withColumn("p", F.when(F.col("whole") < most, m - F.col("whole")).otherwise(0.0))
-    plans = materialize(plans.withColumn("lack", F.col("target") - F.col("whole") * F.col("source_size")))
-    left = plans.select(F.col("source").alias("s"), "p", "lack").filter("p > 0")
+    plans = targets.withColumn("whole", F.least(F.floor(m), F.lit(most)).cast("long"))
+    lack = F.when(F.col("whole") < most, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(F.lit(0.0))
+    plans = materialize(plans.withColumn("lack", lack))
+    scales = inclusion_scales(sizes, plans.filter("lack > 0").select(F.col("source").alias("s"), "lack"))
     same = F.col("source").eqNullSafe(F.col("s"))
-    ranked = sizes.filter("size > 0").join(left, same).withColumn("rank", _rank(seed)).drop("s", "p")
+    plans = materialize(plans.join(scales, same, "left").drop("s").withColumn("lack", F.col("lack") - F.coalesce("sure", F.lit(0).cast("long"))).drop("sure"))
+    left = plans.select(F.col("source").alias("s"), "scale", "lack").filter("scale IS NOT NULL")
+    ranked = sizes.filter("size > 0").join(left, same).withColumn("rank", _rank(seed)).drop("s", "scale").filter("rank IS NOT NULL")
     ranked = ranked.withColumn("place", F.col("rank") / (1 + F.col("rank")) * BUCKETS).withColumn("bucket", F.floor("place"))
     ranked = ranked.withColumn("inner", F.floor((F.col("place") - F.col("bucket")) * BUCKETS))
 
@@ -116,9 +144,10 @@ def apply_cuts(rows: DataFrame, cuts: DataFrame, seed: int) -> DataFrame:
     before = (bucket < F.col("cut_bucket")) | ((bucket == F.col("cut_bucket")) & (inner < F.col("cut_inner")))
     upto = (rank < F.col("cut_rank")) | ((rank == F.col("cut_rank")) & ((doc < F.col("cut_doc")) | ((doc == F.col("cut_doc")) & (F.col("size") <= F.col("cut_size")))))
     here = (bucket == F.col("cut_bucket")) & (inner == F.col("cut_inner")) & F.coalesce(upto, F.lit(False))
-    extra = F.when((F.col("size") > 0) & F.coalesce(before | here, F.lit(False)), 1).otherwise(0)
+    certain = (F.col("size") > 0) & F.coalesce(F.col("size") >= F.col("scale"), F.lit(False))
+    extra = F.when(certain | ((F.col("size") > 0) & F.coalesce(before | here, F.lit(False))), 1).otherwise(0)
     joined = rows.join(plan, rows["source"].eqNullSafe(plan["s"]))
-    return joined.withColumn("copies", F.col("whole") + extra).drop("s", "whole", "p", "cut_bucket", "cut_inner", "cut_rank", "cut_doc", "cut_size")
+    return joined.withColumn("copies", F.col("whole") + extra).drop("s", "whole", "scale", "cut_bucket", "cut_inner", "cut_rank", "cut_doc", "cut_size")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES, seed: int = 3) -> DataFrame:

@@ -83,4 +83,50 @@ WARC = """
     FROM fives
 """
 
-ORACLE_SQL = {"op2_warc": WARC, "op13_manifest": manifest()}
+# Sources in turn weigh 1, 2, 3; levels of filling; then size-proportional inclusion and the prefix by rank nearest to what lacks.
+MIX = """
+    WITH sizes AS (
+        SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
+    ), totals AS (
+        SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM sizes GROUP BY source
+    ), levels AS (
+        SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+            / sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+        FROM totals WINDOW f AS (ORDER BY source_size * 3 / w, source NULLS LAST)
+    ), targets AS (
+        SELECT source, source_size, least(source_size * 3.0::DOUBLE, max(level) OVER () * w) AS target FROM levels
+    ), plans AS (
+        SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3)::BIGINT ELSE 0 END AS whole FROM targets
+    ), lacking AS (
+        SELECT *, CASE WHEN whole < 3 THEN target - whole * source_size ELSE 0 END AS lack FROM plans
+    ), counts AS (SELECT source, size, size * count(*) AS words FROM sizes WHERE size > 0 GROUP BY source, size
+    ), tried AS (
+        SELECT p.source, p.lack, c.size, sum(c.size::DOUBLE * c.words) OVER (s ROWS UNBOUNDED PRECEDING) AS squares,
+            coalesce(sum(c.words) OVER (s ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)::BIGINT AS sure, lead(c.size) OVER s AS next
+        FROM counts AS c JOIN lacking AS p ON c.source IS NOT DISTINCT FROM p.source AND p.lack > 0
+        WINDOW s AS (PARTITION BY p.source ORDER BY c.size)
+    ), scales AS (
+        SELECT source, arg_min(squares / (lack - sure), size) AS scale, arg_min(sure, size) AS sure, any_value(lack) AS lack
+        FROM tried WHERE lack > sure AND (next IS NULL OR squares / (lack - sure) <= next) GROUP BY source
+    ), drawn AS (
+        SELECT z.doc_id, z.source, z.size, s.lack - s.sure AS lack, z.size / s.scale AS p,
+            (('0x' || substr(md5('3:' || coalesce(z.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+        FROM sizes AS z JOIN scales AS s ON z.source IS NOT DISTINCT FROM s.source AND z.size > 0 AND z.size < s.scale
+    ), ranked AS (
+        SELECT *, (u / (1 - u)) / (p / (1 - p)) AS rank FROM drawn
+    ), summed AS (
+        SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id NULLS LAST, size) AS upto FROM ranked
+    ), ends AS (
+        SELECT DISTINCT source, upto, abs(upto - lack) AS miss FROM summed UNION ALL SELECT source, 0, any_value(lack) FROM summed GROUP BY source
+    ), cuts AS (SELECT source, upto FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY miss, (upto = 0), upto) AS k FROM ends) WHERE k = 1
+    ), taken AS (
+        SELECT DISTINCT s.doc_id, s.source, s.size FROM summed AS s JOIN cuts AS c ON s.source IS NOT DISTINCT FROM c.source AND s.upto <= c.upto
+    )
+    SELECT z.doc_id, z.size, p.source_size, p.target,
+        (z.size * (p.whole + CASE WHEN z.size > 0 AND (z.size >= s.scale OR t.size IS NOT NULL) THEN 1 ELSE 0 END))::BIGINT AS taken
+    FROM sizes AS z JOIN plans AS p ON z.source IS NOT DISTINCT FROM p.source
+    LEFT JOIN scales AS s ON z.source IS NOT DISTINCT FROM s.source
+    LEFT JOIN taken AS t ON z.source IS NOT DISTINCT FROM t.source AND z.doc_id IS NOT DISTINCT FROM t.doc_id AND z.size = t.size
+"""
+
+ORACLE_SQL = {"op2_warc": WARC, "op6_mix": MIX, "op13_manifest": manifest()}
