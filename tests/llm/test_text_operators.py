@@ -31,7 +31,7 @@ def prose(rng, n):
 def quality_by_hand(rows, share=0.1, least=3):
     key = lambda line: re.sub(r"[\x20\x09-\x0D0-9]+", " ", line.lower()).strip(" ")
     docs, counts = Counter(), Counter()
-    for _, text, host in rows:
+    for text, host in {(text, host) for _, text, host in rows}:  # rows of equal text are one document of a host
         docs[host] += 1
         counts.update((host, k) for k in {key(x) for x in (text or "").split("\n") if WORD.search(x)})
     out = []
@@ -77,6 +77,17 @@ def test_common_lines_of_large_and_small_hosts(make):
     assert len(found) == len(rows)
 
 
+def test_copies_do_not_make_their_own_lines_common(make):
+    rng = random.Random(14)
+    text, other = prose(rng, 30) + "\n" + prose(rng, 30), prose(rng, 40)
+    rows = [(1, text, "h")] * 20 + [(100 + i, other, "h") for i in range(25)] + [(200, None, "h"), (200, None, "h")]
+    found = quality.quality(make(rows)).collect()
+    assert len(found) == len(rows)
+    assert all(r.kept and r.clean_text == (text if r.doc_id == 1 else other) for r in found if r.doc_id != 200)
+    again = quality.quality(make(rows + [(300 + i, prose(rng, 12) + "\n" + other, "h") for i in range(20)])).collect()
+    assert all(not r.kept and r.words_left == 0 for r in again if 100 <= r.doc_id < 125)
+
+
 def test_quality_runs_no_python(make):
     plan = quality.quality(make([(1, "a b", "h")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

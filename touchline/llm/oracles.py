@@ -129,4 +129,35 @@ MIX = """
     LEFT JOIN taken AS t ON z.source IS NOT DISTINCT FROM t.source AND z.doc_id IS NOT DISTINCT FROM t.doc_id AND z.size = t.size
 """
 
-ORACLE_SQL = {"op2_warc": WARC, "op6_mix": MIX, "op13_manifest": manifest()}
+QUALITY = r"""
+    WITH rows AS (SELECT row_number() OVER () AS r, doc_id, text, source FROM documents
+    ), worded AS (SELECT *, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM rows
+    ), windows AS (
+        SELECT r, place, count(*) OVER (PARTITION BY r, five) AS n FROM (
+            SELECT r, unnest(range(1, len(words) - 3)) AS place, array_to_string(list_slice(words, place, place + 4), ' ') AS five FROM worded WHERE len(words) > 4)
+    ), repeats AS (
+        SELECT r, sum(least(5, next - place))::BIGINT AS n_repeat_words FROM (
+            SELECT r, place, coalesce(lead(place) OVER (PARTITION BY r ORDER BY place), place + 5) AS next FROM windows WHERE n > 1) GROUP BY r
+    ), split AS (SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM rows
+    ), lines AS (
+        SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D0-9]+', ' ', 'g'), ' ') AS key, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+        FROM split WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+    ), hosts AS (SELECT source, count(DISTINCT coalesce(text, chr(0))) AS docs FROM rows GROUP BY source
+    ), common AS (
+        SELECT c.source, c.key FROM (SELECT source, key, count(DISTINCT text) AS n FROM lines GROUP BY source, key) AS c
+        JOIN hosts AS h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n >= 20 OR (c.n >= 3 AND c.n > 0.1 * h.docs)
+    ), lined AS (
+        SELECT l.r, count(*) - count(DISTINCT l.line) AS n_dup_lines, coalesce(sum(l.n) FILTER (c.key IS NOT NULL), 0)::BIGINT AS gone
+        FROM lines AS l LEFT JOIN common AS c ON l.source IS NOT DISTINCT FROM c.source AND l.key = c.key GROUP BY l.r
+    ), counted AS (
+        SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+            coalesce(len(regexp_extract_all(text, '[#*$%&|<>]')), 0)::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+            coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(words) - coalesce(gone, 0)::BIGINT AS words_left
+        FROM worded LEFT JOIN repeats USING (r) LEFT JOIN lined USING (r)
+    )
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND words_left >= 10 AND words_left >= 0.5 * n_words AS kept
+    FROM counted
+"""
+
+ORACLE_SQL = {"op1_quality": QUALITY, "op2_warc": WARC, "op6_mix": MIX, "op13_manifest": manifest()}

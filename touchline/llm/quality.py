@@ -1,7 +1,9 @@
 """Quality rules: base counts of a text, and lines that too many documents of a host share.
 
 Built from SQL functions only. Lines are normalised and hashed, and counted once
-per document and host, with partial counts before the shuffle. Lines on a fixed
+per distinct document and host, with partial counts before the shuffle: rows of
+equal text on one host are one document, so copies do not make a document's own
+lines common. Lines on a fixed
 number of a host's documents are boilerplate there, and so are lines on a share
 of a small host's; what a document has left without them decides whether it is
 depleted. Common lines and the lines of documents meet in a join by host and
@@ -59,9 +61,17 @@ def words_in_repeats(keys: Column) -> Column:
 
 
 def placed_lines(rows: DataFrame) -> DataFrame:
-    """host, t1, t2 (hashes of host and text, 128 bits) and the key and words of each line, in order; one row per document."""
+    """host, t1, t2 (hashes of host and text, 128 bits) and the key and words of each line, in order; one row per distinct document."""
     pair = lambda line: F.struct(line_key(line).alias("line"), F.size(words_of(line)).alias("n"))
-    return materialize(rows.select("host", "t1", "t2", F.transform(lines_of(F.col("text")), pair).alias("lines")))
+    lines = F.transform(lines_of(F.col("text")), pair).alias("lines")
+    return distinct_texts(materialize(rows.select(F.monotonically_increasing_id().alias("row"), "host", "t1", "t2", lines)))
+
+
+def distinct_texts(placed: DataFrame) -> DataFrame:
+    """One row per text of a host. Only hashes and row numbers are shuffled to find the later copies."""
+    copies = placed.groupBy("t1", "t2").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("t1", "t2", "first")
+    found = placed.join(copies, ["t1", "t2"], "left")
+    return found.filter(F.col("first").isNull() | (F.col("row") == F.col("first"))).drop("row", "first")
 
 
 def common_lines(placed: DataFrame, share: float, least_docs: int, least_shared: int) -> DataFrame:
@@ -97,8 +107,8 @@ def quality(
     document still has `least_words` words and `least_left` of its words.
     clean_text is the text without these lines (null for a null text).
 
-    A null text has no words. Null hosts are one host; a row is a document,
-    whatever its id. Other columns of `docs` are not looked at. No rows, no rows.
+    A null text has no words. Null hosts are one host. Rows of one host with equal
+    texts count as one document, whatever their ids; each gets its own result row. Other columns of `docs` are not looked at. No rows, no rows.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(host_column).alias("host"))
     rows = rows.withColumns({"t1": F.xxhash64("host", "text"), "t2": F.xxhash64(F.lit(1), F.col("host").isNull(), "host", "text")})
