@@ -96,6 +96,27 @@ def test_free_transfers(spark, made, chips, available, hits):
     assert [r["available_before"] for r in got] == available and [r["hit_count"] for r in got] == hits
 
 
+def test_free_transfers_of_many_entries_match_a_loop(spark):
+    rng = random.Random(8)
+    log = [(e, rng.randint(1, 12)) for e in range(1, 60) for _ in range(rng.randint(0, 25))] + [(None, 3), (99, 3)]
+    chips = [(e, rng.randint(2, 10), "freehit") for e in range(1, 60, 4)]
+    entries = spark.createDataFrame([(e,) for e in [*range(1, 60), 5, None]], "entry bigint")
+    activity = squad.activity_per_gw(
+        spark.createDataFrame(log, "entry bigint, event bigint"), spark.createDataFrame(chips, "entry bigint, event bigint, name string")
+    )
+    got = {(r.entry, r.event): (r.available_before, r.used, r.hit_count) for r in squad.free_transfers(entries, activity, 10, cap=4).collect()}
+    expected = {}
+    for e in [*range(1, 60), None]:
+        have = 1
+        for g in range(2, 11):
+            made = 0 if e is None or (e, g, "freehit") in chips else log.count((e, g))
+            expected[e, g] = (have, made, max(made - have, 0))
+            have = min(4, max(have - made, 0) + 1)
+    assert got == expected
+    assert squad.free_transfers(entries, activity, 1).count() == 0
+    assert squad.free_transfers(entries.limit(0), activity, 10).count() == 0
+
+
 def universe(seed, extra=4):
     """15 owned players plus some candidates per position, with random values."""
     rng = random.Random(seed)

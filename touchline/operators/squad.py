@@ -6,6 +6,8 @@ over one squad are short; transfer logs are never collected whole.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,45 +29,47 @@ def activity_per_gw(transfers: DataFrame, chips: DataFrame) -> DataFrame:
     )
 
 
-def accrue(available: Column, made: Column, is_chip_week: Column, cap: int = 5) -> Column:
-    """Free transfers after a round: what is left plus one, up to the cap."""
-    left = F.when(is_chip_week, available).otherwise(F.greatest(available - made, F.lit(0)))
-    return F.least(F.lit(cap).cast("bigint"), left + 1)
-
-
 def free_transfers(entries: DataFrame, activity: DataFrame, through: int, start: int = 2, cap: int = 5) -> DataFrame:
     """Per entry and round: transfers available before it, used, and hits.
 
-    The recurrence runs over at most `through` steps per entry, inside one
-    expression; rounds without activity count as zero transfers.
+    What is left after a round, plus one, up to the cap, is there before the next.
+    A season's activity of an entry is one short list; the rounds are stepped
+    through once for a whole batch of entries, as columns. Rounds without activity
+    count as zero transfers, several activity rows of a round add up, and a null
+    entry has no activity. `through` before `start` gives no rows.
     """
-    # One activity row per (entry, event), so the list is no longer than the season.
-    log = activity.filter(F.col("event").between(start, through)).groupBy("entry").agg(
-        F.map_from_entries(F.collect_list(F.struct("event", F.struct("made", "is_chip_week")))).alias("_log")
-    )
-    joined = entries.select("entry").distinct().join(log, "entry", "left")
-
-    def step(state: Column, event: Column) -> Column:
-        cell = F.try_element_at(F.col("_log"), event)
-        made = F.coalesce(cell["made"], F.lit(0)).cast("bigint")
-        chip = F.coalesce(cell["is_chip_week"], F.lit(False))
-        before = state["available"]
-        row = F.struct(
-            event.alias("event"), before.alias("available_before"),
-            F.when(chip, F.lit(0)).otherwise(made).cast("bigint").alias("used"),
-            F.when(chip, F.lit(0)).otherwise(F.greatest(made - before, F.lit(0))).cast("bigint").alias("hit_count"),
-        )
-        return F.struct(
-            accrue(before, made, chip, cap).alias("available"), F.concat(state["rows"], F.array(row)).alias("rows")
-        )
-
-    empty = F.expr(
-        "named_struct('available', 1L, 'rows', "
-        "cast(array() as array<struct<event:bigint,available_before:bigint,used:bigint,hit_count:bigint>>))"
+    rounds = max(0, through - start + 1)
+    move = F.struct(
+        (F.col("event") - start).cast("int").alias("at"), F.coalesce("made", F.lit(0)).cast("bigint").alias("made"),
+        F.coalesce("is_chip_week", F.lit(False)).alias("chip"),
     )
-    events = F.sequence(F.lit(start).cast("bigint"), F.lit(through).cast("bigint"))
-    states = F.aggregate(events, empty, step, lambda s: s["rows"])
-    return joined.select("entry", F.explode(states).alias("_s")).select("entry", "_s.*")
+    log = activity.filter(F.col("event").between(start, through)).groupBy("entry").agg(F.collect_list(move).alias("log"))
+    none = F.expr("cast(array() as array<struct<at:int,made:bigint,chip:boolean>>)")
+    joined = entries.select("entry").distinct().join(log, "entry", "left").select("entry", F.coalesce("log", none).alias("log"))
+
+    def replay(batches):
+        for batch in batches:
+            n, moves = batch.num_rows, batch.column("log").flatten()
+            who = np.repeat(np.arange(n), batch.column("log").value_lengths().to_numpy(zero_copy_only=False))
+            at = moves.field("at").to_numpy(zero_copy_only=False)
+            made, chip = np.zeros((n, rounds), np.int64), np.zeros((n, rounds), bool)
+            np.add.at(made, (who, at), moves.field("made").to_numpy(zero_copy_only=False))
+            np.logical_or.at(chip, (who, at), moves.field("chip").to_numpy(zero_copy_only=False))
+            made[chip] = 0
+            before = np.ones((n, rounds + 1), np.int64)
+            for g in range(rounds):
+                before[:, g + 1] = np.minimum(cap, np.maximum(before[:, g] - made[:, g], 0) + 1)
+            before = before[:, :rounds]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("entry").take(pa.array(np.repeat(np.arange(n), rounds))), pa.array(np.tile(np.arange(start, start + rounds), n)),
+                    pa.array(before.ravel()), pa.array(made.ravel()), pa.array(np.maximum(made - before, 0).ravel()),
+                ],
+                ["entry", "event", "available_before", "used", "hit_count"],
+            )
+
+    entry = joined.schema["entry"].dataType.simpleString()
+    return joined.mapInArrow(replay, f"entry {entry}, event bigint, available_before bigint, used bigint, hit_count bigint")
 
 
 # ------------------------------------------------------------- reconstruction
