@@ -53,6 +53,22 @@ def test_double_round_is_merged(spark, tmp_path):
     assert list(normalized(spark, tmp_path, rows).columns) == merge.FACT_COLUMNS
 
 
+def test_wide_rows_are_not_exchanged_by_fixture(spark, tmp_path):
+    """Fixtures that are too many to broadcast meet the fact's key, not the statistics; a null season is a season."""
+    rows = [csv_row(1, 1, 1), csv_row(1, 1, 2, home=False)]
+    raw = files.read_player_fixtures(spark, write_csv(tmp_path / "gw.csv", rows), "s").withColumn("season", F.lit(None).cast("string"))
+    fixtures = spark.createDataFrame([(1, 5, 1), (2, 2, 4)], "fixture bigint, team_h_difficulty bigint, team_a_difficulty bigint")
+    teams = spark.createDataFrame([(1, "Leeds"), (2, "Spurs")], "id bigint, name string")
+    fact = merge.normalize_season(raw, fixtures, teams, [])
+    plan = fact._jdf.queryExecution().optimizedPlan().toString()
+    left = plan[plan.index("Join LeftOuter, (fixture"):].splitlines()[1]
+    assert "Project" in left and "was_home" in left and "minutes" not in left and "influence" not in left
+    got = fact.collect()
+    assert len(got) == 1 and got[0]["n_fixtures"] == 2 and got[0]["opponent_difficulty"] == 4.5
+    few = merge.normalize_season(raw, fixtures, teams, [], columns=["season", "gw", "element_id", "minutes", "team"])
+    assert few.columns == ["season", "gw", "element_id", "team", "minutes"] and few.first()["team"] == got[0]["team"]
+
+
 def test_absent_optional_columns_are_null_and_managers_are_left_out(spark, tmp_path):
     rows = [csv_row(1, 1, 1), csv_row(9, 1, 1, position="AM")]
     got = normalized(spark, tmp_path, rows, drop=merge.OPTIONAL_STATS).collect()
