@@ -178,3 +178,21 @@ def test_the_walk_exchanges_no_fact_rows(spark):
     # what is left deals the cells of the rounds
     assert all("season" in line and "element_id" not in line for line in exchanges) and "Bucketed: true" in plan
     assert "SortMergeJoin" not in plan and fact.count() == 6 * 29
+
+
+def test_frozen_rounds_are_held_against_the_fact_they_were_walked_on(spark, monkeypatch):
+    """The fact is merged and stored once, with the columns that a walk reads."""
+    from catalog import queries
+
+    rows = make_fact(spark, [dict(gw=g, element_id=e, total_points=e + g) for g in range(1, 5) for e in range(1, 6)])
+    built = []
+
+    def fact(t, columns=merge.FACT_COLUMNS):
+        built.append(columns)
+        return rows.select(*[c for c in columns if c in rows.columns])
+
+    monkeypatch.setattr(queries, "fact", fact)
+    for name in ("evaluate_players", "calibrate_players"):
+        built.clear()
+        assert getattr(queries, name)(None).count() > 0
+        assert built == [wf.WALK_COLUMNS]
