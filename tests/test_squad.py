@@ -269,3 +269,42 @@ def test_a_round_without_any_record_has_no_points(spark):
     actuals = spark.createDataFrame([(1, 1, 10)], "gw bigint, element_id bigint, total_points bigint")
     rounds = picks(spark).withColumn("gw", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))))
     assert [r["gw"] for r in squad.lineup_points(rounds, actuals).collect()] == [1]
+
+
+def test_legality_deals_squads_once_into_partitions_that_stay_apart(spark):
+    rows = [(e, 15 * e + i, SHAPE[i], f"C{i}", 50) for e in range(40) for i in range(15)]
+    squads = spark.createDataFrame(rows, "entry bigint, element_id bigint, position string, club string, selling_price bigint")
+    verdict = squad.legality(squads)
+    plan = verdict._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(entry") == plan.count("REPARTITION_BY_NUM") >= 1
+    assert verdict.filter("is_legal AND n_distinct = 15").count() == 40
+
+
+def test_line_ups_are_not_gathered_in_few_tasks(spark):
+    rows = [(e, i, SHAPE[i], 50) for e in range(40) for i in range(15)]
+    squads = spark.createDataFrame(rows, "entry bigint, element_id bigint, position string, selling_price bigint")
+    projections = spark.createDataFrame([(i, 1, float(i)) for i in range(15)], "element_id bigint, gw bigint, points double")
+    laid = squad.best_lineup(squads, projections, [1])
+    assert laid.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and laid.filter("in_xi").count() == 40 * 11
+
+
+def test_picks_are_made_in_all_partitions(spark, tmp_path):
+    """One small file of entries is read by one task; its squads are made in all."""
+    from catalog.tables import Tables
+
+    spark.range(1, 60).selectExpr("id c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(0, 400).selectExpr("id p_partkey", "'B' p_brand", "CAST(id % 50 AS INT) p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    picks = Tables(spark, str(tmp_path)).picks
+    assert picks.count() == 59 * 15 and picks.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_sold_players_meet_candidates_in_partitions_that_stay_apart(spark):
+    rows = [(1, i, SHAPE[i], f"C{i}", 50) for i in range(15)]
+    squads = spark.createDataFrame(rows, "entry bigint, element_id bigint, position string, club string, selling_price bigint")
+    banks = spark.createDataFrame([(1, 0, 5, 1)], "entry bigint, competition bigint, bank bigint, free_transfers bigint")
+    pool = spark.createDataFrame([(0, 99, "MID", "C99", 50)], "competition bigint, element_id bigint, position string, club string, now_cost bigint")
+    projections = spark.createDataFrame([(99, 1, 9.0)], "element_id bigint, gw bigint, points double")
+    best = swaps.best_single_swap(squads, banks, pool, projections, [1])
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(competition" in plan and "position" in plan.split("REPARTITION_BY_NUM")[0].rsplit("hashpartitioning", 1)[1]
+    assert best.first()["element_in"] == 99

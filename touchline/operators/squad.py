@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from touchline.functions.market import resale_price
 from touchline.operators.segments import DEFAULT_SEGMENT, with_previous
 from touchline.rules import MAX_PER_CLUB, SQUAD_SHAPE, UNLIMITED_CHIPS, XI_MINIMUM, XI_SIZE
+from touchline.sources.store import deal
 
 # ------------------------------------------------------------ free transfers
 
@@ -226,7 +227,7 @@ def best_lineup(squads: DataFrame, projections: DataFrame, horizon: list[int]) -
     best forward must start; of the other outfield players the best fill up.
     """
     # One shuffle by (entry, gw) serves all windows below.
-    rows = with_projections(squads, projections, horizon).repartition("entry", "gw")
+    rows = deal(with_projections(squads, projections, horizon), "entry", "gw")
     best = [F.col("points").desc(), F.col("element_id")]
     squad = Window.partitionBy("entry", "gw")
     rank = F.row_number().over(Window.partitionBy("entry", "gw", "position").orderBy(*best))
@@ -274,7 +275,11 @@ def _shared(df: DataFrame, *columns: str) -> list[str]:
 
 
 def legality(squads: DataFrame, banks: DataFrame | None = None) -> DataFrame:
-    """One row per entry: squad shape, club limit and money, and a verdict."""
+    """One row per entry: squad shape, club limit and money, and a verdict.
+
+    Squads are dealt by entry once, which serves all groups below.
+    """
+    squads = deal(squads, "entry")
     wanted = {p: F.count_if(F.col("position") == p).alias(f"n_{p.lower()}") for p in SQUAD_SHAPE}
     clubs = squads.groupBy("entry", "club").agg(F.count(F.lit(1)).alias("_n")).groupBy("entry").agg(F.max("_n").alias("max_per_club"))
     shape = squads.groupBy("entry").agg(

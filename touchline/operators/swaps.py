@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.rules import MAX_PER_CLUB, POSITIONS, XI_MINIMUM, XI_SIZE
+from touchline.sources.store import deal
 
 TRANSFER_EPSILON = 1e-4
 KEPT_PER_RANK = MAX_PER_CLUB + 1  # at most three of a club are owned already
@@ -204,7 +205,8 @@ def best_single_swap(
         .withColumn("x", F.coalesce("x", none)),
         (*group, "position", "club"),
     ).select(*g, "position", F.col("element_id").alias("element_in"), F.col("club").alias("in_club"), "now_cost", "x")
-    pairs = movable.join(candidates, [*g, "position"]).filter(
+    # A sold player meets all candidates of a position: the partitions stay apart.
+    pairs = deal(movable, *g, "position").join(candidates, [*g, "position"]).filter(
         (F.col("now_cost") <= F.col("budget"))
         & ~F.array_contains("ids", F.col("element_in"))
         & ~F.array_contains("full_clubs", F.col("in_club"))
