@@ -63,6 +63,64 @@ def test_late_is_judged_by_all_order_columns_with_nulls_first():
     assert list(capture._late(rows, (None, 8, 0))) == [False, False, False, True, False, False]
 
 
+def test_rows_without_a_key_value_take_no_other_keys_with_them(spark, tmp_path):
+    """A null key is a key of its own; those next to it in a batch keep their state."""
+    landing, out = str(tmp_path / "in"), str(tmp_path / "out")
+    first = [snap(9, element=e) for e in (None, 1, 2, 3)]
+    second = [snap(h, element=e, cost=51 + e) if e else snap(h, element=None) for e in (None, 1, 2, 3) for h in (8, 7)]
+    for name, rows in (("a", first), ("b", second)):
+        land(spark, landing, name, rows)
+        run(changes.stream_changes(source(spark, landing)).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")))
+    got, want = spark.read.parquet(out), snapshots.changed_rows(spark.createDataFrame(first + second, TYPES))
+    assert rows_of(got) == rows_of(want) and got.count() == 4 + 3
+
+
+def test_value_by_value_equals_whole_columns():
+    """The rules of `_late` and `differs`, on keys with and without a state, with nulls, NaN and repeated order values."""
+    import random
+
+    import pandas as pd
+    from pyspark.sql import Row
+
+    class Value:
+        def __init__(self, kept=None):
+            self.kept = kept
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            return self.kept
+
+        def update(self, kept):
+            self.kept = kept
+
+    rng, payload = random.Random(5), ["k", "ts", "id", "v"]
+    for _ in range(300):
+        last = rng.choice([None, (T0 + timedelta(rng.randrange(4)), rng.choice([None, 1, 2]), rng.choice([None, 1.0, 2.0]))])
+        rows = [
+            Row(k=7, ts=rng.choice([None, *[T0 + timedelta(d) for d in range(4)]]), id=rng.choice([None, 1, 2]), v=rng.choice([None, float("nan"), 1.0, 2.0]))
+            for _ in range(rng.randrange(1, 8))
+        ]
+        capture = changes.ChangeCapture(["v"], ["ts", "id"], ["k"], payload, None)
+        capture.last, capture.n_late = Value(last), Value((4,))
+        got = list(capture.handleInputRows((7,), iter(rows), None))
+        frame = pd.DataFrame(rows, columns=payload).astype({"ts": "datetime64[us]", "id": "float64", "v": "float64"})
+        frame = frame.sort_values(["ts", "id"], kind="stable", na_position="first", ignore_index=True)
+        late = capture._late(frame, last)
+        fresh = frame[~late].reset_index(drop=True)
+        before = pd.concat([pd.DataFrame({"v": [last[2] if last else None]}, dtype=object), fresh[["v"]].iloc[:-1].astype(object)], ignore_index=True)
+        kept = changes.differs(fresh[["v"]], before.iloc[: len(fresh)])
+        if last is None and len(fresh):
+            kept[0] = True
+        plain = lambda x: None if pd.isna(x) else x
+        want = [(7, *[plain(x) for x in r[1:]]) for r in fresh[kept].itertuples(index=False)]
+        assert [(r["k"], r["ts"], r["id"], r["v"]) for r in got if r["kind"] == "changed"] == want
+        assert [r["n_late"] for r in got if r["kind"] == "late"] == ([4 + int(late.sum())] if late.any() else [])
+        if len(fresh):
+            assert tuple(capture.last.kept) == tuple(plain(x) for x in fresh.iloc[-1][["ts", "id", "v"]])
+
+
 def test_differs_takes_nulls_as_equal():
     import pandas as pd
 

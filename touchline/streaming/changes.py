@@ -7,11 +7,11 @@ taken in is dropped, and counted.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -49,27 +49,31 @@ class ChangeCapture(StatefulProcessor):
         self.last = handle.getValueState("last", self.state_schema)
         self.n_late = handle.getValueState("late", "n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", na_position="first", ignore_index=True)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """The rules of `_late` and `differs`, value by value: most keys have one or two rows in a batch."""
         last = self.last.get() if self.last.exists() else None
-        late = self._late(rows, last)
-        fresh = rows[~late].reset_index(drop=True)
-        if len(fresh):
-            values = fresh[self.columns]
-            head = pd.DataFrame([list(last)[len(self.order) :]] if last is not None else [[None] * len(self.columns)], columns=self.columns, dtype=object)
-            before = pd.concat([head, values.iloc[:-1].astype(object)], ignore_index=True)
-            kept = differs(values, before)
-            if last is None:
-                kept[0] = True
-            newest = fresh.iloc[-1]
-            self.last.update(tuple(_plain(newest[c]) for c in [*self.order, *self.columns]))
-            yield fresh.loc[kept, self.payload].assign(kind=CHANGED, n_late=pd.Series(dtype="Int64"))
-        n = int(late.sum())
+        newest, before = None, None
+        if last is not None:
+            newest, before = _placed(last[: len(self.order)]), [_plain(v) for v in last[len(self.order) :]]
+        placed = sorted(((_placed(row[c] for c in self.order), row) for row in rows), key=lambda p: p[0])
+        n = 0
+        for place, row in placed:
+            if newest is not None and place <= newest:
+                n += 1
+                continue
+            values = [_plain(row[c]) for c in self.columns]
+            if newest is None or values != before:
+                yield self._row({c: _plain(row[c]) for c in self.payload}, CHANGED, None)
+            newest, before = place, values
+        if n < len(placed):
+            self.last.update((*[v for _, v in newest], *before))
         if n:
             total = n + (self.n_late.get()[0] if self.n_late.exists() else 0)
             self.n_late.update((total,))
-            known = dict(zip(self.keys, key, strict=True))
-            yield pd.DataFrame([[known.get(c) for c in self.payload]], columns=self.payload, dtype=object).assign(kind=LATE, n_late=total)
+            yield self._row(dict(zip(self.keys, key, strict=True)), LATE, total)
+
+    def _row(self, known: dict, kind: str, n_late: int | None) -> Row:
+        return Row(**{c: known.get(c) for c in self.payload}, kind=kind, n_late=n_late)
 
     def _late(self, rows: pd.DataFrame, last) -> np.ndarray:
         """Rows at or before the state, and rows that repeat an order value of this batch (the first of them counts)."""
@@ -93,12 +97,13 @@ class ChangeCapture(StatefulProcessor):
 
 
 def _plain(value):
-    """A value as the state's row encoder takes it."""
-    if value is None or pd.isna(value):
-        return None
-    if isinstance(value, pd.Timestamp):
-        return value.to_pydatetime()
-    return value.item() if isinstance(value, np.generic) else value
+    """A value, with NaN as null."""
+    return None if value != value else value
+
+
+def _placed(values: Iterable) -> tuple:
+    """Order values so that they compare, nulls first."""
+    return tuple((v is not None, v) for v in map(_plain, values))
 
 
 def change_schema(rows: DataFrame, columns: list[str], keys: tuple[str, ...], order: tuple[str, ...]) -> T.StructType:
@@ -117,23 +122,25 @@ def stream_changes(
     a batch, one row `kind = late` with the number it has had so far in `n_late`.
 
     A key's rows of one micro-batch are put in order of `order`, nulls first, and
-    compared with the row before them as whole columns; the first one is compared
-    with the key's state. Rows equal in `order` are one row, the others late. The
+    compared with the row before them; the first one is compared with the key's state. Rows equal in `order` are one row, the others late. The
     state is a typed value a key, kept in the state store on disk. Rows of one key
     and micro-batch meet in memory, in `keys`, `order` and `columns` only: the
     source's rate options (maxFilesPerTrigger and the like) bound them.
     """
     k, o = list(keys), list(order)
     payload = list(dict.fromkeys([*k, *o, *columns]))
-    source = stream.select(*payload)
+    # An instant is a number in here: rows and state would give it with and without a zone.
+    instants = [c for c in payload if stream.schema[c].dataType == T.TimestampType()]
+    source = stream.select(*payload).withColumns({c: F.unix_micros(c) for c in instants})
     use_state_store(stream.sparkSession)
-    out_schema = change_schema(stream, columns, keys, order)
+    out_schema = change_schema(source, columns, keys, order)
     state = T.StructType(
         [T.StructField(f"order_{i}", source.schema[c].dataType) for i, c in enumerate(o)]
         + [T.StructField(f"value_{i}", source.schema[c].dataType) for i, c in enumerate(columns)]
     )
     capture = ChangeCapture(list(columns), o, k, payload, state)
-    return source.groupBy(*k).transformWithStateInPandas(capture, out_schema, "Append", "None")
+    changed = source.groupBy(*k).transformWithState(capture, out_schema, "Append", "None")
+    return changed.withColumns({c: F.timestamp_micros(c) for c in instants})
 
 
 BUCKETS = 64
