@@ -166,37 +166,34 @@ def segment_texts(rows: DataFrame, length: int) -> DataFrame:
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """The suffixes of a text with unique ends, in order; prefix doubling over the suffixes still tied."""
-    n, base = len(symbols), int(symbols.max()) + 1
-    padded = np.concatenate([symbols + 1, np.zeros(3, np.int64)])
-    span = 3 if (base + 1) ** 3 < 1 << 62 else 1
+    n, base = len(symbols), int(symbols.max()) + 2
+    span = 1
+    while span < 8 and base ** (span + 1) < 1 << 62:
+        span += 1
+    padded = np.concatenate([symbols + 1, np.zeros(span, np.int64)])
     key = padded[:n].copy()
     for i in range(1, span):
-        key = key * (base + 1) + padded[i : n + i]
+        key *= base
+        key += padded[i : n + i]
     order = np.argsort(key)
-    rank = np.empty(n, np.int64)
-
-    def heads(sorted_key):
-        return np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-
-    head = heads(key[order])
-    at = np.flatnonzero(head)
-    rank[order] = np.repeat(at, np.diff(np.append(at, n)))  # a rank is the place of its group's first suffix
+    rank = np.zeros(n, np.int64)  # a rank is one more than the place of its group's first suffix
+    places, rows = np.arange(n), order  # of the suffixes still tied
+    key = key[order]
     while True:
-        sizes = np.diff(np.append(at, n))
-        tied = np.repeat(sizes > 1, sizes)
+        edge = np.concatenate([[True], key[1:] != key[:-1], [True]])
+        first = np.flatnonzero(edge)
+        group = np.repeat(places[first[:-1]], np.diff(first)) + 1
+        rank[rows] = group
+        tied = ~(edge[:-1] & edge[1:])
         if not tied.any():
             return order
-        places = np.flatnonzero(tied)
-        rows = order[places]
+        places, rows, group = places[tied], rows[tied], group[tied]
         after = rows + span
-        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        key = rank[rows] * (n + 1) + second
+        key = np.where(after < n, rank[np.minimum(after, n - 1)], 0)
+        key += group * (n + 1)
         by = np.argsort(key)
-        order[places] = rows[by]
-        group = heads(key[by])
-        head[places] = group
-        at = np.flatnonzero(head)
-        rank[order] = np.repeat(at, np.diff(np.append(at, n)))
+        rows, key = rows[by], key[by]
+        order[places] = rows
         span *= 2
 
 
