@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.llm import ann, bpe, html_text, minhash, mixing, pii, quality, suffix, toxicity, warc
+from touchline.llm import ann, bpe, components, html_text, minhash, mixing, pii, quality, suffix, toxicity, warc
 from touchline.llm.components import connected_components
 from touchline.llm.lexicon import Lexicon, compile_lexicon
 from touchline.llm.vocabulary import vocabulary_path
@@ -257,6 +257,27 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_links_that_are_stars_take_one_write(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df: written.append(1) or materialize(df))
+    links = [(i, 3) for i in range(4, 30)] + [(40, 41), (41, 40)]
+    found = dict(map(tuple, connected_components(spark.createDataFrame(links, "u long, v long")).collect()))
+    assert found == {**{i: 3 for i in range(3, 30)}, 40: 40, 41: 40}
+    assert len(written) == 1
+
+
+def test_sets_of_wanted_documents_are_made_before_any_exchange(make, spark):
+    rows = [(i, f"a{i} b c") for i in range(200)] + [(7, "other words here"), (8, None), (None, "a b c")]
+    wanted = spark.createDataFrame([(7,), (8,), (7,), (900,), (None,)], "node long")
+    found = minhash.full_sets(make(rows), wanted, 2)
+    assert sorted((r.node, len(r["items"])) for r in found.collect()) == [(7, 2), (7, 2), (8, 0), (8, 2)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    exchanged = found._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")[2].splitlines()[:3]
+    assert "MapInArrow" in plan and not any("Exchange" in line for line in exchanged)
+    bits = minhash.slot_bits(wanted)
+    assert len(bits) * 8 == minhash.SLOTS and 3 <= sum(int(b).bit_count() for b in bits[bits > 0]) <= 4
+
+
 # ---------------------------------------------------------------------- pii
 
 def test_long_runs_after_a_key_cue_take_linear_time():
@@ -447,6 +468,22 @@ def repeats_by_hand(rows, length=100):
     return sorted(out, key=repr)
 
 
+def test_suffixes_are_ordered_with_few_sorted_keys(monkeypatch):
+    rng = np.random.default_rng(5)
+    for n, parts, letters in ((1, 1, 1), (40, 3, 2), (300, 20, 3), (300, 1, 1)):
+        symbols = rng.integers(0, letters, n) + parts
+        ends = np.sort(rng.choice(n, parts, replace=False))
+        symbols[ends] = np.arange(parts)
+        assert suffix.suffix_order(symbols).tolist() == sorted(range(n), key=lambda i: symbols[i:].tolist())
+    # 5,000 parts of 20 letters: eight letters tell nearly all apart, of which the first sort sees four
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda keys, **how: sizes.append(len(keys)) or sort(keys, **how))
+    symbols = rng.integers(0, 60, 21 * 5000) + 5000
+    symbols[20::21] = np.arange(5000)
+    suffix.suffix_order(symbols)
+    assert sum(sizes) < 1.1 * len(symbols)
+
+
 def test_repeats_match_brute_force(make):
     rng = random.Random(6)
     passage, period = prose(rng, 60), prose(rng, 4)

@@ -22,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.components import connected_components
 from touchline.llm.hashing import BASE, mix, shingle_hashes, word_hashes
-from touchline.sources.store import materialize
+from touchline.sources.store import materialize, release
 
 UNIVERSE = 1 << 21
 SEED = 7
 PARITY_WORDS = 16  # 64 bits each
+SLOTS = 1 << 24  # a multiple of the 32,768 bits of one of Spark's bitmaps
 BANDS, ROWS = 40, 5  # a pair at 0.8 shares no band with a probability of (1 - 0.8**5)**40, about 1e-7
 
 _tables = {}
@@ -105,17 +106,39 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, columns)
 
 
-def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """node, items: the whole shingle sets of `docs`."""
+def id_slot(column: str) -> Column:
+    return F.xxhash64(column).bitwiseAND(F.lit(SLOTS - 1))
+
+
+def slot_bits(wanted: DataFrame) -> np.ndarray:
+    """One bit for each of SLOTS, set where the `node` of some row hashes to: 2 MB however many rows there are."""
+    slot = id_slot("node")
+    filled = wanted.groupBy(F.shiftright(slot, 15).alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits"))
+    table = np.zeros((SLOTS >> 15, 4096), np.uint8)
+    for part, bits in filled.collect():
+        table[part] = np.frombuffer(bits, np.uint8)
+    return table.ravel()
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """node, items: the whole shingle sets of the documents whose id is a `node` of `wanted`.
+
+    Texts are not exchanged for it: where they are read, a bit table of ids leaves
+    out nearly all others, and only the sets that remain meet `wanted`.
+    """
+    table = slot_bits(wanted)
 
     def work(batches):
         for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            batch = batch.filter(pa.array((table[slot >> 3] >> (slot & 7)) & 1 == 1))
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 sets = [s.view(np.int64) for s in text_sets(part, size)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["node", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "node long, items array<long>")
+    found = docs.select("doc_id", "text", id_slot("doc_id").alias("slot")).mapInArrow(work, "node long, items array<long>")
+    return found.join(wanted.select("node").distinct(), "node", "left_semi").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -223,14 +246,14 @@ def near_duplicates(
 
     stars = ordered(hot, "node", "n", "centre", "n_centre")
     tried = materialize(possible(stars, bits, percent))
-    have = both_ends(tried).distinct()
-    sets = materialize(full_sets(docs.join(have.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), size).distinct())
-    links = materialize(confirmed(tried, sets, percent).unionAll(own_links(named, classes)))
-    groups = materialize(connected_components(links))
+    sets = materialize(full_sets(docs, both_ends(tried), size))
+    groups = materialize(connected_components(confirmed(tried, sets, percent).unionAll(own_links(named, classes))))
 
     # buckets that still hold several components: new centres, linked to other components only
+    rest = hot
     for turn in range(1, turns + 1):
-        rest = materialize(split_buckets(hot, groups))
+        release(docs.sparkSession)
+        rest = materialize(split_buckets(rest.select("key", "node", "n"), groups))  # components only grow: others stay whole
         if rest.isEmpty():
             break
         salt = int(mix(np.array([turn], np.uint64)).view(np.int64)[0])
@@ -243,13 +266,12 @@ def near_duplicates(
             continue
         lacking = materialize(both_ends(pairs).distinct().join(sets.select("node"), "node", "left_anti"))
         if not lacking.isEmpty():
-            new = full_sets(docs.join(lacking.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), size).distinct()
-            sets = sets.unionAll(materialize(new))
+            sets = sets.unionAll(materialize(full_sets(docs, lacking, size)))
         more = materialize(confirmed(pairs, sets.join(both_ends(pairs), "node", "left_semi"), percent))
         tried = tried.unionAll(pairs)
         if not more.isEmpty():
-            links = links.unionAll(more)
-            groups = materialize(connected_components(links))
+            stars = groups.filter("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+            groups = materialize(connected_components(stars.unionAll(more)))
 
     roots = classes.join(groups, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     roots = materialize(roots)
