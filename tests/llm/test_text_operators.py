@@ -224,6 +224,18 @@ def test_one_id_with_unlike_texts_is_one_document(make):
         assert sorted((tuple(r) for r in minhash.near_duplicates(make(rows), size=size).collect()), key=repr) == components_by_hand(rows, size, 80)
 
 
+def test_members_of_buckets_are_exchanged_once(spark):
+    rows = [(5, 1, 3), (5, 2, 4), (5, 2, 4), (6, 1, 3), (7, 9, 8), (7, 9, 8), (-8, 1, 3), (-8, 4, 2), (-8, 6, 2)]
+    found = minhash.shared_buckets(spark.createDataFrame(rows, "key long, node long, n long"))
+    want = []
+    for key, node, n in sorted(set(rows)):
+        bucket = [(x ^ key, x, size) for k, x, size in rows if k == key]
+        if len(bucket) > 1:
+            want.append((key, node, n, *min(bucket)[1:]))
+    assert sorted(tuple(r) for r in found.select("key", "node", "n", "centre", "n_centre").collect()) == want
+    assert found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1
+
+
 def test_near_duplicates_without_ids_or_rows(make):
     assert minhash.near_duplicates(make([])).count() == 0
     found = {tuple(r) for r in minhash.near_duplicates(make([(None, "a b"), (3, "a b"), (4, "a b")]), size=2).collect()}

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.components import connected_components
@@ -180,6 +180,18 @@ def ordered(pairs: DataFrame, one: str, n_one: str, two: str, n_two: str) -> Dat
     )
 
 
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """The members (key, node, n) of buckets with two rows or more, with the bucket's centre and its size n_centre.
+
+    Nearly all keys are alone, so counting on the map side joins hardly any rows:
+    the members are exchanged once, and counted and given their centre there.
+    """
+    bucket = Window.partitionBy("key")
+    drawn = F.min(F.struct(F.expr("node ^ key").alias("m"), F.col("n").alias("n_centre"))).over(bucket)
+    counted = members.withColumns({"c": F.count(F.lit(1)).over(bucket), "d": drawn}).filter("c > 1")
+    return counted.select("key", "node", "n", F.expr("d.m ^ key").alias("centre"), "d.n_centre").distinct()
+
+
 def split_buckets(hot: DataFrame, groups: DataFrame) -> DataFrame:
     """The members (key, node, n, component) of buckets with more than one component."""
     placed = hot.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
@@ -238,10 +250,8 @@ def near_duplicates(
     # one row per band of each distinct set; only buckets with two nodes or more matter
     first = named.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "set_a", "set_b"], "left_semi")
     members = first.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    drawn = F.min(F.struct(F.expr("node ^ key").alias("m"), F.col("n").alias("n_centre")))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), drawn.alias("d")).filter("c > 1")
-    shared = shared.select("key", F.expr("d.m ^ key").alias("centre"), "d.n_centre")
-    hot = materialize(members.join(shared, "key").distinct())
+    hot = materialize(shared_buckets(members))
+    release(docs.sparkSession)  # the exchanged members are the largest files of all
     bits = materialize(first.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bits").join(hot.select("node").distinct(), "node", "left_semi"))
 
     stars = ordered(hot, "node", "n", "centre", "n_centre")
