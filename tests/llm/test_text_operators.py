@@ -262,6 +262,32 @@ def test_dense_group_of_looser_copies_keeps_all_its_links(make):
         assert sorted((tuple(r) for r in found.collect()), key=repr) == components_by_hand(rows, 2, 80)
 
 
+def test_texts_that_stay_are_not_exchanged(make, spark):
+    """Five-word copies go, whatever rows share an id; of the texts only those whose id is named meet the ids that go."""
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (2, text), (2, text), (4, "other words"), (4, "other words"), (5, None), (6, text), (6, None), (7, text), (None, text), (None, None)]
+    docs = make(rows + [(i, f"alone {i}") for i in range(100, 400)])
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        union = found._jdf.queryExecution().executedPlan()
+        while union.nodeName() != "Union":
+            union = union.children().apply(0)
+        assert "Exchange" not in union.children().apply(0).toString()
+        kept = sorted(((r.doc_id, r.text) for r in found.collect()), key=repr)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    gone = {(2, text), (7, text)}
+    assert found.columns == docs.columns
+    assert kept == sorted([r for r in rows if r not in gone] + [(i, f"alone {i}") for i in range(100, 400)], key=repr)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 3)]
     found = dict(map(tuple, connected_components(spark.createDataFrame(links, "u long, v long")).collect()))

@@ -21,6 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,20 +107,24 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, columns)
 
 
-def id_slot(column: str) -> Column:
+def id_slot(column: str | Column) -> Column:
     return F.xxhash64(column).bitwiseAND(F.lit(SLOTS - 1))
 
 
 def slot_bits(wanted: DataFrame) -> np.ndarray:
     """One bit for each of SLOTS, set where the `node` of some row hashes to: 2 MB however many rows there are."""
     slot = id_slot("node")
-    filled = wanted.groupBy(F.shiftright(slot, 15).alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits"))
+    parts = wanted.groupBy(F.shiftright(slot, 15).alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits"))
     table = np.zeros((SLOTS >> 15, 4096), np.uint8)
-    for part, bits in filled.collect():
+    for part, bits in parts.collect():
         table[part] = np.frombuffer(bits, np.uint8)
     return table.ravel()
 
 
+def filled(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (table[slot >> 3] >> (slot & 7)) & 1 == 1
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """node, items: the whole shingle sets of the documents whose id is a `node` of `wanted`.
 
@@ -130,8 +135,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            slot = batch.column("slot").to_numpy()
-            batch = batch.filter(pa.array((table[slot >> 3] >> (slot & 7)) & 1 == 1))
+            batch = batch.filter(pa.array(filled(table, batch.column("slot").to_numpy())))
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 sets = [s.view(np.int64) for s in text_sets(part, size)]
@@ -141,6 +145,19 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.join(wanted.select("node").distinct(), "node", "left_semi").distinct()
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is in no row of `gone`; rows without an id stay.
+
+    As in `full_sets` a bit table of ids decides where the texts are read: rows it
+    does not name stay without an exchange, only the others meet `gone`.
+    """
+    table = slot_bits(gone.select(F.col("doc_id").cast("long").alias("node")))
+    named = F.pandas_udf(lambda slot: pd.Series(filled(table, slot.to_numpy())), "boolean")
+    marked = docs.withColumn("_named", named(id_slot(F.col("doc_id").cast("long"))))
+    met = marked.filter("_named").join(gone.select("doc_id"), "doc_id", "left_anti")
+    return marked.filter("NOT _named").select(*docs.columns).unionAll(met.select(*docs.columns))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets have 100 * intersection >= percent * union."""
     left = sets.select(F.col("node").alias("u"), F.col("items").alias("a"))
