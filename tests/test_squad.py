@@ -308,3 +308,15 @@ def test_sold_players_meet_candidates_in_partitions_that_stay_apart(spark):
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(competition" in plan and "position" in plan.split("REPARTITION_BY_NUM")[0].rsplit("hashpartitioning", 1)[1]
     assert best.first()["element_in"] == 99
+
+
+def test_squads_are_valued_once_and_entries_without_a_candidate_hold(spark):
+    rows = [(e, i, SHAPE[i], f"C{i}", 50) for e in (1, 2, 3) for i in range(15)] + [(3, None, "MID", "C1", 50)]
+    squads = spark.createDataFrame(rows, "entry bigint, element_id bigint, position string, club string, selling_price bigint")
+    banks = spark.createDataFrame([(1, 0, 5, 1), (2, 7, 5, 1), (3, None, 6, 0)], "entry bigint, competition bigint, bank bigint, free_transfers bigint")
+    pool = spark.createDataFrame([(0, 99, "MID", "C99", 50)], "competition bigint, element_id bigint, position string, club string, now_cost bigint")
+    projections = spark.createDataFrame([(99, 1, 9.0), (0, 1, 2.0)], "element_id bigint, gw bigint, points double")
+    best = swaps.best_single_swap(squads, banks, pool, projections, [1])
+    assert best._jdf.queryExecution().optimizedPlan().toString().count("_swap_values") == 1
+    got = {r["entry"]: (r["element_in"], r["hold"], r["objective"], r["hits"], r["bank_after"]) for r in best.collect()}
+    assert got == {1: (99, 4.0, 19.9999, 0, 5), 2: (None, 4.0, 4.0, 0, 5), 3: (None, 4.0, 4.0, 0, 6)}

@@ -15,8 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.rules import MAX_PER_CLUB, POSITIONS, XI_MINIMUM, XI_SIZE
 from touchline.sources.store import deal
@@ -112,15 +114,25 @@ def best_eleven(codes: np.ndarray, points: np.ndarray, need: np.ndarray, total:
     return np.where(chosen, points, 0.0).sum(axis=1), np.where(chosen, points, -np.inf).max(axis=1)
 
 
-def _swap_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per entry and player: A, B and M of each round, and the value of holding."""
+def _nested(values: np.ndarray) -> pa.ListArray:
+    """A (squads, players, rounds) array as lists of lists."""
+    n, size, rounds = values.shape
+    inner = pa.ListArray.from_arrays(np.arange(n * size + 1, dtype=np.int32) * rounds, pa.array(values.ravel()))
+    return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * size, inner)
+
+
+def _swap_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Squads with the value of holding and, per player, A, B and M of each round, instead of `codes` and `xs`."""
     least = np.array([XI_MINIMUM.get(p, 0) for p in POSITIONS])
     for batch in batches:
+        sizes = batch.column("codes").value_lengths().to_numpy(zero_copy_only=False)
         # Squads of one size share one array; a legal squad always has 15.
-        for size, part in batch.groupby(batch["codes"].map(len), sort=False):
-            codes = np.vstack(part["codes"].to_numpy()).astype(int)
-            points = np.array([np.vstack(x) for x in part["xs"]])  # squads, players, rounds
-            n, rounds = len(part), points.shape[2]
+        for size in np.unique(sizes):
+            part = batch.filter(pa.array(sizes == size))
+            n = part.num_rows
+            codes = part.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(n, size).astype(int)
+            points = part.column("xs").flatten().flatten().to_numpy(zero_copy_only=False).reshape(n, size, -1)
+            rounds = points.shape[2]
             full = np.broadcast_to(least, (n, len(POSITIONS)))
             hold = np.zeros(n)
             a, b, m = (np.zeros((n, size, rounds)) for _ in range(3))
@@ -138,13 +150,9 @@ def _swap_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     less = full.copy()
                     less[rows, codes[:, j]] = np.maximum(less[rows, codes[:, j]] - 1, 0)
                     b[:, j, r], m[:, j, r] = best_eleven(c, p, less, XI_SIZE - 1, at)
-            index = np.repeat(part["entry"].to_numpy(), size)
-            yield pd.DataFrame(
-                {
-                    "entry": index, "element_out": np.concatenate(part["ids"].to_numpy()), "hold": np.repeat(hold, size),
-                    "a": list(a.reshape(-1, rounds)), "b": list(b.reshape(-1, rounds)), "m": list(m.reshape(-1, rounds)),
-                }
-            )
+            kept = [name for name in part.schema.names if name not in ("codes", "xs")]
+            columns = [*(part.column(name) for name in kept), pa.array(hold), _nested(a), _nested(b), _nested(m)]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "hold", "a", "b", "m"])
 
 
 def best_single_swap(
@@ -169,60 +177,72 @@ def best_single_swap(
     none = F.array(*[F.lit(0.0) for _ in horizon])
     owned = squads.join(points, "element_id", "left").withColumn("x", F.coalesce("x", none))
     code = F.array_position(F.array(*[F.lit(p) for p in POSITIONS]), F.col("position")) - 1
-    member = F.struct("element_id", code.alias("code"), "x", "club")  # 15 players a squad
-    teams = owned.groupBy("entry").agg(F.array_sort(F.collect_list(member)).alias("squad"))
+    # 15 players a squad; whatever a sold player needs goes with his squad, so squads are made and valued once
+    member = F.struct(F.col("element_id").cast("bigint").alias("element_id"), code.alias("code"), "x", "club", "position", "selling_price")
+    teams = owned.groupBy(F.col("entry").cast("bigint").alias("entry")).agg(F.array_sort(F.collect_list(member)).alias("squad"))
     field = lambda name: F.transform("squad", lambda e: e[name])
-    values = teams.select("entry", field("element_id").alias("ids"), field("code").alias("codes"), field("x").alias("xs")).mapInPandas(
-        _swap_values, "entry bigint, element_out bigint, hold double, a array<double>, b array<double>, m array<double>"
-    )
     per_club = F.transform(
         F.array_distinct(field("club")), lambda c: F.struct(c.alias("club"), F.size(F.filter("squad", lambda e: e["club"] == c)).alias("n"))
     )
-    crowded = teams.select(
-        "entry", field("element_id").alias("ids"), F.filter(per_club, lambda c: c["n"] >= MAX_PER_CLUB).alias("crowded")
-    ).join(banks.select("entry", *g, "bank", free), "entry")
+    outs = F.transform(
+        "squad", lambda e: F.struct(e["element_id"].alias("element_out"), e["club"].alias("club"), e["position"].alias("position"), e["selling_price"].alias("selling_price"))
+    )
+    entries = teams.join(banks.select("entry", *g, "bank", free), "entry").select(
+        "entry", *g, "bank", free, field("element_id").alias("ids"), F.filter(per_club, lambda c: c["n"] >= MAX_PER_CLUB).alias("crowded"),
+        outs.alias("outs"), field("code").alias("codes"), field("x").alias("xs"),
+    )
+    valued = T.StructType([f for f in entries.schema if f.name not in ("codes", "xs")]).add("hold", "double")
+    for name in ("a", "b", "m"):
+        valued = valued.add(name, T.ArrayType(T.ArrayType(T.DoubleType())))
+    values = entries.mapInArrow(_swap_values, valued).select(
+        "entry", *g, "bank", free, "ids", "crowded", "hold", F.explode(F.arrays_zip("outs", "a", "b", "m")).alias("_p")
+    )
     # The club counts without the sold player: only his own club loses one.
     left = lambda c: c["n"] - (c["club"] == F.col("club")).cast("int")
-    sold = owned.select("entry", F.col("element_id").alias("element_out"), "position", "club", "selling_price")
     ready = (
-        values.join(sold, ["entry", "element_out"])
-        .join(crowded, "entry")
+        values.select("entry", *g, "bank", free, "ids", "crowded", "hold", "_p.outs.*", "_p.a", "_p.b", "_p.m")
+        .filter("element_out IS NOT NULL")
         .withColumns(
             {
                 "budget": F.col("bank") + F.col("selling_price"),
                 "full_clubs": F.transform(F.filter("crowded", lambda c: left(c) >= MAX_PER_CLUB), lambda c: c["club"]),
                 "hold_ok": ~F.exists("crowded", lambda c: c["n"] > MAX_PER_CLUB),
+                "movable": ~F.exists("crowded", lambda c: left(c) > MAX_PER_CLUB),
             }
         )
+        .drop("crowded", "club", "selling_price")
     )
-    holding = ready.groupBy("entry").agg(
-        F.first("bank").alias("bank"), F.first(free).alias(free), F.first("hold").alias("hold"), F.first("hold_ok").alias("hold_ok")
-    )
-    movable = ready.filter(~F.exists("crowded", lambda c: left(c) > MAX_PER_CLUB)).drop("crowded", "club", "selling_price", "bank", "hold")
     candidates = candidate_frontier(
         pool.select(*g, "element_id", "position", "club", F.col("now_cost").cast("bigint").alias("now_cost"))
         .join(points, "element_id", "left")
         .withColumn("x", F.coalesce("x", none)),
         (*group, "position", "club"),
-    ).select(*g, "position", F.col("element_id").alias("element_in"), F.col("club").alias("in_club"), "now_cost", "x")
+    ).select(*[F.col(c).alias(f"_in_{c}") for c in (*g, "position")], F.col("element_id").alias("element_in"), F.col("club").alias("in_club"), "now_cost", "x")
     # A sold player meets all candidates of a position: the partitions stay apart.
-    pairs = deal(movable, *g, "position").join(candidates, [*g, "position"]).filter(
-        (F.col("now_cost") <= F.col("budget"))
+    # He stays without any, so that holding needs no second run over the squads.
+    fits = (
+        F.col("movable") & (F.col("now_cost") <= F.col("budget"))
         & ~F.array_contains("ids", F.col("element_in"))
         & ~F.array_contains("full_clubs", F.col("in_club"))
     )
+    for c in (*g, "position"):
+        fits = fits & (F.col(c) == F.col(f"_in_{c}"))
+    pairs = deal(ready, *g, "position").join(candidates, fits, "left")
     value = F.lit(0.0)
     for r in rounds:
         x = F.col("x")[r]
         value = value + F.greatest(F.col("a")[r], F.col("b")[r] + x + F.greatest(F.col("m")[r], x))
     hits = F.greatest(F.lit(1) - F.col(free), F.lit(0))
     objective = F.round(value - hit_cost * hits - TRANSFER_EPSILON + 1e-9, 6)
-    scored = pairs.select("entry", "element_out", "element_in", objective.alias("objective"), (F.col("budget") - F.col("now_cost")).alias("left"))
-    best = scored.groupBy("entry").agg(
-        F.min_by(F.struct("element_out", "element_in", "objective", "left"), F.struct((-F.col("objective")).alias("o"), "element_out", "element_in")).alias("best")
+    scored = pairs.select(
+        "entry", "bank", free, "hold", "hold_ok", "element_out", "element_in", objective.alias("objective"),
+        (F.col("budget") - F.col("now_cost")).alias("left"),
+    )
+    first = F.when(F.col("element_in").isNotNull(), F.struct((-F.col("objective")).alias("o"), "element_out", "element_in"))
+    joined = scored.groupBy("entry").agg(
+        F.first("bank").alias("bank"), F.first(free).alias(free), F.round(F.first("hold") + 1e-9, 6).alias("hold"),
+        F.first("hold_ok").alias("hold_ok"), F.min_by(F.struct("element_out", "element_in", "objective", "left"), first).alias("best"),
     )
-    kept = F.round(F.col("hold") + 1e-9, 6)
-    joined = holding.select("entry", "bank", free, kept.alias("hold"), "hold_ok").join(best, "entry", "left")
     take = F.col("best").isNotNull() & (~F.col("hold_ok") | (F.col("best.objective") > F.col("hold")))
     return joined.select(
         "entry",
